@@ -35,9 +35,9 @@ s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >
 g AS (SELECT doc_id, p, md5(array_to_string(list_slice(w, p, p + 19), ' ')) AS h FROM s),
 later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM g) WHERE k > 1),
 hit AS (SELECT DISTINCT doc_id, p + i AS p FROM later, range(0, 20) AS r(i)),
-gone AS (SELECT doc_id, list(p) AS at FROM hit GROUP BY doc_id),
-k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(at), 0) AS m,
-             CASE WHEN at IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(at, i)) END AS kept
+gone AS (SELECT doc_id, list(p) AS ps FROM hit GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(ps), 0) AS m,
+             CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END AS kept
       FROM d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, m::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
     "op6_suffix_array_dedup": r"""
