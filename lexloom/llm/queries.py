@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm.decontamination import decontaminate
 from lexloom.llm.exact_dedup import exact_dedup
+from lexloom.llm.language_id import identify_language
 from lexloom.llm.mixing import mix_sources
+from lexloom.llm.quality import score_quality
 from lexloom.llm.substring_dedup import substring_dedup
 from lexloom.llm.suffix_array_dedup import suffix_array_dedup
+from lexloom.llm.toxicity import score_toxicity
 from lexloom.llm.url_filter import url_filter
 
 
@@ -20,6 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), length=20).drop("kept_text")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -36,17 +43,28 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(_table(spark, sf_dir, "documents"), length=100).drop("kept")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_quality": op7_quality,
     "op9_decontamination": op9_decontamination,
+    "op10_language_id": op10_language_id,
 }
 
 #: Words are `[^\x20\x09-\x0D]+` everywhere.
