@@ -1,15 +1,66 @@
-"""The training-data pipeline: stages applied in order to ``documents``."""
+"""The training-data pipeline: five stages over ``documents``, each an operator of ``lexloom.llm`` whose decision takes effect."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.llm._tables import stored
+from lexloom.llm.decontamination import decontaminate
+from lexloom.llm.exact_dedup import exact_dedup
+from lexloom.llm.mixing import mix_sources
+from lexloom.llm.near_dedup import near_dedup
+from lexloom.llm.toxicity import reject_toxic
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` less the ids in ``dropped``; rows without a doc_id stay."""
+    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    return _without(docs, exact_dedup(docs).where(~F.col("kept")))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return _without(docs, near_dedup(docs).where(~F.col("kept")))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mixture reads, with their domain and how often they are read (epochs)."""
+    picks = mix_sources(docs).where("epochs > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("domain").alias("domain"), F.max("n_tokens").alias("n_tokens"), F.max("epochs").alias("epochs"))
+    return docs.drop("domain", "n_tokens", "epochs").join(picks, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+#: The first stage is a trained classifier, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name}")
     return docs

@@ -8,6 +8,7 @@ from lexloom.llm.decontamination import decontaminate
 from lexloom.llm.exact_dedup import exact_dedup
 from lexloom.llm.language_id import identify_language
 from lexloom.llm.mixing import mix_sources
+from lexloom.llm.near_dedup import near_dedup
 from lexloom.llm.quality import score_quality
 from lexloom.llm.substring_dedup import substring_dedup
 from lexloom.llm.suffix_array_dedup import suffix_array_dedup
@@ -47,6 +48,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality": op7_quality,
+    "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
@@ -155,6 +161,15 @@ bins AS (SELECT floor(score * 100)::BIGINT AS b, count(*) FILTER (v = 'allow') A
 gain AS (SELECT b, sum(a) OVER (ORDER BY b DESC) * sum(r) OVER () - sum(r) OVER (ORDER BY b DESC) * sum(a) OVER () AS gain, sum(a) OVER () AS ta, sum(r) OVER () AS tr FROM bins),
 t AS (SELECT coalesce((SELECT b / 100.0 FROM gain WHERE ta > 0 AND tr > 0 ORDER BY gain DESC, b DESC LIMIT 1), 0.0) AS t)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN score >= (SELECT t FROM t) THEN 'allow' ELSE 'block' END) AS verdict FROM z""",
+    "op8_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM documents JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) ON a = doc_id LEFT JOIN n USING (doc_id)""",
     "op9_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -195,6 +195,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     return words, stems, fit_weights(x, y) if len(rows) else np.zeros(9)
 
 
+class Scorer:
+    """Score and counts of texts, with one automaton for all of them."""
+
+    def __init__(self, words: list[str], stems: list[str], weights: np.ndarray) -> None:
+        self.known, self.weights = Known(Automaton(words, stems)), weights
+
+    def __call__(self, text: str | None) -> tuple[float, np.ndarray]:
+        f = features(text, self.known) if text else None
+        f = np.zeros(4) if f is None else f
+        return float(1 / (1 + np.exp(-expanded(f) @ self.weights))), f
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """Score every whole text for toxicity; labels of the held-out fold (crc32 of doc_id mod 5 = 0) are not used.
 
@@ -205,20 +217,29 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     other than 0 and 1 are ignored, repeated ones count once. Without usable labels every score is 0.5. An empty
     table gives an empty result. Memory: a batch of texts, and 200,000 known words.
     """
-    words, stems, weights = fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), per_class)
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), per_class)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(Automaton(words, stems))
-        none = np.zeros(4)
+        scorer = Scorer(*model)
         for batch in batches:
             rows = []
             for doc_id, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                text = text.as_py()
-                f = features(text, known) if text else None
-                f = none if f is None else f
-                p = float(1 / (1 + np.exp(-expanded(f) @ weights)))
+                p, f = scorer(text.as_py())
                 rows.append((doc_id, bool(out), p, int(p >= 0.5), int(f.sum()), int(f[2:].sum())))
             if rows:
                 yield pa.record_batch([list(c) for c in zip(*rows)], schema=OUT)
 
     return docs.select("doc_id", F.coalesce(held_out(F.col("doc_id"), 5, 0), F.lit(False)), "text").mapInArrow(score, OUT_DDL)
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under ``threshold``; the texts are neither joined nor shuffled."""
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), per_class)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*model)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(text.as_py())[0] < threshold for text in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
