@@ -1,6 +1,600 @@
-"""Registered queries of the engine, each beside its SQL twin."""
+"""Registered queries of the engine, each beside its SQL twin.
+
+A query takes (spark, sf_dir) and runs over whole tables. SQL twins are DuckDB's dialect of ANSI SQL.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexloom.functions import text as T
+from lexloom.functions.vectors import cosine
+from lexloom.operators import dedup, exams, lexicon, lines, ml, quality, stats, tfidf
+from lexloom.plans import corpus
+from lexloom.streaming.score import tumbling
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: Stopwords of the texts at hand, as fixed values.
+STOP = "the and that with for was are from not und der das die ist mit ein von les une dans pour est que sur los una para por las con del".split()
+_STOP = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
+_TOKENS = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+(?:[-.''’][\p{L}\p{N}_]+)*')"
+_WORDS = r"regexp_extract_all(%s, '[\p{L}\p{N}_]+')"
+_NORM = rf"regexp_replace(translate(lower(%s), '{T.ACCENTED}', '{T.PLAIN}'), '\p{{Mn}}', '', 'g')"
+_SQUASH = rf"regexp_replace({_NORM}, '[^\p{{L}}\p{{N}}_]+', '', 'g')"
+_LINES = "(SELECT doc_id, source, i - 1 AS line_no, l[i] AS text FROM (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+
+
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+
+
+# --- corpus statistics
+
+
+@query(rf"""
+WITH d AS (SELECT text, {_TOKENS} AS t FROM documents), n AS (SELECT len(t) AS n, length(coalesce(text, '')) AS c FROM d)
+SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_tokens, round(avg(n), 6) AS mean_tokens, median(n)::DOUBLE AS median_tokens, round(stddev_samp(n), 6) AS sd_tokens,
+       count(*) FILTER (n < 100) AS n_short, count(*) FILTER (c > 5000) AS n_long,
+       (SELECT count(DISTINCT lower(x)) FROM (SELECT unnest(t) AS x FROM d)) AS n_types,
+       round((SELECT count(DISTINCT lower(x)) FROM (SELECT unnest(t) AS x FROM d)) / sum(n), 6) AS type_token_ratio FROM n""")
+def corpus_overview(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    out = stats.overview(d, T.tokens("text"), n_short=F.size(T.tokens("text")) < 100, n_long=F.length("text") > 5000)
+    return rounded(out, "mean_tokens", "sd_tokens", "type_token_ratio")
+
+
+@query(rf"""
+WITH d AS (SELECT lang, {_TOKENS} AS t FROM documents),
+c AS (SELECT lang, count(*) AS n_docs, sum(len(t))::BIGINT AS n_tokens, round(avg(len(t)), 6) AS mean_tokens FROM d GROUP BY lang),
+k AS (SELECT lang, count(DISTINCT lower(x)) AS n_types FROM (SELECT lang, unnest(t) AS x FROM d) GROUP BY lang)
+SELECT c.lang, n_docs, n_tokens, mean_tokens, coalesce(n_types, 0) AS n_types, round_even(100 * n_docs / sum(n_docs) OVER (), 1)::DOUBLE AS percent FROM c LEFT JOIN k USING (lang)""")
+def class_summary(spark, sf_dir):
+    return rounded(stats.class_summary(documents(spark, sf_dir), "lang", T.tokens("text")), "mean_tokens")
+
+
+@query("""
+SELECT CASE WHEN grouping(lang) = 1 THEN 'Total' ELSE lang END AS lang, CASE WHEN grouping(source) = 1 THEN 'Total' ELSE source END AS source, count(*) AS n
+FROM documents GROUP BY CUBE (lang, source)""")
+def class_source_crosstab(spark, sf_dir):
+    return stats.crosstab(documents(spark, sf_dir), "lang", "source")
+
+
+@query("""
+SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr, count(*) AS "Total" FROM documents GROUP BY source
+UNION ALL SELECT 'Total', count(*) FILTER (lang = 'de'), count(*) FILTER (lang = 'en'), count(*) FILTER (lang = 'es'), count(*) FILTER (lang = 'fr'), count(*) FROM documents""")
+def crosstab_pivoted(spark, sf_dir):
+    return stats.crosstab_wide(documents(spark, sf_dir), "source", "lang", ["de", "en", "es", "fr"])
+
+
+@query("""
+SELECT lang, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS sd, min(n_chars) AS min,
+       round(quantile_cont(n_chars, 0.25), 6) AS q25, round(quantile_cont(n_chars, 0.5), 6) AS q50, round(quantile_cont(n_chars, 0.75), 6) AS q75, max(n_chars) AS max
+FROM documents GROUP BY lang""")
+def length_describe(spark, sf_dir):
+    return rounded(stats.describe_by(documents(spark, sf_dir), "lang", "n_chars"), "mean", "sd", "q25", "q50", "q75")
+
+
+@query("""
+WITH r AS (SELECT min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi FROM documents),
+b AS (SELECT CASE WHEN hi = lo THEN 1 ELSE least(floor((n_chars::DOUBLE - lo) * 40 / (hi - lo)) + 1, 40) END::BIGINT AS bin FROM documents, r WHERE n_chars IS NOT NULL)
+SELECT x::BIGINT AS bin, count(b.bin) AS n FROM range(1, 41) AS g(x) LEFT JOIN b ON b.bin = x GROUP BY x""")
+def length_histogram(spark, sf_dir):
+    return stats.histogram(documents(spark, sf_dir), "n_chars", 40)
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, lang, len({_TOKENS}) AS value FROM documents)
+(SELECT 'shortest' AS kind, value::INT AS value, doc_id, lang FROM d ORDER BY value, doc_id LIMIT 1) UNION ALL (SELECT 'longest', value::INT, doc_id, lang FROM d ORDER BY value DESC, doc_id LIMIT 1)""")
+def longest_shortest(spark, sf_dir):
+    return stats.extremes(documents(spark, sf_dir), F.size(T.tokens("text")), "doc_id", ["lang"])
+
+
+@query("SELECT x::INT AS quality, count(quality) AS n FROM range(0, 5) AS g(x) LEFT JOIN labels ON quality = x GROUP BY x")
+def label_distribution_full_domain(spark, sf_dir):
+    return stats.full_domain(table(spark, sf_dir, "labels"), "quality", [0, 1, 2, 3, 4])
+
+
+@query(rf"""
+WITH t AS (SELECT lang, lower(unnest({_TOKENS})) AS term FROM documents),
+c AS (SELECT lang, term, count(*) AS n FROM t WHERE term NOT IN {_STOP} AND length(term) > 2 AND NOT regexp_matches(term, '^[0-9]+$') GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM c) SELECT lang, term, n, rank::INT AS rank FROM r WHERE rank <= 15""")
+def top_terms_per_class(spark, sf_dir):
+    kept = F.filter(F.transform(T.tokens("text"), F.lower), lambda w: ~w.isin(STOP) & (F.length(w) > 2) & ~F.regexp_like(w, F.lit("^[0-9]+$")))
+    counts = documents(spark, sf_dir).select("lang", F.explode(kept).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("lang").orderBy(F.col("n").desc(), "term")
+    return counts.withColumn("rank", F.row_number().over(w)).where("rank <= 15")
+
+
+_ALPHA = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
+
+
+def _alpha(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*keep, F.explode(T.words(F.lower("text"))).alias("term")).where(F.regexp_like("term", F.lit("^\\p{L}{2,}$")))
+
+
+@query(rf"""
+WITH v AS (SELECT DISTINCT term FROM (SELECT unnest({_ALPHA}) AS term FROM benchmark) WHERE regexp_matches(term, '^\p{{L}}{{2,}}$')),
+c AS (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest({_ALPHA}) AS term FROM documents) WHERE regexp_matches(term, '^\p{{L}}{{2,}}$') GROUP BY ALL)
+SELECT lang, sum(n)::BIGINT AS n_tokens, sum(CASE WHEN v.term IS NOT NULL THEN n ELSE 0 END)::BIGINT AS n_known, round(sum(CASE WHEN v.term IS NOT NULL THEN n ELSE 0 END) / sum(n), 6) AS coverage
+FROM c LEFT JOIN v USING (term) GROUP BY lang""")
+def dictionary_coverage(spark, sf_dir):
+    known = _alpha(table(spark, sf_dir, "benchmark")).distinct().withColumn("known", F.lit(True))
+    counts = _alpha(documents(spark, sf_dir), "lang").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.sum(F.when(F.col("known"), F.col("n")).otherwise(0))
+    return rounded(counts.join(known, "term", "left").groupBy("lang").agg(F.sum("n").alias("n_tokens"), hit.alias("n_known"), (hit / F.sum("n")).alias("coverage")), "coverage")
+
+
+@query(rf"""
+WITH v AS (SELECT DISTINCT term FROM (SELECT unnest({_ALPHA}) AS term FROM benchmark))
+SELECT term, count(*) AS n FROM (SELECT unnest({_ALPHA}) AS term FROM documents) WHERE regexp_matches(term, '^\p{{L}}{{2,}}$') AND term NOT IN (SELECT term FROM v)
+GROUP BY term ORDER BY n DESC, term LIMIT 20""")
+def top_unknown_terms(spark, sf_dir):
+    known = _alpha(table(spark, sf_dir, "benchmark")).distinct()
+    counts = _alpha(documents(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(known, "term", "left_anti").orderBy(F.col("n").desc(), "term").limit(20)
+
+
+@query("""
+WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL)
+SELECT source, arg_min(lang, (-n, first)) AS mode FROM c GROUP BY source""")
+def mode_first_seen(spark, sf_dir):
+    return stats.mode_first(documents(spark, sf_dir), "source", "lang", "doc_id").select("source", "mode")
+
+
+@query("""
+SELECT lang, sum(n)::BIGINT AS total, string_agg(source || ':' || n, ',' ORDER BY source) AS groups FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang""")
+def nested_class_totals(spark, sf_dir):
+    from lexloom.sources import sinks
+
+    out = sinks.nested(documents(spark, sf_dir).select("lang", "source", "doc_id"), "lang", "source", "doc_id")
+    return out.select("lang", "total", F.array_join(F.transform("groups", lambda g: F.concat(g["source"], F.lit(":"), g["n"].cast("string"))), ",").alias("groups"))
+
+
+# --- keys and duplicates
+
+
+@query(f"SELECT doc_id, md5(left({_SQUASH % 'text'}, 150)) AS key, length({_SQUASH % 'text'}) AS size FROM documents WHERE text IS NOT NULL")
+def norm_squash_prefix_key(spark, sf_dir):
+    keyed = dedup.block_keys(table(spark, sf_dir, "documents").where("text is not null"), F.col("text"))
+    return keyed.select("doc_id", F.md5(F.substring("squashed", 1, 150).cast("binary")).alias("key"), F.length("squashed").cast("long").alias("size"))
+
+
+@query(f"""
+SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS leader, count(*) OVER (PARTITION BY k) AS group_size FROM (SELECT doc_id, {_SQUASH % "coalesce(text, '')"} AS k FROM documents)""")
+def exact_duplicates(spark, sf_dir):
+    return dedup.exact_groups(documents(spark, sf_dir), T.squash("text").cast("binary"), "doc_id").select("doc_id", "leader", "group_size")
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, left({_SQUASH % "coalesce(text, '')"}, 60) AS k, list_distinct(regexp_extract_all({_NORM % "coalesce(text, '')"}, '[a-z0-9]+')) AS t FROM documents),
+p AS (SELECT b.doc_id AS new, a.doc_id AS old, len(list_intersect(a.t, b.t))::DOUBLE AS i, len(a.t) + len(b.t) AS s FROM d a JOIN d b ON a.k = b.k AND a.k <> '' AND a.doc_id < b.doc_id)
+SELECT new, old, round(CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END, 6) AS jaccard FROM p WHERE i >= 0.5 * (s - i) AND s - i > 0""")
+def near_dup_pairs_jaccard(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", F.substring(T.squash("text"), 1, 60).alias("k"), T.ascii_tokens("text").alias("t")).where("k <> ''")
+    pairs = d.alias("a").join(d.alias("b"), F.expr("a.k = b.k and a.doc_id < b.doc_id")).select(
+        F.col("b.doc_id").alias("new"), F.col("a.doc_id").alias("old"), T.jaccard(F.col("a.t"), F.col("b.t")).alias("jaccard")
+    )
+    return rounded(pairs.where("jaccard >= 0.5"), "jaccard")
+
+
+@query()
+def near_dup_ratio(spark, sf_dir):
+    keyed = dedup.block_keys(documents(spark, sf_dir), F.col("text"))
+    return rounded(dedup.similar_pairs(keyed, "doc_id"), "ratio")
+
+
+@query()
+def dedup_leaders(spark, sf_dir):
+    return dedup.leaders(dedup.similar_pairs(dedup.block_keys(documents(spark, sf_dir), F.col("text")), "doc_id"))
+
+
+# --- lines
+
+
+@query(rf"""
+WITH l AS (SELECT source, text FROM {_LINES}),
+k AS (SELECT *, regexp_matches(text, '^\(([A-E])\)\s*(.*)$') OR regexp_matches(text, '^[0-9]+$') AS plain FROM l),
+f AS (SELECT source, text FROM k WHERE NOT plain AND length(text) > 15 GROUP BY ALL HAVING count(*) >= 4)
+SELECT source, count(*) AS n_lines, count(*) FILTER (NOT regexp_matches(text, '(?i)(Tipo|Prova)\s*[0-9].*P[áa]gina\s*[0-9]+|^P[áa]gina\s*[0-9]+|^Realização$') AND f.source IS NULL) AS n_kept
+FROM k LEFT JOIN f USING (source, text) GROUP BY source""".replace("LEFT JOIN f USING (source, text) GROUP BY source", "LEFT JOIN (SELECT source AS s, text AS x FROM f) AS f ON f.s = k.source AND f.x = k.text GROUP BY source").replace("f.source IS NULL", "f.s IS NULL"))
+def repeated_line_removal(spark, sf_dir):
+    d = documents(spark, sf_dir).select("source", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    kept = lines.without_headers(d, "source").groupBy("source").agg(F.count(F.lit(1)).alias("n_kept"))
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("n_lines")).join(kept, "source", "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
+
+
+@query(f"""
+SELECT doc_id, line_no, md5(last_value(CASE WHEN length(text) < 80 THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS section FROM {_LINES}""")
+def line_forward_fill(spark, sf_dir):
+    out = lines.forward_filled(doc_lines(spark, sf_dir), "doc_id", F.length("text") < 80, F.col("text"), "section")
+    return out.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5(F.col("section").cast("binary")).alias("section"))
+
+
+@query(f"""
+WITH i AS (SELECT doc_id, sum(CASE WHEN length(text) < 80 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island, length(text) AS n FROM {_LINES})
+SELECT doc_id, island::BIGINT AS island, count(*) AS n_lines, sum(n)::BIGINT AS n_chars FROM i GROUP BY ALL""")
+def line_islands(spark, sf_dir):
+    out = lines.islands(doc_lines(spark, sf_dir), "doc_id", F.length("text") < 80)
+    return out.groupBy("doc_id", "island").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+@query(r"""
+SELECT doc_id, md5(trim(regexp_replace(list_reduce(string_split(coalesce(text, ''), chr(10)), lambda s, x: CASE WHEN s = '' THEN x
+  WHEN regexp_matches(s, '(^|[^ ])-$') AND regexp_matches(x, '^\p{Ll}') THEN left(s, length(s) - 1) || x ELSE s || ' ' || x END), '\s+', ' ', 'g'))) AS folded FROM documents""")
+def dehyphenate_fold(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.fold_lines(F.split("text", "\n")).cast("binary")).alias("folded"))
+
+
+@query(rf"""
+WITH s AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(text, '^(.{{3,}}[.;:)”"?!])([0-9]{{1,3}})$')
+  THEN [regexp_extract(text, '^(.{{3,}}[.;:)”"?!])([0-9]{{1,3}})$', 1), regexp_extract(text, '^(.{{3,}}[.;:)”"?!])([0-9]{{1,3}})$', 2)] ELSE [text] END AS p FROM {_LINES})
+SELECT doc_id, sum(len(p))::BIGINT AS n_lines, md5(string_agg(array_to_string(p, chr(10)), chr(10) ORDER BY line_no)) AS lines FROM s GROUP BY doc_id""")
+def glued_number_split(spark, sf_dir):
+    out = lines.split_glued_numbers(doc_lines(spark, sf_dir), "doc_id")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.md5(joined.cast("binary")).alias("lines"))
+
+
+# --- quality
+
+
+_FLAGS = r"""
+list_filter([CASE WHEN list_max(list_transform(string_split(t, chr(10)), lambda x: length(x))) > 2000 THEN 'alternativa_com_texto_extra' END,
+ CASE WHEN regexp_matches(t, '[\x{E000}-\x{F8FF}\x{FFFD}\x{25A1}]') THEN 'simbolo_nao_convertido' END,
+ CASE WHEN len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[0-9()+\-*/^=−]{1,2}$'))) > 0 THEN 'fragmento_solto' END,
+ CASE WHEN regexp_matches(t, '[\p{L}\p{N}_] {2,}[\p{L}\p{N}_]') THEN 'espaco_de_simbolo_perdido' END,
+ CASE WHEN length(t) < 25 THEN 'enunciado_curto' END,
+ CASE WHEN regexp_matches(t, '(?i)(?:^|[^\p{L}\p{N}_])(figura|imagem|ilustra[çc][ãa]o|gr[áa]fico|diagrama|esquema|charge|tirinha|cartum|fotografia|captura de tela)(\s+[\p{L}\p{N}_]+){0,3}\s+(a seguir|abaixo|acima|seguinte|apresentad|mostrad|exibid|ilustrad)|(observe|analise|considere)\s+(a|o)\s+(figura|imagem|gr[áa]fico|diagrama|esquema)') THEN 'depende_de_imagem' END,
+ CASE WHEN length(t) > 0 AND length(regexp_replace(t, '[\p{L}\p{N}\s.,;:!?()\[\]{}''"“”‘’\-–—/\\%$#@&*+=<>_|^~`°ºª§•▪→←≥≤≠×÷⇒⇔±∞√∑∈]', '', 'g'))::DOUBLE / length(t) > 0.03 THEN 'caracteres_estranhos' END], lambda x: x IS NOT NULL)"""
+
+
+@query(f"SELECT doc_id, array_to_string({_FLAGS}, ',') AS problems FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def quality_flags(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.array_join(quality.text_flags("text"), ",").alias("problems"))
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, len(list_filter({_FLAGS}, lambda x: x <> 'espaco_de_simbolo_perdido')) > 0 AS bad FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT CASE WHEN bad THEN 'discarded' ELSE 'kept' END AS branch, quality, count(*) AS n FROM f LEFT JOIN labels USING (doc_id) GROUP BY ALL""")
+def keep_discard_split(spark, sf_dir):
+    flagged = documents(spark, sf_dir).select("doc_id", quality.text_flags("text").alias("reasons"))
+    kept, gone = quality.keep_discard(flagged, "reasons", [f for f in quality.FLAGS if f != "espaco_de_simbolo_perdido"])
+    both = kept.select("doc_id", F.lit("kept").alias("branch")).unionByName(gone.select("doc_id", F.lit("discarded").alias("branch")))
+    return both.join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("branch", "quality").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- lexicon
+
+_LEX = "(VALUES " + ", ".join(f"('{a}', {i}, {w}, '{t}')" for i, (a, s, k) in enumerate(lexicon.LANGUAGES) for w, ts in ((2, s), (1, k)) for t in ts) + ") AS x(area, area_ord, weight, term)"
+_SCORES = rf"""
+w AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS % (_NORM % "coalesce(text, '')")}) AS term FROM documents) GROUP BY ALL),
+s AS (SELECT doc_id, area, area_ord, sum(CASE WHEN weight = 2 THEN 2 * least(n, 3) ELSE 1 END)::BIGINT AS score, count(*) FILTER (weight = 2) AS strong FROM w JOIN {_LEX} USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, area_ord) AS r FROM s),
+t AS (SELECT doc_id, max(CASE WHEN r = 1 THEN area END) AS area, max(CASE WHEN r = 1 THEN score END) AS score, max(CASE WHEN r = 1 THEN strong END) AS strong, coalesce(max(CASE WHEN r = 2 THEN score END), 0) AS runner_up FROM r GROUP BY doc_id)"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.scores(documents(spark, sf_dir), "doc_id", F.col("text"), lexicon.stopword_lexicon(spark))
+
+
+@query(f"WITH {_SCORES} SELECT doc_id, area, score, strong FROM s")
+def lexicon_scores(spark, sf_dir):
+    return _scores(spark, sf_dir).select("doc_id", "area", "score", "strong")
+
+
+@query(f"WITH {_SCORES} SELECT *, score - runner_up >= 4 AS confident FROM t")
+def lexicon_decide(spark, sf_dir):
+    return lexicon.decide(_scores(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {_SCORES} SELECT doc_id, area, strong >= 1 AND score >= CASE WHEN source = 'src0' THEN 2 ELSE 3 END AS in_domain FROM t JOIN documents USING (doc_id)")
+def domain_filter(spark, sf_dir):
+    decided = lexicon.decide(_scores(spark, sf_dir), "doc_id").join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    return lexicon.in_domain(decided, special=F.col("source") == "src0").select("doc_id", "area", "in_domain")
+
+
+@query(f"""WITH {_SCORES} SELECT area, count(*) AS n_docs, sum(score)::BIGINT AS points, round(avg(n), 6) AS mean_tokens, count(*) FILTER (score - runner_up >= 4) AS n_confident
+FROM t JOIN (SELECT doc_id, len({_TOKENS}) AS n FROM documents) USING (doc_id) GROUP BY area ORDER BY n_docs DESC, area""")
+def lexicon_class_stats(spark, sf_dir):
+    sized = documents(spark, sf_dir).select("doc_id", F.size(T.tokens("text")).alias("n"))
+    out = lexicon.decide(_scores(spark, sf_dir), "doc_id").join(sized, "doc_id").groupBy("area").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("score").alias("points"), F.avg("n").alias("mean_tokens"), F.count_if("confident").alias("n_confident")
+    )
+    return rounded(out, "mean_tokens").orderBy(F.col("n_docs").desc(), "area")
+
+
+@query(f"WITH {_SCORES} SELECT lang, count(*) AS n, round(avg(CASE WHEN area = lang THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM documents LEFT JOIN t USING (doc_id) GROUP BY lang")
+def keyword_validation(spark, sf_dir):
+    decided = lexicon.decide(_scores(spark, sf_dir), "doc_id").select("doc_id", "area")
+    right = F.coalesce(F.col("area") == F.col("lang"), F.lit(False)).cast("double")
+    return rounded(documents(spark, sf_dir).join(decided, "doc_id", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy")), "accuracy")
+
+
+# --- TF-IDF
+
+_TF = rf"""
+c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_ALPHA}) AS term FROM documents) WHERE length(term) >= 2 GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM documents),
+i AS (SELECT term, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM c, n GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.8 * any_value(n)),
+u AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM c JOIN i USING (term)),
+x AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM u),
+m AS (SELECT term, sum(weight) / any_value(n) AS mean_tfidf, count(*) AS docs_with_term FROM x, n GROUP BY term),
+top AS (SELECT *, row_number() OVER (ORDER BY round(mean_tfidf, 9) DESC, term) AS position FROM m QUALIFY position <= 200)"""
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
+    d = documents(spark, sf_dir)
+    counts = tfidf.term_counts(d, "doc_id", F.filter(T.words(F.lower("text")), lambda w: F.length(w) >= 2))
+    n = d.agg(F.count(F.lit(1))).scalar()
+    return counts, tfidf.transform(counts, "doc_id", tfidf.fit(counts, "doc_id", n, min_df=5, max_df=0.8)), n
+
+
+def _top(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counts, weights, n = _weights(spark, sf_dir)
+    means = tfidf.mean_weights(weights, n).withColumn("mean_tfidf", F.round("mean_tfidf", 9))
+    return counts, tfidf.top_terms(means, 200)
+
+
+@query(f"WITH {_TF} SELECT doc_id, term, round(weight, 6) AS weight FROM x")
+def tfidf_weights(spark, sf_dir):
+    return rounded(_weights(spark, sf_dir)[1], "weight")
+
+
+@query(f"WITH {_TF} SELECT position::INT AS position, term, round(mean_tfidf, 6) AS mean_tfidf, docs_with_term FROM top")
+def mean_tfidf_top200(spark, sf_dir):
+    return rounded(_top(spark, sf_dir)[1], "mean_tfidf")
+
+
+@query(f"WITH {_TF}, e AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS r FROM c JOIN top USING (term)) SELECT term, string_agg(doc_id::VARCHAR, ', ' ORDER BY doc_id) AS examples FROM e WHERE r <= 3 GROUP BY term")
+def term_examples(spark, sf_dir):
+    counts, top = _top(spark, sf_dir)
+    return tfidf.term_examples(counts, "doc_id", top)
+
+
+@query(f"""WITH {_TF}, o AS (SELECT term, row_number() OVER (ORDER BY md5(term || '-42'), term) - 1 AS i FROM top)
+SELECT 'P' || lpad((a.i // 2 + 1)::VARCHAR, 3, '0') AS pair_id, a.term AS word_1, b.term AS word_2 FROM o a JOIN o b ON b.i = a.i + 1 WHERE a.i % 2 = 0""")
+def pair_words(spark, sf_dir):
+    return tfidf.shuffled_pairs(_top(spark, sf_dir)[1], "term")
+
+
+# --- agreement
+
+
+@query("""
+SELECT doc_id, 'humana' AS annotation, 'q' AS annotator_1, quality AS score_1, 't' AS annotator_2, toxic AS score_2, (quality + toxic) / 2 AS mean_score, (quality + toxic) / 2 AS median_score,
+       abs(quality - toxic) AS amplitude, CASE WHEN abs(quality - toxic) >= 2 THEN 'sim' ELSE 'nao' END AS review FROM labels""")
+def annotator_join(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    notes = lab.select(F.col("doc_id").alias("pair_id"), F.stack(F.lit(2), F.lit("q"), F.col("quality"), F.lit("t"), F.col("toxic")).alias("annotator", "score"))
+    return stats.pair_scores(lab.select(F.col("doc_id").alias("pair_id")), notes, ("q", "t")).withColumnRenamed("pair_id", "doc_id")
+
+
+@query("""
+WITH d AS (SELECT unnest([0, 1]) AS v), j AS (SELECT a.v AS i, b.v AS j, count(l.doc_id) AS n FROM d a, d b LEFT JOIN labels l ON quality = a.v AND toxic = b.v GROUP BY ALL),
+e AS (SELECT i, j, n, sum(n) OVER (PARTITION BY i) * sum(n) OVER (PARTITION BY j) / sum(n) OVER () AS e FROM j)
+SELECT round(1 - sum((i <> j)::INT * n) / sum((i <> j)::INT * e), 6) AS kappa_plain, round(1 - sum(abs(i - j) * n) / sum(abs(i - j) * e), 6) AS kappa_linear,
+       round(1 - sum((i - j) * (i - j) * n) / sum((i - j) * (i - j) * e), 6) AS kappa_quadratic FROM e""".replace("FROM d a, d b LEFT JOIN labels l ON quality = a.v AND toxic = b.v", "FROM d a CROSS JOIN d b LEFT JOIN labels l ON quality = a.v AND toxic = b.v"))
+def agreement_kappa(spark, sf_dir):
+    return rounded(stats.kappa(table(spark, sf_dir, "labels"), "quality", "toxic", [0, 1]), "kappa_plain", "kappa_linear", "kappa_quadratic")
+
+
+@query("SELECT round(avg((quality = toxic)::INT), 6) AS exact, round(avg((abs(quality - toxic) <= 1)::INT), 6) AS within_one, round(avg(abs(quality - toxic)), 6) AS mean_difference FROM labels")
+def agreement_exact(spark, sf_dir):
+    return rounded(stats.agreement(table(spark, sf_dir, "labels"), "quality", "toxic"), "exact", "within_one", "mean_difference")
+
+
+@query("SELECT a::INT AS quality, b::INT AS toxic, count(doc_id) AS n FROM range(0, 3) AS x(a) CROSS JOIN range(0, 3) AS y(b) LEFT JOIN labels ON quality = a AND toxic = b GROUP BY ALL")
+def confusion_full(spark, sf_dir):
+    return stats.confusion(table(spark, sf_dir, "labels"), "quality", "toxic", [0, 1, 2])
+
+
+_RANKS = rf"""
+d AS (SELECT doc_id, n_chars, len({_TOKENS}) AS n_tokens FROM documents),
+k AS (SELECT doc_id, n_chars, n_tokens, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS a, rank() OVER (ORDER BY n_tokens) + (count(*) OVER (PARTITION BY n_tokens) - 1) / 2 AS b FROM d)"""
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", "n_chars", F.size(T.tokens("text")).cast("long").alias("n_tokens"))
+
+
+@query(f"WITH {_RANKS} SELECT count(*) AS n, round(corr(a, b), 6) AS spearman FROM k")
+def spearman_scores(spark, sf_dir):
+    return rounded(stats.spearman(_sized(spark, sf_dir), "n_chars", "n_tokens"), "spearman")
+
+
+@query(f"WITH {_RANKS} SELECT doc_id, n_chars, n_tokens, a AS rank_n_chars, b AS rank_n_tokens, abs(a - b) AS difference FROM k ORDER BY difference DESC, doc_id LIMIT 3")
+def rank_disagreement_top(spark, sf_dir):
+    return stats.rank_disagreement(_sized(spark, sf_dir), "doc_id", "n_chars", "n_tokens")
+
+
+# --- vectors and learning
+
+
+@query("""SELECT a.vec_id, round(coalesce(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 0), 0), 6) AS cosine
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def cosine_pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    return rounded(pairs.select("vec_id", cosine(F.col("embedding"), F.col("b")).alias("cosine")), "cosine")
+
+
+_SPLIT = "sp AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || '-42'), vec_id) <= floor(count(*) OVER (PARTITION BY label) * 0.2) AS is_test FROM embeddings)"
+_KNN = f"""{_SPLIT},
+nn AS (SELECT a.vec_id, a.label AS truth, b.vec_id AS nb, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS r FROM sp a JOIN sp b ON a.is_test AND NOT b.is_test),
+vt AS (SELECT vec_id, truth, label, count(*) AS n FROM nn WHERE r <= 3 GROUP BY ALL),
+pr AS (SELECT vec_id, truth, arg_min(label, (-n, label)) AS predicted FROM vt GROUP BY ALL)"""
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.stratified_split(table(spark, sf_dir, "embeddings"), "vec_id", "label")
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _split(spark, sf_dir)
+    test = s.where("is_test")
+    near = ml.nearest(s.where("not is_test"), test, "vec_id", "embedding", "label", 3)
+    return ml.vote(near, "vec_id").join(test.select("vec_id", F.col("label").alias("truth")), "vec_id")
+
+
+@query(f"WITH {_SPLIT} SELECT vec_id, label, is_test FROM sp")
+def stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("vec_id", "label", "is_test")
+
+
+@query("SELECT vec_id, label, ((row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || '-42'), vec_id) - 1) % 5)::INT AS fold FROM embeddings")
+def cv_folds(spark, sf_dir):
+    return ml.folds(table(spark, sf_dir, "embeddings"), "vec_id", "label").select("vec_id", "label", "fold")
+
+
+@query(f"WITH {_KNN} SELECT vec_id, truth, predicted FROM pr")
+def knn_predict(spark, sf_dir):
+    return _predicted(spark, sf_dir).select("vec_id", "truth", "predicted")
+
+
+@query(f"WITH {_KNN} SELECT count(*) AS n, round(avg((truth = predicted)::INT), 6) AS accuracy FROM pr")
+def knn_accuracy(spark, sf_dir):
+    return rounded(_predicted(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("truth") == F.col("predicted")).cast("double")).alias("accuracy")), "accuracy")
+
+
+@query(f"""WITH {_KNN}, l AS (SELECT truth AS label FROM pr UNION SELECT predicted FROM pr),
+f AS (SELECT label, count(*) FILTER (truth = label AND predicted = label) AS hit, count(*) FILTER (predicted = label) AS claimed, count(*) FILTER (truth = label) AS support FROM l CROSS JOIN pr GROUP BY label),
+g AS (SELECT *, CASE WHEN claimed > 0 THEN hit / claimed ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS r FROM f)
+SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, support FROM g""")
+def macro_f1_report(spark, sf_dir):
+    return rounded(stats.class_report(_predicted(spark, sf_dir), "truth", "predicted"), "precision", "recall", "f1")
+
+
+@query()
+def logreg_embeddings(spark, sf_dir):
+    return rounded(corpus.compare_models(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"), "macro_f1", "accuracy")
+
+
+@query()
+def errors_all_models(spark, sf_dir):
+    """Test rows that both k-NN and logistic regression miss."""
+    s = _split(spark, sf_dir).withColumn("v", ml.as_vector("embedding"))
+    model = ml.logistic(s.where("not is_test"), "v", "label", c=0.1, max_iter=100, scale=True)
+    other = model.transform(s.where("is_test")).select("vec_id", F.col("prediction").cast("int").alias("logreg"))
+    return _predicted(spark, sf_dir).join(other, "vec_id").where("predicted <> truth and logreg <> truth")
+
+
+# --- matching, pages, conversations, events
+
+
+@query(rf"""
+WITH c AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all({_NORM % "coalesce(text, '')"}, '[a-z0-9]+')) AS t FROM conversations),
+u AS (SELECT conv_id, t FROM c WHERE turn = 0), p AS (SELECT c.conv_id, c.turn, len(list_intersect(u.t, c.t))::DOUBLE AS i, len(u.t) + len(c.t) AS s FROM u JOIN c USING (conv_id) WHERE c.turn > 0),
+j AS (SELECT conv_id, turn, CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END AS similarity FROM p)
+SELECT conv_id, turn, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY similarity DESC, turn) AS r FROM j) WHERE r = 1""")
+def best_header_match(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.ascii_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    first, later = c.where("turn = 0").select("conv_id", F.col("t").alias("a")), c.where("turn > 0").select("conv_id", "turn", F.col("t").alias("b"))
+    return rounded(exams.best_match(first, later, "conv_id", F.col("a"), F.col("b"), "turn").select("conv_id", "turn", "similarity"), "similarity")
+
+
+@query(r"""
+SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS text FROM pages""")
+def page_text_extract(spark, sf_dir):
+    bare = F.regexp_replace(F.regexp_replace("html", "(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "(?s)<[^>]*>", " ")
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(a), F.lit(b))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.trim(F.regexp_replace(bare, "\\s+", " ")).cast("binary")).alias("text"))
+
+
+@query("""
+SELECT conv_id, turn, length(text) AS n, lag(role) OVER w AS before, lead(role) OVER w AS after, length(lead(text) OVER w) < 60 AND NOT regexp_matches(lead(text) OVER w, '[.:;?]$') AS goes_on
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def conversation_pairs(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    after = F.lead("text").over(w)
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.length("text").cast("long").alias("n"), F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"),
+        ((F.length(after) < 60) & ~F.regexp_like(after, F.lit("[.:;?]$"))).alias("goes_on"),
+    )
+
+
+@query("SELECT event_type, count(*) AS n, sum((props::JSON->>'k')::BIGINT)::BIGINT AS total_k, max((props::JSON->>'k')::BIGINT) AS max_k FROM events GROUP BY event_type")
+def json_props(spark, sf_dir):
+    k = F.from_json("props", "k bigint")["k"]
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total_k"), F.max(k).alias("max_k"))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark, sf_dir):
+    out = tumbling(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "event_type")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- exams: the worked example, as every other text table lacks exams
+
+EXAM = """Órgão Exemplo Analista X
+Conhecimentos Específicos
+1
+Qual comando lista arquivos no Linux usando o termi-
+nal padrão?
+(A) ls
+(B) cd
+(C) rm
+(D) mv
+(E) cp.2
+Órgão Exemplo Analista X
+A sigla usada para o protocolo seguro da web é:
+(A) HTTPS
+(B) SMTP
+(C) POP3
+(D) SNMP
+(E) FTP.
+Texto 1
+Um servidor registra acessos.
+\fÓrgão Exemplo Analista X
+3
+Segundo a ideia do texto 1, o registro é chamado de:
+(A) log
+(B) cache
+(C) token
+(D) cookie;
+(B) outra
+(E) proxy.
+Órgão Exemplo Analista X
+"""
+EXAM_KEY = "Analista Tipo 1 Branca\n1 2 3\nA C *\n"
+
+
+@query("""SELECT * FROM (VALUES
+('01-001', 'Conhecimentos Específicos', 'Qual comando lista arquivos no Linux usando o terminal padrão?', 'ls|cd|rm|mv|cp.', 'A', ''),
+('01-002', 'Conhecimentos Específicos', 'A sigla usada para o protocolo seguro da web é:', 'HTTPS|SMTP|POP3|SNMP|FTP.', 'C', ''),
+('01-003', 'Conhecimentos Específicos', 'Texto 1 Um servidor registra acessos. Segundo a ideia do texto 1, o registro é chamado de:', 'log|cache|token|cookie; (B) outra|proxy.', 'ANULADA', 'questoes_mescladas,questao_anulada'))
+AS x(id, section, statement, options, answer, problems)""")
+def exam_records(spark, sf_dir):
+    e = spark.createDataFrame([("01", "analista-exemplo-fgv-2023", EXAM)], "exam string, slug string, text string")
+    k = spark.createDataFrame([("01", EXAM_KEY)], "exam string, text string")
+    out = exams.records(e, k)
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("options")), lambda x: x["value"]), "|")
+    return out.select("id", "section", "statement", listed.alias("options"), "answer", F.array_join("problems", ",").alias("problems"))
