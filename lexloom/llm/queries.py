@@ -158,8 +158,8 @@ m5 AS (SELECT x.g, (a + 4.0 * pa) / (sum(a) OVER q + 4.0) AS pa, (r + 4.0 * pr)
 sc AS (SELECT text, sum(ln(pa) - ln(pr)) / count(*) AS score FROM e JOIN m5 USING (g) GROUP BY text),
 z AS (SELECT j.*, coalesce(score, 0.0) AS score FROM j LEFT JOIN sc USING (text)),
 bins AS (SELECT floor(score * 100)::BIGINT AS b, count(*) FILTER (v = 'allow') AS a, count(*) FILTER (v = 'block') AS r FROM z WHERE cal AND v IS NOT NULL GROUP BY 1),
-gain AS (SELECT b, sum(a) OVER (ORDER BY b DESC) * sum(r) OVER () - sum(r) OVER (ORDER BY b DESC) * sum(a) OVER () AS gain, sum(a) OVER () AS ta, sum(r) OVER () AS tr FROM bins),
-t AS (SELECT coalesce((SELECT b / 100.0 FROM gain WHERE ta > 0 AND tr > 0 ORDER BY gain DESC, b DESC LIMIT 1), 0.0) AS t)
+gain AS (SELECT b, sum(a) OVER (ORDER BY b DESC) * sum(r) OVER () - sum(r) OVER (ORDER BY b DESC) * sum(a) OVER () AS gain, sum(a) OVER () AS ta, sum(r) OVER () AS tr, coalesce(lead(b) OVER (ORDER BY b DESC) + 1, b) AS low FROM bins),
+t AS (SELECT coalesce((SELECT (b + low) / 200.0 FROM gain WHERE ta > 0 AND tr > 0 ORDER BY gain DESC, b DESC LIMIT 1), 0.0) AS t)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN score >= (SELECT t FROM t) THEN 'allow' ELSE 'block' END) AS verdict FROM z""",
     "op8_near_dedup": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -79,15 +79,21 @@ def markov_ratio(counts: DataFrame, order: int, weight: float) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """One row (t): the score, in hundredths, that best separates accepted from rejected in ``scored`` (score, accepted)."""
+    """One row (t): what best separates accepted from rejected in ``scored`` (score, accepted).
+
+    Scores are counted in hundredths; t lies midway between the best cut's bin and the next one below that holds rows.
+    """
     bins = scored.groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(
         F.sum(F.when(F.col("accepted"), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("accepted"), 0).otherwise(1)).alias("r")
     )
-    above = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a row per bin: thousands at most
-    total = Window.partitionBy()
-    gain = bins.select("bin", F.sum("a").over(above).alias("a"), F.sum("r").over(above).alias("r"), F.sum("a").over(total).alias("ta"), F.sum("r").over(total).alias("tr")).where("ta > 0 and tr > 0")
-    best = gain.agg(F.max(F.struct((F.col("a") * F.col("tr") - F.col("r") * F.col("ta")).alias("gain"), F.col("bin"))).alias("x"))
-    return best.select(F.coalesce(F.col("x.bin") / 100.0, F.lit(0.0)).alias("t"))
+    down = Window.orderBy(F.col("bin").desc())  # a row per bin: thousands at most
+    above, total = down.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    gain = bins.select(
+        "bin", F.coalesce(F.lead("bin").over(down) + 1, F.col("bin")).alias("low"), F.sum("a").over(above).alias("a"), F.sum("r").over(above).alias("r"),
+        F.sum("a").over(total).alias("ta"), F.sum("r").over(total).alias("tr"),
+    ).where("ta > 0 and tr > 0")
+    best = gain.agg(F.max(F.struct((F.col("a") * F.col("tr") - F.col("r") * F.col("ta")).alias("gain"), F.col("bin"), F.col("low"))).alias("x"))
+    return best.select(F.coalesce((F.col("x.bin") + F.col("x.low")) / 200.0, F.lit(0.0)).alias("t"))
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: int = ORDER, weight: float = WEIGHT) -> DataFrame:
