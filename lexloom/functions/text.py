@@ -153,3 +153,11 @@ def jaccard(a: Column, b: Column) -> Column:
     """Shared part of two token sets; 0 for two empty ones."""
     both = F.size(F.array_union(a, b))
     return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(F.lit(0.0))
+
+
+def display_name(c: Column | str, names: dict[str, str]) -> Column:
+    """A name for each listed value; the value itself for others."""
+    out = col(c)
+    for value, name in names.items():
+        out = F.when(col(c) == value, F.lit(name)).otherwise(out)
+    return out

@@ -10,6 +10,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +117,16 @@ def as_vector(column: str) -> Column:
     return array_to_vector(F.col(column).cast("array<double>"))
 
 
+def sparse_vectors(weights: DataFrame, key: str, vocabulary: list[str]) -> DataFrame:
+    """(key, features) of a long table (key, term, weight); places are those of ``vocabulary``, which is bounded by its fit."""
+    spark = weights.sparkSession
+    places = spark.createDataFrame(list(enumerate(vocabulary)), "place int, term string")
+    width = len(vocabulary)
+    vector = F.udf(lambda pairs: SparseVector(width, [(p.place, p.weight) for p in pairs]), VectorUDT())
+    rows = weights.join(F.broadcast(places), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("pairs"))
+    return rows.select(key, vector("pairs").alias("features"))
+
+
 def top_coefficients(model: LogisticRegression, terms: list[str], k: int = 10) -> list[tuple[int, str, float]]:
     """(class, term, coefficient): the k greatest of each class."""
     matrix = model.coefficientMatrix.toArray()

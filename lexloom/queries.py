@@ -496,6 +496,33 @@ def logreg_embeddings(spark, sf_dir):
     return rounded(corpus.compare_models(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"), "macro_f1", "accuracy")
 
 
+def _text_model(spark: SparkSession, sf_dir: str):
+    """(model, test rows with features, vocabulary): quality by TF-IDF and balanced logistic regression."""
+    d = documents(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    split = ml.stratified_split(d, "doc_id", "quality")
+    counts = tfidf.term_counts(split, "doc_id", F.filter(T.words(F.lower("text")), lambda w: F.length(w) >= 2))
+    train = counts.join(split.where("not is_test").select("doc_id"), "doc_id", "left_semi")
+    idf = tfidf.fit(train, "doc_id", split.where("not is_test").agg(F.count(F.lit(1))).scalar(), max_features=10_000)
+    vocabulary = [r.term for r in idf.select("term").orderBy("term").collect()]
+    rows = split.select("doc_id", "quality", "is_test").join(ml.sparse_vectors(tfidf.transform(counts, "doc_id", idf), "doc_id", vocabulary), "doc_id").persist()
+    return ml.logistic(rows.where("not is_test"), "features", "quality", c=1.0, max_iter=40), rows.where("is_test"), vocabulary
+
+
+@query()
+def logreg_text(spark, sf_dir):
+    """Held-out macro F1 and accuracy of quality by text."""
+    model, test, _ = _text_model(spark, sf_dir)
+    got = model.transform(test).select(F.col("quality").alias("truth"), F.col("prediction").cast("int").alias("predicted"))
+    return rounded(stats.macro_report(got, "truth", "predicted"), "macro_f1", "accuracy")
+
+
+@query()
+def logreg_top_terms(spark, sf_dir):
+    """The ten terms of greatest weight for each class."""
+    model, _, vocabulary = _text_model(spark, sf_dir)
+    return rounded(spark.createDataFrame(ml.top_coefficients(model.stages[-1], vocabulary), "quality int, term string, coefficient double"), "coefficient")
+
+
 @query()
 def errors_all_models(spark, sf_dir):
     """Test rows that both k-NN and logistic regression miss."""
