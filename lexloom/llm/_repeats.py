@@ -247,7 +247,10 @@ def contexts(docs: DataFrame, places: DataFrame, tokens: Callable, length: int,
         for batch in batches:
             rows, size = [], 0
             for doc_id, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                items = kind.split(text.as_py())
+                text = text.as_py()
+                if text is None:  # no place in it
+                    continue
+                items = kind.split(text)
                 for x in at.as_py():
                     p = x["pos"]
                     if x["stop"] >= 0:
@@ -261,7 +264,8 @@ def contexts(docs: DataFrame, places: DataFrame, tokens: Callable, length: int,
                 yield pa.record_batch([list(c) for c in zip(*rows)], schema=CONTEXT)
 
     by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos", "stop")).alias("at"))
-    return _texts(docs).join(by_doc, "doc_id").select("doc_id", "text", "at").mapInArrow(cut, CONTEXT_DDL)
+    # a left join like that of apply(): an inner one would filter the texts first, and Spark shuffle them twice
+    return _texts(docs).join(by_doc, "doc_id", "left").select("doc_id", F.when(F.col("at").isNotNull(), F.col("text")).alias("text"), "at").mapInArrow(cut, CONTEXT_DDL)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
