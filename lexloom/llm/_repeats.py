@@ -24,7 +24,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,23 +60,31 @@ def sliding(a: np.ndarray, width: int, pick: Callable) -> np.ndarray:
     return pick(a[: len(a) - (width - step)], a[width - step :]) if width > step else a
 
 
+#: ASCII whitespace, as `bytes.split` has it.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
 class Words:
-    """ASCII-whitespace words, identified by a 64-bit hash."""
+    """ASCII-whitespace words, identified by a 64-bit hash of their bytes."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+    @staticmethod
+    def measured(text: bytes, power: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(identifier, start, end in the text) of each word."""
+        data = np.frombuffer(text, np.uint8)
+        n = len(data)
+        power.to(n + 1)
+        word = np.zeros(n + 2, np.int8)
+        word[1:-1] = ~_SPACE[data]
+        edge = np.flatnonzero(np.diff(word))
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(n + 1, U)
+        np.cumsum(_BYTES[data] * power.down[:n], out=sums[1:])
+        return mixed((sums[end] - sums[start]) * power.up[start] + (end - start).astype(U)), start, end
 
     def split(self, text: bytes) -> list[bytes]:
         return text.split()
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), U, len(words))
-
     @classmethod
     def right(cls, words: list[bytes], lo: int, hi: int) -> bytes:
         return cls.joined(words[lo:hi])
@@ -98,12 +105,14 @@ class Words:
 class Bytes:
     """UTF-8 bytes."""
 
+    @staticmethod
+    def measured(text: bytes, power: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.arange(len(text) + 1)
+        return _BYTES[np.frombuffer(text, np.uint8)], at[:-1], at[1:]
+
     def split(self, text: bytes) -> bytes:
         return text
 
-    def ids(self, text: bytes) -> np.ndarray:
-        return _BYTES[np.frombuffer(text, np.uint8)]
-
     @staticmethod
     def right(text: bytes, lo: int, hi: int) -> bytes:
         return text[lo:hi]
@@ -155,12 +164,13 @@ def anchors(docs: DataFrame, tokens: Callable, length: int, seed: int, levels: i
             settled: dict[int, list[tuple[int, int]]] = {}
             gone = np.zeros(len(order), bool)
             for a, b in zip(order[same].tolist(), first[same].tolist()):
-                x, y = held[which[a]][1], held[which[b]][1]
+                _, (x, start_x, end_x), *_ = held[which[a]]
+                _, (y, start_y, end_y), *_ = held[which[b]]
                 p, q = int(pos[a]), int(pos[b])
-                lo, hi = max(0, p - width + 1), min(len(x), p + length)
+                lo, hi, low, high = max(0, p - width + 1), min(len(end_x), p + length), max(0, q - width + 1), min(len(end_y), q + length)
                 if (doc[a], p) == (doc[b], q):  # one document twice: the same place
                     gone[a] = True
-                elif p - lo == q - max(0, q - width + 1) and x[lo:hi] == y[q - (p - lo) : q + hi - p] and (hi - p == length or hi - p == len(y) - q):
+                elif p - lo == q - low and hi - p == high - q and x[start_x[lo] : end_x[hi - 1]] == y[start_y[low] : end_y[high - 1]]:
                     gone[a] = True
                     if hi - lo >= length:
                         settled.setdefault(int(doc[a]), []).append((lo, hi))
@@ -176,12 +186,11 @@ def anchors(docs: DataFrame, tokens: Callable, length: int, seed: int, levels: i
                 text = text.as_py()
                 if not text or len(text) < length:
                     continue
-                items = kind.split(text)
-                n = len(items)
+                values, start, end = kind.measured(text, power)
+                n = len(values)
                 if n < length:
                     continue
                 power.to(n + 1)
-                values = kind.ids(items)
                 sums = np.zeros(n + 1, U)
                 np.cumsum(values * power.down[:n], out=sums[1:])
                 h = mixed((sums[seed:] - sums[:-seed]) * power.up[: n - seed + 1])
@@ -196,7 +205,7 @@ def anchors(docs: DataFrame, tokens: Callable, length: int, seed: int, levels: i
                     for i in range(levels):
                         top = (top << U(16)) | (mixed((sums[at + i + 1] - sums[at]) * power.up[at]) >> U(48))
                     key = (top << U(64 - 16 * levels)) | (key >> U(16 * levels))
-                held.append((doc_id, items, at, key, whole))
+                held.append((doc_id, (text, start, end), at, key, whole))
                 size += len(text)
                 if size > _FLUSH_BYTES:
                     yield from flush()

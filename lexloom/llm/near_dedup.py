@@ -42,9 +42,9 @@ EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 EDGE_DDL = "u long, v long"
 
 
-def shingles(text: bytes, words: R.Words, power: R.Powers) -> np.ndarray:
+def shingles(text: bytes, power: R.Powers) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles (A-Z lower-cased, ASCII-whitespace words)."""
-    ids = words.ids(text.lower().split())
+    ids = R.Words.measured(text.lower(), power)[0]
     n = len(ids)
     if not n:
         return np.empty(0, U)
@@ -59,11 +59,11 @@ def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, print_a, print_b, nodes, signature): what of a document goes on; about 200 bytes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, power = R.Words(), R.Powers()
+        power = R.Powers()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = shingles(text.as_py() or b"", words, power)
+                s = shingles(text.as_py() or b"", power)
                 if not len(s):
                     rows.append((doc_id, 0, None, None, None, None))
                     continue
@@ -175,7 +175,7 @@ def _arrays(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.n
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each (cluster, block pair) of rows sorted by it, on full shingle sets."""
-    words, power = R.Words(), R.Powers()
+    power = R.Powers()
 
     def solve(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
         rows.sort(key=lambda x: (len(x[2]), x[0]))
@@ -205,7 +205,7 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at != key:
                 out += solve(rows) if len(rows) > 1 else []
                 key, rows = at, []
-            rows.append((doc_id, 0, shingles(text, words, power)))
+            rows.append((doc_id, 0, shingles(text, power)))
         if len(out) > 10_000:
             yield pa.record_batch([list(c) for c in zip(*out)], schema=EDGE)
             out = []

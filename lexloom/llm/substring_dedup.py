@@ -53,17 +53,27 @@ def shared(a: list[bytes], b: list[bytes]) -> int:
     return n
 
 
-def repeats(leaves: list[tuple[list[bytes], list[bytes], int, int]], length: int) -> Iterator[tuple[int, int, int]]:
+def listed(x: bytes) -> list[bytes]:
+    return x.split(b"\x00") if x else []
+
+
+def repeats(leaves: list[tuple[bytes, bytes, int, int]], length: int) -> Iterator[tuple[int, int, int]]:
     """(doc_id, start, stop) of what each deep node takes from all its leaves but the first. leaves: by right side."""
+    if len(leaves) < 2:
+        return
     if len(leaves) == 2:
         (r, s, *a), (t, u, *b) = leaves
-        depth, back = shared(r, t), shared(s, u)
+        depth = r.count(b"\x00") + 1 if r == t else shared(listed(r), listed(t))
+        back = (s.count(b"\x00") + 1 if s else 0) if s == u else shared(listed(s), listed(u))
         if depth + back >= length and a != b:
             d, p = max(a, b)
             yield d, p - back, p + depth
         return
-    for depth, lo, hi in Tree([x[0] for x in leaves]).nodes:
-        under = sorted(leaves[lo:hi], key=lambda x: x[1])
+    words: dict[bytes, bytes] = {}
+    one = lambda x: [words.setdefault(w, w) for w in listed(x)]
+    rows = [(one(r), one(s), d, p) for r, s, d, p in leaves]
+    for depth, lo, hi in Tree([x[0] for x in rows]).nodes:
+        under = sorted(rows[lo:hi], key=lambda x: x[1])
         for back, i, j in Tree([x[1] for x in under]).nodes:
             if depth + back >= length:
                 first = min(x[2:] for x in under[i:j])
@@ -75,23 +85,16 @@ def repeats(leaves: list[tuple[list[bytes], list[bytes], int, int]], length: int
 def subtrees(length: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, leaves, rows = None, [], []
-        words: dict[bytes, bytes] = {}
-
-        def listed(x: bytes) -> list[bytes]:
-            return [words.setdefault(w, w) for w in x.split(b"\x00")] if x else []
-
         for batch in batches:
             for right, left, d, p, stop in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
                 if stop >= 0:
                     rows.append((d, p, stop))
                     continue
-                right = listed(right)
-                if right[:SEED] != head:
+                start = right.split(b"\x00", SEED)[:SEED]
+                if start != head:
                     rows.extend(repeats(leaves, length))
-                    head, leaves = right[:SEED], []
-                    if len(words) > 200_000:
-                        words.clear()
-                leaves.append((right, listed(left), d, p))
+                    head, leaves = start, []
+                leaves.append((right, left, d, p))
             if len(rows) > 10_000:
                 yield pa.record_batch([list(c) for c in zip(*rows)], schema=R.SPAN)
                 rows = []
