@@ -72,6 +72,8 @@ def repeats(leaves: list[tuple[bytes, bytes, int, int]], length: int) -> Iterato
     words: dict[bytes, bytes] = {}
     one = lambda x: [words.setdefault(w, w) for w in listed(x)]
     rows = [(one(r), one(s), d, p) for r, s, d, p in leaves]
+    # all stretches of one suffix hold its first word, so their union is one stretch
+    reach: dict[tuple[int, int], tuple[int, int]] = {}
     for depth, lo, hi in Tree([x[0] for x in rows]).nodes:
         under = sorted(rows[lo:hi], key=lambda x: x[1])
         for back, i, j in Tree([x[1] for x in under]).nodes:
@@ -79,7 +81,10 @@ def repeats(leaves: list[tuple[bytes, bytes, int, int]], length: int) -> Iterato
                 first = min(x[2:] for x in under[i:j])
                 for x in under[i:j]:
                     if x[2:] != first:
-                        yield x[2], x[3] - back, x[3] + depth
+                        b, a = reach.get(x[2:], (0, 0))
+                        reach[x[2:]] = max(b, back), max(a, depth)
+    for (d, p), (back, depth) in reach.items():
+        yield d, p - back, p + depth
 
 
 def subtrees(length: int):

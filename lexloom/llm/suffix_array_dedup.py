@@ -60,11 +60,16 @@ def repeats(rows: list[tuple], length: int, reach: int) -> Iterator[tuple[int, i
             d, p = max(a, b)
             yield d, p - left, p + right
         return
+    # all stretches of one suffix hold its first byte, so their union is one stretch
+    spans: dict[tuple[int, int], tuple[int, int]] = {}
     for right, left, found in groups(rows, length, reach):
         first = min(x[2:] for x in found)
         for x in found:
             if x[2:] != first:
-                yield x[2], x[3] - left, x[3] + right
+                b, a = spans.get(x[2:], (0, 0))
+                spans[x[2:]] = max(b, left), max(a, right)
+    for (d, p), (left, right) in spans.items():
+        yield d, p - left, p + right
 
 
 def scan(length: int):
