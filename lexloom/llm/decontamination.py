@@ -1,8 +1,8 @@
 """Operator 9, benchmark decontamination: a broadcast hash set of test n-grams, in DataFrame functions only.
 
 The n-grams of the benchmark become a hash set (64-bit hash -> words). Each document's windows are hashed where the
-document lies, looked up in the set, and verified word for word in the same operator, so that the scan of the texts
-shuffles nothing; only verified hits move. The set is broadcast while it has at most ``broadcast_grams`` rows; beyond
+document lies (those whose first two words begin an n-gram), looked up in the set, and verified word for word in the
+same operator, so that the scan of the texts shuffles nothing; only verified hits move. The set is broadcast while it has at most ``broadcast_grams`` rows; beyond
 that Spark joins by shuffling hashes, with the words joined afterwards for verification.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lexloom.llm._tables import ascii_lower, stored
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The same words where A-Z are not lower-cased yet.
+ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Rows of the hash set that may be broadcast: about 200 bytes each, so 40 MB at most.
 BROADCAST_GRAMS = 200_000
 
@@ -29,10 +31,9 @@ def benchmark_grams(benchmark: DataFrame, n: int) -> DataFrame:
     return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("gram")).distinct()
 
 
-def windows(size: int) -> Column:
-    """(pos, h) of each window of ``size`` words of column w, from position 1."""
-    starts = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("w", i, size)).alias("h")))
+def _lead(first: Column, second: Column, size: int) -> Column:
+    """Hash of a window's first two words (of its only one): a cheaper test before the window's own hash."""
+    return F.xxhash64(first, second) if size > 1 else F.xxhash64(first)
 
 
 def hits(docs: DataFrame, grams: DataFrame, n: int, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
@@ -42,13 +43,16 @@ def hits(docs: DataFrame, grams: DataFrame, n: int, broadcast_grams: int = BROAD
     out = None
     for size, count in sorted(by_size.items()):
         keys = grams.where(F.size("gram") == size).select(F.xxhash64("gram").alias("h"), "gram")
-        # explode_outer: explode would make Spark test size(windows) > 0 below, and so compute the words and windows twice
-        scan = tokens.select("doc_id", "w", windows(size).alias("all"))
+        leads = grams.where(F.size("gram") == size).select(_lead(F.element_at("gram", 1), F.try_element_at("gram", F.lit(2)), size).alias("lead")).distinct()
+        # posexplode_outer: posexplode would make Spark test size(w) > 0 below, and so compute the words twice
+        at = tokens.select("doc_id", "w", F.posexplode_outer("w").alias("i", "x")).select(
+            "doc_id", "w", (F.col("i") + 1).alias("pos"), _lead(F.col("x"), F.try_element_at("w", F.col("i") + 2), size).alias("lead")
+        )
         if count <= broadcast_grams:
-            seen = scan.select("doc_id", "w", F.explode_outer("all").alias("x")).select("doc_id", "w", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"))
+            seen = at.join(F.broadcast(leads), "lead", "left_semi").select("doc_id", "w", "pos", F.xxhash64(F.slice("w", F.col("pos"), size)).alias("h"))
             found = seen.join(F.broadcast(keys), "h").where(F.slice("w", F.col("pos"), size) == F.col("gram")).select("doc_id", "pos", "gram")
         else:
-            seen = scan.select("doc_id", F.explode_outer("all").alias("x")).select("doc_id", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"))
+            seen = at.where("pos is not null").select("doc_id", "pos", F.xxhash64(F.slice("w", F.col("pos"), size)).alias("h"))
             maybe = seen.join(keys, "h").select("doc_id", "pos", "gram")
             found = maybe.join(tokens, "doc_id").where(F.slice("w", F.col("pos"), size) == F.col("gram")).select("doc_id", "pos", "gram")
         out = found if out is None else out.unionByName(found)
@@ -69,7 +73,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_
     """
     spark = docs.sparkSession
     grams = stored(benchmark_grams(benchmark, n), "grams")
-    base = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    base = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
     found = hits(docs, grams.select("gram").distinct(), n, broadcast_grams)
     none = F.sha2(F.lit(""), 256)
     if found is None:
