@@ -32,7 +32,7 @@ PERCENT = 75
 #: Of 64 orderings, those in which a pair must agree to be a candidate: 5.8 standard deviations under 0.75.
 AGREE = 28
 LARGE, BRANCHES, DEPTH = 256, 4, 8
-BLOCK = 2_000  # documents whose sets are compared in one task at once
+BLOCK = 500  # documents of one side whose sets are compared in one task
 _RNG = np.random.default_rng(5)
 _MULTIPLY = _RNG.integers(0, 2**63, ORDERINGS, dtype=np.uint64) * U(2) + U(1)
 _FLIP = _RNG.integers(0, 2**63, ORDERINGS, dtype=np.uint64)
