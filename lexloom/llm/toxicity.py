@@ -3,9 +3,11 @@
 The lexicon is learned: words, and stems that begin many words, which occur in toxic documents and hardly in others.
 It is held as a trie. The Levenshtein automaton of "at most e errors" is intersected with the trie on the fly: a state
 is a set of (trie node, errors so far), made deterministic and remembered, so that nearly every word of a text dies
-after two or three steps, and misspelled terms are met as surely as exact ones. Each hit is read in its window: between
-quotation marks or beside a word of reporting it counts as quotation, otherwise as abuse. A logistic regression weighs
-exact and misspelled hits of both kinds.
+after two or three steps, and misspelled terms are met as surely as exact ones. Ordinary words that happen to be near a
+term are no hits, and a misspelled hit counts for as much as its term and number of errors can be told from clean words.
+Each hit is read in its window: between quotation marks or beside a word of reporting it counts as quotation, otherwise
+as abuse. A logistic regression weighs exact and misspelled hits of both kinds; every toxic text is fitted as written
+and as if its terms were misspelled.
 """
 
 from __future__ import annotations
@@ -63,8 +65,8 @@ class Automaton:
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
-        self.accepts: list[int] = []  # least errors at which a word may end here, or -1
-        self.stems: list[int] = []
+        self.accepts: list[list[tuple[int, int]]] = []  # (errors, node) of the words that may end here, fewest errors first
+        self.stems: list[list[tuple[int, int]]] = []
         self.start = self._state({(0, 0)})
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
@@ -82,13 +84,13 @@ class Automaton:
             self.states[key] = len(self.members)
             self.members.append(key)
             self.steps.append({})
-            self.accepts.append(min((e for n, e in key if e <= self.word[n]), default=-1))
-            self.stems.append(min((e for n, e in key if e <= self.stem[n]), default=-1))
+            self.accepts.append(sorted((e, n) for n, e in key if e <= self.word[n]))
+            self.stems.append(sorted((e, n) for n, e in key if e <= self.stem[n]))
         return self.states[key]
 
-    def errors(self, word: str) -> int:
-        """The fewest errors with which the word is a term or begins with a stem; -1 if it is not in the language."""
-        state, stem = self.start, -1
+    def terms(self, word: str) -> list[tuple[int, int]]:
+        """(errors, node) of the terms that the word is and the stems that it begins with, fewest errors first."""
+        state, stems = self.start, set()
         for ch in word:
             if ch not in self.alphabet:
                 ch = ""
@@ -98,14 +100,17 @@ class Automaton:
                     {x for node, e in self.members[state] for x in [(node, e + 1), *((c, e + (k != ch)) for k, c in self.children[node].items())]}
                 )
             if step < 0:
-                return stem
+                return sorted(stems)
             state = step
-            if self.stems[state] == 0:
-                return 0
-            if self.stems[state] > 0:
-                stem = self.stems[state] if stem < 0 else min(stem, self.stems[state])
-        got = self.accepts[state]
-        return got if stem < 0 else stem if got < 0 else min(got, stem)
+            if self.stems[state]:
+                if self.stems[state][0][0] == 0:
+                    return self.stems[state]
+                stems.update(self.stems[state])
+        return sorted(stems.union(self.accepts[state])) if stems else self.accepts[state]
+
+    def errors(self, word: str) -> int:
+        """The fewest errors with which the word is a term or begins with a stem; -1 if it is not in the language."""
+        return next((e for e, _ in self.terms(word)), -1)
 
 
 def learn_lexicon(rows: list[tuple[str, int]], share: float = 0.01, times: int = 20, family: int = 8) -> tuple[list[str], list[str]]:
@@ -136,75 +141,133 @@ def learn_lexicon(rows: list[tuple[str, int]], share: float = 0.01, times: int =
     return words, stems
 
 
+def learn_trust(rows: list[tuple[str, int]], automaton: Automaton, times: int = 20) -> tuple[frozenset[str], frozenset[str], dict[tuple[int, int], float]]:
+    """(ordinary, lone, trust): words near a term that clean texts hold (unless toxic ones do ``times`` as often), those of
+    them in one clean text only, and what a word near a term counts for, by (errors, node) of the term.
+
+    A word that only one clean text holds would be unknown without that text. So the lone ones show how often clean texts
+    hold unknown words near a term, and trust compares that with how often toxic texts hold the term.
+    """
+    rows = sorted(set(rows))  # copies count once
+    total = Counter(toxic for _, toxic in rows)
+    held = [Counter(), Counter()]
+    for text, toxic in rows:
+        held[toxic].update(set(WORD.findall(text.lower())))
+    exact, near = Counter(), Counter()
+    terms = {w: t for w in held[0].keys() | held[1].keys() if (t := automaton.terms(w))}
+    ordinary = frozenset(w for w, t in terms.items() if t[0][0] and held[0][w] and held[1][w] * total[0] < times * held[0][w] * total[1])
+    lone = frozenset(w for w in ordinary if held[0][w] == 1)
+    for text, toxic in rows:
+        words = {w for w in WORD.findall(text.lower()) if w in terms}
+        if toxic:
+            exact.update({n for w in words for e, n in terms[w] if e == 0})
+        else:
+            near.update({t for w in words & lone for t in terms[w]})
+    able = [(e, n) for n in exact for e in range(1, max(automaton.word[n], automaton.stem[n]) + 1)]
+    return ordinary, lone, {(e, n): exact[n] * total[0] / (exact[n] * total[0] + times * (near[e, n] + 0.5) * total[1]) for e, n in able}
+
+
 class Known(dict):
-    """Errors by word, for words met before; emptied when it is large."""
+    """(errors, trust, trust if misspelled) by word, for words met before; emptied when it is large.
 
-    def __init__(self, automaton: Automaton) -> None:
-        self.automaton = automaton
+    Trust is what a hit counts for: 1 for a term as it is, and for a misspelled one that of its (errors, node), or 1.
+    Words of ``ordinary`` are no misspellings. Terms too short to be met misspelled have None as the last.
+    """
+
+    def __init__(self, automaton: Automaton, ordinary: frozenset[str] = frozenset(), trust: dict[tuple[int, int], float] | None = None) -> None:
+        self.automaton, self.ordinary, self.trust = automaton, ordinary, trust or {}
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, float, float | None]:
         if len(self) > 200_000:
             self.clear()
-        got = self[word] = self.automaton.errors(word)
+        terms = self.automaton.terms(word)
+        if not terms or terms[0][0] and word in self.ordinary:
+            got = -1, 0.0, None
+        elif terms[0][0]:
+            trust = max(self.trust.get(t, 1.0) for t in terms)
+            got = terms[0][0], trust, trust
+        else:
+            n = terms[0][1]
+            got = 0, 1.0, self.trust.get((1, n), 1.0) if max(self.automaton.word[n], self.automaton.stem[n]) else None
+        self[word] = got
         return got
 
 
-def features(text: str, known: Known) -> np.ndarray | None:
-    """Counts of (exact, misspelled) x (abuse, quotation), or None without a hit."""
+def weighed(text: str, known: Known) -> np.ndarray | None:
+    """Three rows of (exact, misspelled) x (abuse, quotation): counts, sums of trust, and these as if every term were
+    misspelled that may be. None without a hit."""
     text = text.lower()
     words = WORD.findall(text)
-    if max(map(known.__getitem__, words), default=-1) < 0:
+    if max((known[w][0] for w in words), default=-1) < 0:
         return None
     spans = [m.span() for m in WORD.finditer(text)]
-    out = np.zeros(4)
+    out = np.zeros((3, 4))
     for i, w in enumerate(words):
-        e = known[w]
+        e, trust, wrong = known[w]
         if e < 0:
             continue
         lo, hi = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
         before, after = text[spans[lo][0] : spans[i][0]], text[spans[i][1] : spans[hi - 1][1] + 1]
         quoted = bool(QUOTES.search(before)) and bool(QUOTES.search(after)) or not REPORTING.isdisjoint(words[lo:i]) or not REPORTING.isdisjoint(words[i + 1 : hi])
-        out[2 * quoted + (e > 0)] += 1
+        out[:2, 2 * quoted + (e > 0)] += 1, trust
+        out[2, 2 * quoted + (wrong is not None)] += trust if wrong is None else wrong
     return out
 
 
+def features(text: str, known: Known) -> np.ndarray | None:
+    """Counts of (exact, misspelled) x (abuse, quotation), or None without a hit."""
+    got = weighed(text, known)
+    return None if got is None else got[0]
+
+
 def expanded(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.log1p(x), x > 0, [1.0]])
+    return np.concatenate([np.log1p(x), np.minimum(x, 1), [1.0]])
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
-    """Logistic regression by Newton's method."""
+def fit_weights(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """Logistic regression by Newton's method; ``share``: what each row counts for."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-x @ w))
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        grad = x.T @ (share * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], list[str], np.ndarray]:
-    """(words, stems, weights) from up to ``per_class`` labelled rows of each class."""
-    rows = [(t.decode("utf-8", "replace"), int(y)) for t, y in labelled_texts(docs, labels.select("doc_id", F.col("toxic").alias("label")).where("toxic in (0, 1)"), per_class)]
+def fitted(rows: list[tuple[str, int]]) -> tuple:
+    """(words, stems, ordinary, trust, weights) of labelled texts."""
     words, stems = learn_lexicon(rows)
-    known = Known(Automaton(words, stems))
-    x = np.array([expanded(f if (f := features(t, known)) is not None else np.zeros(4)) for t, _ in rows]).reshape(len(rows), 9)
-    y = np.array([y for _, y in rows], float)
-    return words, stems, fit_weights(x, y) if len(rows) else np.zeros(9)
+    automaton = Automaton(words, stems)
+    ordinary, lone, trust = learn_trust(rows, automaton)
+    # a clean text is read as one that was not learned from: its lone words are unknown
+    known = [Known(automaton, ordinary - lone, trust), Known(automaton, ordinary, trust)]
+    x, y, share = [], [], []
+    for text, toxic in rows:
+        f = weighed(text, known[toxic])
+        f = np.zeros((3, 4)) if f is None else f
+        for row in (f[1], f[2]) if toxic else (f[1],):
+            x.append(expanded(row)), y.append(float(toxic)), share.append(0.5 if toxic else 1.0)
+    return words, stems, ordinary, trust, fit_weights(np.array(x), np.array(y), np.array(share)) if rows else np.zeros(9)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple:
+    """(words, stems, ordinary, trust, weights) from up to ``per_class`` labelled rows of each class."""
+    return fitted([(t.decode("utf-8", "replace"), int(y)) for t, y in labelled_texts(docs, labels.select("doc_id", F.col("toxic").alias("label")).where("toxic in (0, 1)"), per_class)])
 
 
 class Scorer:
     """Score and counts of texts, with one automaton for all of them."""
 
-    def __init__(self, words: list[str], stems: list[str], weights: np.ndarray) -> None:
-        self.known, self.weights = Known(Automaton(words, stems)), weights
+    def __init__(self, words: list[str], stems: list[str], ordinary: frozenset[str], trust: dict[tuple[int, int], float], weights: np.ndarray) -> None:
+        self.known, self.weights = Known(Automaton(words, stems), ordinary, trust), weights
 
     def __call__(self, text: str | None) -> tuple[float, np.ndarray]:
-        f = features(text, self.known) if text else None
-        f = np.zeros(4) if f is None else f
-        return float(1 / (1 + np.exp(-expanded(f) @ self.weights))), f
+        f = weighed(text, self.known) if text else None
+        f = np.zeros((3, 4)) if f is None else f
+        return float(1 / (1 + np.exp(-expanded(f[1]) @ self.weights))), f[0]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:

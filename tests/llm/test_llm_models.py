@@ -59,6 +59,25 @@ def test_toxicity(spark, made):
     assert score_toxicity(docs.where("false"), labels).collect() == [] and {r.score for r in score_toxicity(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_misspelled_terms_decide_and_ordinary_neighbours_do_not(spark):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(900):
+        w, toxic = words(rng, "xx", rng.randint(20, 60)), i % 8 == 0
+        if toxic:
+            w[5:5] = rng.sample(["moron", *BAD], 2)
+        elif i % 3 == 0:  # common clean words beside two of the terms
+            w[5:5] = ["oron", "vantorgue"]
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    wrong = [" ".join(words(rng, "xx", 20) + [*x, *words(rng, "xx", 20)]) for x in (["grobnyk", "flumpaard"], ["skreldig", "grobik", "moroon"], ["vantorqe", "flumperd"])]
+    clean = [" ".join(words(rng, "xx", 20) + ["oron", "vantorgue"] * n) for n in (1, 9)]
+    docs += list(enumerate(wrong + clean, 2000))
+    got = {r.doc_id: r for r in score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[i].predicted for i in range(2000, 2005)] == [1, 1, 1, 0, 0]
+    assert [got[i].hits for i in range(2000, 2005)] == [2, 3, 2, 0, 0]
+
+
 def test_levenshtein_trie():
     a = toxicity.Automaton(["idiot", "disgusting", "scum"], ["vequ"])
     want = {"idiot": 0, "idiiot": 1, "idot": 1, "idioz": 1, "idiotic": -1, "disgustnig": 2, "dsgustng": 2, "scum": 0, "scam": -1, "vequique": 0, "veqique": -1, "idi": -1, "": -1}
