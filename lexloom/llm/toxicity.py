@@ -115,7 +115,7 @@ class Automaton:
 
 def learn_lexicon(rows: list[tuple[str, int]], share: float = 0.01, times: int = 20, family: int = 8) -> tuple[list[str], list[str]]:
     """(words, stems): terms of at least four letters in a ``share`` of the toxic texts (three at least), and ``times``
-    as often there as in others.
+    as often there as in others, by shares of the two classes' texts.
 
     A stem is the shortest beginning of ``family`` or more different words for which that holds.
     """
@@ -128,7 +128,8 @@ def learn_lexicon(rows: list[tuple[str, int]], share: float = 0.01, times: int =
     kinds: dict[str, set[str]] = defaultdict(set)
     for text, toxic in rows:
         starts[toxic].update({w[:k] for w in WORD.findall(text.lower()) for k in (4, 5, 6) if len(w) >= k})
-    good = lambda c, x: c[1][x] >= least and c[1][x] >= times * c[0][x]
+    total = Counter(toxic for _, toxic in rows)
+    good = lambda c, x: c[1][x] >= least and c[1][x] * total[0] >= times * c[0][x] * total[1]
     for w in seen[1]:
         for k in (4, 5, 6):
             if len(w) > k:
@@ -143,10 +144,11 @@ def learn_lexicon(rows: list[tuple[str, int]], share: float = 0.01, times: int =
 
 def learn_trust(rows: list[tuple[str, int]], automaton: Automaton, times: int = 20) -> tuple[frozenset[str], frozenset[str], dict[tuple[int, int], float]]:
     """(ordinary, lone, trust): words near a term that clean texts hold (unless toxic ones do ``times`` as often), those of
-    them in one clean text only, and what a word near a term counts for, by (errors, node) of the term.
+    them in one clean text only, and what a term or a word near it counts for, by (errors, node) of the term.
 
     A word that only one clean text holds would be unknown without that text. So the lone ones show how often clean texts
-    hold unknown words near a term, and trust compares that with how often toxic texts hold the term.
+    hold unknown words near a term, and trust compares that with how often toxic texts hold the term. A term itself that
+    clean texts hold too, though seldom, counts for less than one that they never hold.
     """
     rows = sorted(set(rows))  # copies count once
     total = Counter(toxic for _, toxic in rows)
@@ -162,15 +164,16 @@ def learn_trust(rows: list[tuple[str, int]], automaton: Automaton, times: int =
         if toxic:
             exact.update({n for w in words for e, n in terms[w] if e == 0})
         else:
-            near.update({t for w in words & lone for t in terms[w]})
-    able = [(e, n) for n in exact for e in range(1, max(automaton.word[n], automaton.stem[n]) + 1)]
-    return ordinary, lone, {(e, n): exact[n] * total[0] / (exact[n] * total[0] + times * (near[e, n] + 0.5) * total[1]) for e, n in able}
+            near.update({t for w in words for t in terms[w] if t[0] == 0 or terms[w][0][0] and w in lone})
+    able = [(e, n) for n in exact for e in range(max(automaton.word[n], automaton.stem[n]) + 1)]
+    against = lambda e, n: times * (near[e, n] + 0.5) if e else 5 * times * near[e, n]
+    return ordinary, lone, {(e, n): exact[n] * total[0] / (exact[n] * total[0] + against(e, n) * total[1]) for e, n in able}
 
 
 class Known(dict):
     """(errors, trust, trust if misspelled) by word, for words met before; emptied when it is large.
 
-    Trust is what a hit counts for: 1 for a term as it is, and for a misspelled one that of its (errors, node), or 1.
+    Trust is what a hit counts for: that of its (errors, node), or 1.
     Words of ``ordinary`` are no misspellings. Terms too short to be met misspelled have None as the last.
     """
 
@@ -188,7 +191,7 @@ class Known(dict):
             got = terms[0][0], trust, trust
         else:
             n = terms[0][1]
-            got = 0, 1.0, self.trust.get((1, n), 1.0) if max(self.automaton.word[n], self.automaton.stem[n]) else None
+            got = 0, self.trust.get((0, n), 1.0), self.trust.get((1, n), 1.0) if max(self.automaton.word[n], self.automaton.stem[n]) else None
         self[word] = got
         return got
 

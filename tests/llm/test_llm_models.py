@@ -78,6 +78,15 @@ def test_misspelled_terms_decide_and_ordinary_neighbours_do_not(spark):
     assert [got[i].hits for i in range(2000, 2005)] == [2, 3, 2, 0, 0]
 
 
+def test_lexicon_compares_shares_of_the_classes():
+    def learned(n_toxic, n_clean, in_toxic, in_clean):
+        rows = [(f"t{i} " + "blorpish " * (i < in_toxic), 1) for i in range(n_toxic)] + [(f"c{i} " + "blorpish " * (i < in_clean), 0) for i in range(n_clean)]
+        return toxicity.learn_lexicon(rows)[0]
+
+    assert learned(50, 1000, 16, 1) == learned(50, 1000, 8, 2) == learned(500, 500, 40, 2) == learned(20, 20, 3, 0) == ["blorpish"]
+    assert learned(50, 1000, 8, 10) == learned(1000, 50, 40, 1) == []
+
+
 def test_levenshtein_trie():
     a = toxicity.Automaton(["idiot", "disgusting", "scum"], ["vequ"])
     want = {"idiot": 0, "idiiot": 1, "idot": 1, "idioz": 1, "idiotic": -1, "disgustnig": 2, "dsgustng": 2, "scum": 0, "scam": -1, "vequique": 0, "veqique": -1, "idi": -1, "": -1}
