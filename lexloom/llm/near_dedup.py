@@ -1,10 +1,11 @@
-"""Operator 8, MinHash near-dedup: a chosen-path set similarity join.
+"""Operator 8, MinHash near-dedup: fixed bands, and a chosen-path set similarity join inside large ones.
 
 Every tree sends a document down paths of minwise shingles: the node a document reaches names the least shingles of
-its set under the orderings that the path chose. Documents of Jaccard similarity s stay together for a level with
-probability s; those that share nothing part at once. The first levels of all trees come with the signature and are
-grouped by Spark; a node that is still large branches on, in its task, by further chosen orderings, as long as that
-lessens the pairs. Small nodes, and those that do not thin out, are compared exhaustively by signature. With 16
+its set under the orderings of its levels. Documents of Jaccard similarity s stay together for a level with
+probability s; those that share nothing part at once. The first two levels of all trees come with the signature and are
+grouped by Spark; they are MinHash bands, tree t taking orderings t and 16 + t whatever the path. A node that is still
+large branches on, in its task, by orderings that its path chooses, several at a time, as long as that lessens the
+pairs. Small nodes, and those that do not thin out, are compared exhaustively by signature. With 16
 trees of two levels a pair of similarity 0.75 is missed with probability (1 - 0.75**2)**16 < 2e-6.
 
 What the trees link is a superset of candidates. Its connected parts are checked on full shingle sets, in blocks of
