@@ -1,4 +1,8 @@
-"""The training-data pipeline: five stages over ``documents``, each an operator of ``lexloom.llm`` whose decision takes effect."""
+"""The training-data pipeline: five stages over ``documents``, each an operator of ``lexloom.llm`` whose decision takes effect.
+
+Every row is judged by its own text: operators that tell documents apart by doc_id are given the row's number instead, so
+that rows that repeat a doc_id, or have none, are judged like all others.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +19,24 @@ from lexloom.llm.near_dedup import near_dedup
 from lexloom.llm.toxicity import reject_toxic
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the ids in ``dropped``; rows without a doc_id stay."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti")
+#: The number of a row.
+ROW = "_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with stored row numbers that ascend with doc_id, none last; as they are if they have such numbers."""
+    if ROW in docs.columns:
+        return docs
+    # rows of one doc_id, and those without, go by text and place, so that they are dealt to many tasks
+    order = docs.withColumn("_place", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "_place").drop("_place")
+    return stored(order.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(docs: DataFrame, dropped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` less the rows whose numbers ``dropped`` returns as doc_id of (doc_id: number, text)."""
+    rows = _numbered(docs)
+    gone = dropped(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,23 +46,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return _without(docs, exact_dedup(docs).where(~F.col("kept")))
+    return _without(docs, lambda rows: exact_dedup(rows).where(~F.col("kept")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return _without(docs, near_dedup(docs).where(~F.col("kept")))
+    return _without(docs, lambda rows: near_dedup(rows).where(~F.col("kept")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+    return _without(docs, lambda rows: decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mixture reads, with their domain and how often they are read (epochs)."""
-    picks = mix_sources(docs).where("epochs > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("domain").alias("domain"), F.max("n_tokens").alias("n_tokens"), F.max("epochs").alias("epochs"))
-    return docs.drop("domain", "n_tokens", "epochs").join(picks, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    rows = _numbered(docs)
+    picks = mix_sources(rows, carry=[ROW]).where("epochs > 0").select(ROW, "domain", "n_tokens", "epochs")
+    names = [c for c in docs.columns if c not in ("domain", "n_tokens", "epochs")]
+    return rows.select(*dict.fromkeys([*names, ROW])).join(picks, ROW).select(*names, "domain", "n_tokens", "epochs")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -58,9 +79,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _numbered(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, f"stage-{name}")
-    return docs
+    return docs.drop(ROW)

@@ -9,6 +9,8 @@ of the next one the longest prefix that fits.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +71,16 @@ def leaf_budgets(leaves: DataFrame, weights: list[dict[str, int]], share: tuple[
 
 
 def mix_sources(
-    docs: DataFrame, weights: list[dict[str, int]] = WEIGHTS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: int = SEED, digits: int = 3
+    docs: DataFrame, weights: list[dict[str, int]] = WEIGHTS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: int = SEED, digits: int = 3,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """How often each document is read, so that leaves meet their token budgets.
 
     docs: doc_id, text, lang, source and any other columns, which are ignored. Returns doc_id, domain, lang, source,
     n_tokens (ASCII-whitespace words) and epochs (0: not selected), one row per input row. ``weights``: integers by
     level and name; ``share``: the budget as a fraction of all tokens; ``epochs``: how often a leaf may be read;
-    ``digits``: hex digits of the buckets in which a leaf's order is summed, so that no task reads a whole leaf.
+    ``digits``: hex digits of the buckets in which a leaf's order is summed, so that no task reads a whole leaf;
+    ``carry``: further columns to return, which order the rows that repeat a doc_id.
 
     A null language or source counts as the empty name. Null and empty texts have no tokens; they are selected with
     the epochs and prefixes that they fall in. A prefix ends before the first document that does not fit. Division
@@ -84,7 +88,7 @@ def mix_sources(
     doc_id, equal rows stand together. An empty table gives an empty result.
     """
     n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    slim = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), n.alias("n_tokens"))
+    slim = docs.select("doc_id", *carry, F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), n.alias("n_tokens"))
     slim = stored(slim.withColumn("domain", domain_of(F.col("source"))), "tokens")
     leaves = stored(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")), "leaves")
     budgets = stored(
@@ -101,9 +105,9 @@ def mix_sources(
     )
     placed = drawn.join(buckets, [*LEVELS, "bucket"])
     ends = (F.col("prior") <= F.col("part")) & (F.col("prior") + F.col("held") > F.col("part"))
-    within = Window.partitionBy(*LEVELS, "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*LEVELS, "bucket").orderBy("h", "doc_id", *carry).rowsBetween(Window.unboundedPreceding, 0)
     last = placed.where(ends).withColumn("taken", F.col("prior") + F.sum("n_tokens").over(within) <= F.col("part"))
     clear = placed.where(~ends).withColumn("taken", F.col("prior") + F.col("held") <= F.col("part"))
     return clear.unionByName(last).select(
-        "doc_id", *LEVELS, "n_tokens", (F.col("whole") + F.when(F.col("taken") & (F.col("part") > 0), 1).otherwise(0)).cast("long").alias("epochs")
+        "doc_id", *carry, *LEVELS, "n_tokens", (F.col("whole") + F.when(F.col("taken") & (F.col("part") > 0), 1).otherwise(0)).cast("long").alias("epochs")
     )

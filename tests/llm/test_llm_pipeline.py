@@ -109,3 +109,25 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, read, path).columns == read.columns, name
         assert stage(spark, read.where("false"), path).count() == 0
+
+
+def test_pipeline_judges_every_row_by_its_own_text(spark, tmp_path):
+    rng = random.Random(11)
+    draw = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    bench, a, b, c, d, e, f = (draw(n) for n in (15, 40, 40, 40, 40, 40, 40))
+    # (doc_id, text, stays)
+    rows = [(1, a, True), (1, a, False), (2, b, True), (None, b, False), (None, c, True), (None, c, False), (None, c + " more", False), (None, f"{d} {bench}", False)]
+    rows += [(3, e, True), (4, e, False), (4, f, True), (5, f"{draw(9)} {bench}", False), (5, d, True)]
+    path = str(tmp_path)
+    table = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(0, bench)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    order = lambda x: (x[0] or -1, x[1])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, path)
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=order) == sorted(((i, t) for i, t, stays in rows if stays), key=order)
+    got = corpus_pipeline.mixing(spark, docs, path).collect()
+    left = [r for r in mix_sources(docs).collect() if r.epochs]
+    assert sorted((r.doc_id or -1, r.n_tokens, r.epochs) for r in got) == sorted((r.doc_id or -1, r.n_tokens, r.epochs) for r in left)
