@@ -65,7 +65,7 @@ def compare_models(vectors: DataFrame, key: str, vector: str, label: str, k: int
     split = ml.stratified_split(vectors, key, label)
     train, test = split.where(~F.col("is_test")), split.where("is_test")
     knn = test.join(ml.vote(ml.nearest(train, test, key, vector, label, k), key), key)
-    model = ml.logistic(train.withColumn("_v", ml.as_vector(vector)), "_v", label, c=0.1, max_iter=100, scale=True)
+    model = ml.logistic(train.withColumn("_v", ml.as_vector(vector)), "_v", label, c=0.1, max_iter=3_000, scale=True)
     logreg = model.transform(test.withColumn("_v", ml.as_vector(vector))).withColumn("predicted", F.col("prediction").cast("int"))
     name = lambda df, n: stats.macro_report(df.select(F.col(label).alias("truth"), F.col("predicted").cast("int").alias("predicted")), "truth", "predicted").withColumn("model", F.lit(n))
     return name(knn, "knn").unionByName(name(logreg, "logreg"))

@@ -502,10 +502,10 @@ def _text_model(spark: SparkSession, sf_dir: str):
     split = ml.stratified_split(d, "doc_id", "quality")
     counts = tfidf.term_counts(split, "doc_id", F.filter(T.words(F.lower("text")), lambda w: F.length(w) >= 2))
     train = counts.join(split.where("not is_test").select("doc_id"), "doc_id", "left_semi")
-    idf = tfidf.fit(train, "doc_id", split.where("not is_test").agg(F.count(F.lit(1))).scalar(), max_features=10_000)
+    idf = tfidf.fit(train, "doc_id", split.where("not is_test").agg(F.count(F.lit(1))).scalar(), max_features=10_000, stopwords=spark.createDataFrame([(w,) for w in STOP], "term string"))
     vocabulary = [r.term for r in idf.select("term").orderBy("term").collect()]
     rows = split.select("doc_id", "quality", "is_test").join(ml.sparse_vectors(tfidf.transform(counts, "doc_id", idf), "doc_id", vocabulary), "doc_id").persist()
-    return ml.logistic(rows.where("not is_test"), "features", "quality", c=1.0, max_iter=40), rows.where("is_test"), vocabulary
+    return ml.logistic(rows.where("not is_test"), "features", "quality", c=1.0, max_iter=2_000), rows.where("is_test"), vocabulary
 
 
 @query()
@@ -527,7 +527,7 @@ def logreg_top_terms(spark, sf_dir):
 def errors_all_models(spark, sf_dir):
     """Test rows that both k-NN and logistic regression miss."""
     s = _split(spark, sf_dir).withColumn("v", ml.as_vector("embedding"))
-    model = ml.logistic(s.where("not is_test"), "v", "label", c=0.1, max_iter=100, scale=True)
+    model = ml.logistic(s.where("not is_test"), "v", "label", c=0.1, max_iter=3_000, scale=True)
     other = model.transform(s.where("is_test")).select("vec_id", F.col("prediction").cast("int").alias("logreg"))
     return _predicted(spark, sf_dir).join(other, "vec_id").where("predicted <> truth and logreg <> truth")
 

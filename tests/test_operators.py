@@ -103,3 +103,19 @@ def test_flags(spark):
     got = {r.t: r.f for r in spark.createDataFrame([("a  b" * 20,), ("curto",), ("x" * 30 + "\n12",), ("Observe a figura e responda à questão",)], "t string").select("t", quality.text_flags("t").alias("f")).collect()}
     assert got["a  b" * 20] == ["espaco_de_simbolo_perdido"] and got["curto"] == ["enunciado_curto"] and got["x" * 30 + "\n12"] == ["fragmento_solto"]
     assert got["Observe a figura e responda à questão"] == ["depende_de_imagem"]
+
+
+def test_logistic_queries_run_to_convergence_without_stopwords(spark, tmp_path, monkeypatch):
+    from lexloom import queries
+    from lexloom.operators import ml
+
+    asked = []
+    fit = ml.logistic
+    monkeypatch.setattr(ml, "logistic", lambda *args, **more: (asked.append(more["max_iter"]), fit(*args, **more))[1])
+    path = str(tmp_path)
+    docs = [(i, f"the {'good fine' if i % 2 else 'poor bad'} and word{i % 7}") for i in range(60)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i, _ in docs], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    model, _, vocabulary = queries._text_model(spark, path)
+    assert {"good", "poor", "word3"} <= set(vocabulary) and not {"the", "and"} & set(vocabulary)
+    assert asked == [2000] and model.stages[-1].summary.totalIterations < 2000
