@@ -1,22 +1,21 @@
 """Operator 1, substring dedup: prefix-partitioned suffix trees over words.
 
 Suffixes that begin at anchors (see ``_repeats``) are dealt to memory-sized groups by variable-length prefixes: the
-key of an anchor is four 16-bit fields, hashes of its first one, two, three and four words, and the group borders are
-quantiles of the keys, each cut to the fewest leading fields that still tell it from its neighbours. One group's
-suffixes make one subtree; an internal node whose depth plus the common left context of some of its leaves reaches
-``length`` words is a maximal repeat, and all of its leaves but the first lose it.
+key of an anchor is four 16-bit fields, hashes of its first one, two, three and four words; a group is a stretch of the
+sorted keys, named by as many leading fields as tell it from the group before. One group's suffixes make one subtree; an
+internal node whose depth plus the common left context of some of its leaves reaches ``length`` words is a maximal
+repeat, and all of its leaves but the first lose it. Copies met in one batch are one leaf with members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lexloom.llm import _repeats as R
-from lexloom.llm._tables import stored
 
 SEED = 4
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
@@ -24,115 +23,60 @@ OUT_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_t
 
 
 class Tree:
-    """A suffix tree of sorted token lists: ``nodes`` holds [depth, first leaf, last leaf + 1] of internal nodes."""
-
-    def __init__(self, suffixes: list[list[bytes]]) -> None:
-        self.nodes: list[list[int]] = []
-        path: list[list[int]] = []  # the rightmost path, root first
-        for i in range(1, len(suffixes)):
-            depth = shared(suffixes[i - 1], suffixes[i])
-            low = i - 1
+    """The suffix tree of sorted suffixes, grown one leaf at a time along its rightmost path.
+
+    depths: what each suffix has in common with the one before it. ``nodes``: (depth, first leaf, last leaf + 1) of the
+    internal nodes of ``least`` words or more.
+    """
+
+    def __init__(self, depths: list[int], least: int) -> None:
+        self.nodes: list[tuple[int, int, int]] = []
+        path: list[tuple[int, int]] = []  # (depth, first leaf) of the inner nodes above the last leaf, root first
+        for leaf, depth in enumerate(depths):
+            begins = leaf - 1
             while path and path[-1][0] > depth:
-                done = path.pop()
-                done[2] = i
-                self.nodes.append(done)
-                low = done[1]
-            if not path or path[-1][0] < depth:
-                path.append([depth, low, 0])
-        for node in reversed(path):
-            node[2] = len(suffixes)
-            self.nodes.append(node)
-
-
-def shared(a: list[bytes], b: list[bytes]) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def listed(x: bytes) -> list[bytes]:
-    return x.split(b"\x00") if x else []
-
-
-def repeats(leaves: list[tuple[bytes, bytes, int, int]], length: int) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, start, stop) of what each deep node takes from all its leaves but the first. leaves: by right side."""
-    if len(leaves) < 2:
-        return
-    if len(leaves) == 2:
-        (r, s, *a), (t, u, *b) = leaves
-        depth = r.count(b"\x00") + 1 if r == t else shared(listed(r), listed(t))
-        back = (s.count(b"\x00") + 1 if s else 0) if s == u else shared(listed(s), listed(u))
-        if depth + back >= length and a != b:
-            d, p = max(a, b)
-            yield d, p - back, p + depth
-        return
-    words: dict[bytes, bytes] = {}
-    one = lambda x: [words.setdefault(w, w) for w in listed(x)]
-    rows = [(one(r), one(s), d, p) for r, s, d, p in leaves]
-    # all stretches of one suffix hold its first word, so their union is one stretch
-    reach: dict[tuple[int, int], tuple[int, int]] = {}
-    for depth, lo, hi in Tree([x[0] for x in rows]).nodes:
-        under = sorted(rows[lo:hi], key=lambda x: x[1])
-        for back, i, j in Tree([x[1] for x in under]).nodes:
-            if depth + back >= length:
-                first = min(x[2:] for x in under[i:j])
-                for x in under[i:j]:
-                    if x[2:] != first:
-                        b, a = reach.get(x[2:], (0, 0))
-                        reach[x[2:]] = max(b, back), max(a, depth)
-    for (d, p), (back, depth) in reach.items():
-        yield d, p - back, p + depth
-
-
-def subtrees(length: int):
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, leaves, rows = None, [], []
+                below, begins = path.pop()
+                self.nodes.append((below, begins, leaf))
+            if depth >= least and (not path or path[-1][0] < depth):
+                path.append((depth, begins))
+        self.nodes += [(depth, begins, len(depths)) for depth, begins in reversed(path)]
+
+
+def deep_nodes(depths: list[int], least: int) -> tuple[list[int], list[int], list[int]]:
+    return tuple(map(list, zip(*Tree(depths, least).nodes))) or ([], [], [])
+
+
+def prefix_groups(places: DataFrame, rows_per_group: int) -> DataFrame:
+    """Places with the prefix of their group for a key: neighbours in the order of keys, ``rows_per_group`` or few more.
+
+    A group ends where a key ends; from half its size on, where a leading word ends. Its prefix is as short as tells it
+    from the group before: keys are sorted, so that equal prefixes are one stretch of one task.
+    """
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, prefix, size = None, None, 0
         for batch in batches:
-            for right, left, d, p, stop in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
-                if stop >= 0:
-                    rows.append((d, p, stop))
-                    continue
-                start = right.split(b"\x00", SEED)[:SEED]
-                if start != head:
-                    rows.extend(repeats(leaves, length))
-                    head, leaves = start, []
-                leaves.append((right, left, d, p))
-            if len(rows) > 10_000:
-                yield pa.record_batch([list(c) for c in zip(*rows)], schema=R.SPAN)
-                rows = []
-        rows.extend(repeats(leaves, length))
-        if rows:
-            yield pa.record_batch([list(c) for c in zip(*rows)], schema=R.SPAN)
-
-    return walk
-
-
-def prefix_splits(places: DataFrame, rows_per_group: int) -> list[int]:
-    """Borders between memory-sized groups of keys, each a word prefix as short as tells it from the border before."""
-    n = -(-places.where("stop < 0").count() // rows_per_group)
-    if n < 2:
-        return []
-    shares = [i / n for i in range(1, n)]
-    cuts = places.where("stop < 0").agg(F.percentile_approx("key", shares, 20 * n)).first()[0]
-    out: list[int] = []
-    for cut in sorted(set(cuts)):
-        for field in (48, 32, 16, 0):
-            short = cut >> field << field
-            if not out or short > out[-1]:
-                out.append(short)
-                break
-    return out
-
-
-def spans(docs: DataFrame, length: int = 20, rows_per_group: int = 50_000) -> DataFrame:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            names, n = [], np.diff(cut)
+            for k, rows in zip(key[cut[:-1]].tolist(), n.tolist()):
+                if last is None:
+                    prefix = k
+                elif k != last and (size >= rows_per_group or 2 * size >= rows_per_group and k >> 48 != last >> 48):
+                    field = next(f for f in (48, 32, 16, 0) if k >> f != last >> f)
+                    prefix, size = k >> field << field, 0
+                names.append(prefix)
+                last, size = k, size + rows
+            yield pa.record_batch([np.repeat(np.array(names, np.int64), n), *batch.columns[1:]], schema=R.ANCHOR)
+
+    return places.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(stream, R.ANCHOR_DDL)
+
+
+def spans(docs: DataFrame, length: int = 20, rows_per_group: int = 5_000, most: int = R.MOST) -> DataFrame:
     """(doc_id, pos, stop): stretches of words that are covered by windows met earlier; they may overlap."""
-    places = stored(R.repeated(R.anchors(docs, R.Words, length, SEED, levels=SEED)), "repeats")
-    splits = prefix_splits(places, rows_per_group)
-    found = R.contexts(docs, places, R.Words, length, SEED, splits)
-    return found.repartition("key").sortWithinPartitions("key", "right").mapInArrow(subtrees(length), R.SPAN_DDL)
+    return R.all_spans(docs, R.Words, length, SEED, deep_nodes, levels=SEED, deal=lambda places: prefix_groups(places, rows_per_group), most=most)
 
 
 def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:

@@ -2,14 +2,13 @@
 
 The suffixes that begin at anchors (see ``_repeats``), sorted by Spark, are a sparse suffix array; with the common
 prefix of neighbours it is enhanced. A scan with a stack gives the tree of common-prefix intervals. An interval's
-occurrences are tested for left-extension diversity by the same scan over their left contexts: each set of
-occurrences that agree on as many bytes to the left, and on no more, is a maximal repeat group with all occurrences.
+occurrences are tested for left-extension diversity in the order of their left contexts: those that agree on enough
+bytes to the left are a repeat group with all occurrences, and each but the first loses as much as it shares with an
+earlier one. Copies met in one batch are one suffix with members, which the tree settles with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -20,87 +19,29 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def common(a: tuple[int, int], b: tuple[int, int], width: int) -> int:
-    """Common prefix of two strings given as (number of the zero-padded bytes, length)."""
-    return min(width - ((a[0] ^ b[0]).bit_length() + 7) // 8, a[1], b[1])
-
+def intervals(depths: list[int], least: int) -> tuple[list[int], list[int], list[int]]:
+    """(common prefix, first, last + 1) of each common-prefix interval of ``least`` or more; children come first.
 
-def intervals(keys: list[tuple[int, int]], width: int) -> Iterator[tuple[int, int, int]]:
-    """(common prefix, first, last + 1) of each common-prefix interval of sorted strings, children first."""
-    stack: list[tuple[int, int]] = []
-    for i in range(1, len(keys) + 1):
-        value = common(keys[i - 1], keys[i], width) if i < len(keys) else -1
+    depths: the array's common prefixes, each of a suffix and the one before it.
+    """
+    tops: list[int] = []  # the open intervals, innermost last: common prefix, and first suffix
+    lows: list[int] = []
+    found: tuple[list[int], list[int], list[int]] = [], [], []
+    for i, value in enumerate([*depths, 0]):
         low = i - 1
-        while stack and stack[-1][0] > value:
-            top, low = stack.pop()
-            yield top, low, i
-        if value >= 0 and (not stack or stack[-1][0] < value):
-            stack.append((value, low))
-
-
-def groups(rows: list[tuple[tuple[int, int], tuple[int, int], int, int]], length: int, reach: int) -> Iterator[tuple[int, int, list]]:
-    """(bytes right, bytes left, occurrences) of each maximal repeat group of ``length`` bytes or more."""
-    for right, lo, hi in intervals([x[0] for x in rows], length):
-        if right + reach < length:
-            continue
-        under = sorted(rows[lo:hi], key=lambda x: x[1])
-        if common(under[0][1], under[-1][1], reach) >= reach:  # no diversity on the left at all
-            yield right, reach, under
-            continue
-        for left, i, j in intervals([x[1] for x in under], reach):
-            if right + left >= length:
-                yield right, left, under[i:j]
-
-
-def repeats(rows: list[tuple], length: int, reach: int) -> Iterator[tuple[int, int, int]]:
-    if len(rows) == 2:
-        (r, s, *a), (t, u, *b) = rows
-        right, left = common(r, t, length), common(s, u, reach)
-        if right + left >= length and a != b:
-            d, p = max(a, b)
-            yield d, p - left, p + right
-        return
-    # all stretches of one suffix hold its first byte, so their union is one stretch
-    spans: dict[tuple[int, int], tuple[int, int]] = {}
-    for right, left, found in groups(rows, length, reach):
-        first = min(x[2:] for x in found)
-        for x in found:
-            if x[2:] != first:
-                b, a = spans.get(x[2:], (0, 0))
-                spans[x[2:]] = max(b, left), max(a, right)
-    for (d, p), (left, right) in spans.items():
-        yield d, p - left, p + right
-
-
-def scan(length: int):
-    reach = length - SEED
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, held, rows = None, [], []
-        for batch in batches:
-            for right, left, d, p, stop in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
-                if stop >= 0:
-                    rows.append((d, p, stop))
-                    continue
-                if right[:SEED] != head:
-                    if len(held) > 1:
-                        rows.extend(repeats(held, length, reach))
-                    head, held = right[:SEED], []
-                held.append(((int.from_bytes(right.ljust(length, b"\0"), "big"), len(right)), (int.from_bytes(left.ljust(reach, b"\0"), "big"), len(left)), d, p))
-            if len(rows) > 10_000:
-                yield pa.record_batch([list(c) for c in zip(*rows)], schema=R.SPAN)
-                rows = []
-        rows.extend(repeats(held, length, reach))
-        if rows:
-            yield pa.record_batch([list(c) for c in zip(*rows)], schema=R.SPAN)
-
-    return walk
-
-
-def spans(docs: DataFrame, length: int = 100) -> DataFrame:
+        while tops and tops[-1] > value:
+            low = lows.pop()
+            for column, x in zip(found, (tops.pop(), low, i)):
+                column.append(x)
+        if value >= least and (not tops or tops[-1] < value):
+            tops.append(value)
+            lows.append(low)
+    return found
+
+
+def spans(docs: DataFrame, length: int = 100, most: int = R.MOST) -> DataFrame:
     """(doc_id, pos, stop): stretches of bytes covered by strings met earlier; they may overlap."""
-    found = R.contexts(docs, R.repeated(R.anchors(docs, R.Bytes, length, SEED)), R.Bytes, length, SEED)
-    return found.repartition("key").sortWithinPartitions("key", "right").mapInArrow(scan(length), R.SPAN_DDL)
+    return R.all_spans(docs, R.Bytes, length, SEED, intervals, most=most)
 
 
 def suffix_array_dedup(docs: DataFrame, length: int = 100) -> DataFrame:

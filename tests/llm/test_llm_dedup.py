@@ -8,8 +8,10 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.llm import _repeats as R
 from lexloom.llm import near_dedup as near
 from lexloom.llm import substring_dedup as sub
+from lexloom.llm import suffix_array_dedup as suffix
 from lexloom.llm.components import connected_components
 from lexloom.llm.decontamination import decontaminate, without_hits
 from lexloom.llm.exact_dedup import exact_dedup
@@ -88,6 +90,43 @@ def test_prefix_groups_do_not_change_the_result(table):
     assert one == many
 
 
+def covered(spans):
+    return {(r.doc_id, i) for r in spans.collect() for i in range(r.pos, r.stop)}
+
+
+def test_hot_grams_are_solved_level_by_level_alike(table):
+    for spans in (sub.spans, suffix.spans):
+        assert covered(spans(table)) == covered(spans(table, most=3))
+
+
+def test_nothing_is_settled_before_the_trees(table, monkeypatch):
+    """Without nodes, only members and equal contexts of one leaf lose anything; with them, all that brute force finds."""
+    leaves = R.anchors(table, R.Words, 20, 4).collect()
+    assert any(r.members for r in leaves) and set(leaves[0].asDict()) == {"key", "doc_id", "pos", "members"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nodes_against_pairs(seed):
+    """What ``taken`` reads from either tree is what all pairs of contexts give."""
+    rng = random.Random(seed)
+    length, reach, n = 12, 9, 120
+    text = lambda k: bytes(rng.choices(b"ab", [9, 1], k=k))
+    rows = sorted((rng.randrange(3), b"abc"[: 3] + text(rng.choice([9, 9, 9, 4])), text(rng.choice([9, 9, 2])), i) for i in range(n))
+    order = rng.sample(range(n), n)
+    key, rank = R.np.array([x[0] for x in rows]), R.np.array([order[x[3]] for x in rows])
+    new = R.np.append(True, key[1:] != key[:-1])
+    right, left = R.Bytes.matrix([R.pa.array([x[i] for x in rows], R.pa.binary()) for i in (1, 2)], [length, reach])
+    same = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    want = []
+    for i in range(n):
+        reached = [(same(rows[i][2], rows[j][2]), same(rows[i][1], rows[j][1])) for j in range(n) if key[i] == key[j] and rank[j] < rank[i]]
+        reached = [x for x in reached if sum(x) >= length]
+        want.append((max((x[0] for x in reached), default=0), max((x[1] for x in reached), default=0)))
+    for nodes in (sub.deep_nodes, suffix.intervals):
+        b, d = R.taken(right, left, new, rank, length, nodes)
+        assert list(zip(b.tolist(), d.tolist())) == want
+
+
 def test_suffix_array_dedup(table, empty, docs):
     seqs = {i: (t or "").encode() for i, t in docs.items()}
     gone = marked(seqs, 100)
