@@ -1,22 +1,21 @@
 """Operator 9, benchmark decontamination: a broadcast hash set of test n-grams, in DataFrame functions only.
 
-The n-grams of the benchmark become a hash set (64-bit hash -> words). Each document's windows are hashed where the
-document lies (those whose first two words begin an n-gram), looked up in the set, and verified word for word in the
-same operator, so that the scan of the texts shuffles nothing; only verified hits move. The set is broadcast while it has at most ``broadcast_grams`` rows; beyond
-that Spark joins by shuffling hashes, with the words joined afterwards for verification.
+The n-grams of the benchmark become a hash set (64-bit hash -> words). One scan reads the texts: a document's windows
+are hashed where it lies (those whose first two words begin an n-gram), looked up in the set, and verified word for word
+in the same operator. What moves on is a row for each document, with its number of words, and the verified hits. The set
+is broadcast while it has at most ``broadcast_grams`` rows, of all sizes together; beyond that Spark joins by shuffling
+hashes, with the words joined afterwards for verification.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm._tables import ascii_lower, stored
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The same words where A-Z are not lower-cased yet.
-ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Rows of the hash set that may be broadcast: about 200 bytes each, so 40 MB at most.
+#: Rows of the hash set that may be broadcast: about 200 bytes each, so 40 MB at most, and its first words besides.
 BROADCAST_GRAMS = 200_000
 
 
@@ -31,32 +30,44 @@ def benchmark_grams(benchmark: DataFrame, n: int) -> DataFrame:
     return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("gram")).distinct()
 
 
-def _lead(first: Column, second: Column, size: int) -> Column:
-    """Hash of a window's first two words (of its only one): a cheaper test before the window's own hash."""
-    return F.xxhash64(first, second) if size > 1 else F.xxhash64(first)
-
-
-def hits(docs: DataFrame, grams: DataFrame, n: int, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """(doc_id, pos, gram): where the distinct ``grams`` occur, verified word for word."""
-    by_size = {r[0]: r[1] for r in grams.groupBy(F.size("gram")).count().collect()}  # n rows at most
-    tokens = docs.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("w"))
-    out = None
-    for size, count in sorted(by_size.items()):
-        keys = grams.where(F.size("gram") == size).select(F.xxhash64("gram").alias("h"), "gram")
-        leads = grams.where(F.size("gram") == size).select(_lead(F.element_at("gram", 1), F.try_element_at("gram", F.lit(2)), size).alias("lead")).distinct()
-        # posexplode_outer: posexplode would make Spark test size(w) > 0 below, and so compute the words twice
-        at = tokens.select("doc_id", "w", F.posexplode_outer("w").alias("i", "x")).select(
-            "doc_id", "w", (F.col("i") + 1).alias("pos"), _lead(F.col("x"), F.try_element_at("w", F.col("i") + 2), size).alias("lead")
-        )
-        if count <= broadcast_grams:
-            seen = at.join(F.broadcast(leads), "lead", "left_semi").select("doc_id", "w", "pos", F.xxhash64(F.slice("w", F.col("pos"), size)).alias("h"))
-            found = seen.join(F.broadcast(keys), "h").where(F.slice("w", F.col("pos"), size) == F.col("gram")).select("doc_id", "pos", "gram")
-        else:
-            seen = at.where("pos is not null").select("doc_id", "pos", F.xxhash64(F.slice("w", F.col("pos"), size)).alias("h"))
-            maybe = seen.join(keys, "h").select("doc_id", "pos", "gram")
-            found = maybe.join(tokens, "doc_id").where(F.slice("w", F.col("pos"), size) == F.col("gram")).select("doc_id", "pos", "gram")
-        out = found if out is None else out.unionByName(found)
-    return out
+def tokens(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, w): documents by number, with their words."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
+
+
+def hits(read: DataFrame, grams: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """(row, doc_id, n_words, pos, gram): where the distinct ``grams`` occur, verified word for word, and a row or more
+    without a gram for each document. read: as of ``tokens``, and stored if there are more grams than may be broadcast."""
+    count = {r[0]: r[1] for r in grams.groupBy(F.size("gram")).count().collect()}  # as many rows as a window has words
+    out = ["row", "doc_id", F.size("w").cast("long").alias("n_words")]
+    none = [F.lit(None).cast("int").alias("pos"), F.lit(None).cast("array<string>").alias("gram")]
+    keys = grams.select(F.xxhash64("gram").alias("h"), "gram")
+    # posexplode_outer: posexplode would make Spark test size(w) > 0 below, and so compute the words twice
+    at = read.select("row", "doc_id", "w", F.posexplode_outer("w").alias("i", "x")).withColumn("pos", F.col("i") + 1)
+    if not count:
+        return read.select(*out, *none)
+    if sum(count.values()) > broadcast_grams:
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.xxhash64(F.slice("w", F.col("pos"), n)).alias("h")) for n in sorted(count)]))
+        maybe = at.where("pos is not null").select("row", "pos", each.alias("k")).select("row", "pos", "k.h").join(keys, "h").select("row", "pos", "gram")
+        found = maybe.join(read, "row").where(F.slice("w", F.col("pos"), F.size("gram")) == F.col("gram")).select(*out, "pos", "gram")
+        return read.select(*out, *none).unionByName(found)
+    # a test of the first two words comes before the window's own hash; windows of one word have their own test
+    longer = grams.where(F.size("gram") > 1).select(F.xxhash64(F.element_at("gram", 1), F.try_element_at("gram", F.lit(2))).alias("lead"), F.size("gram").alias("size")).distinct()
+    first = F.coalesce(F.col("pos") <= 1, F.lit(True))
+    seen = at.withColumn("lead", F.xxhash64("x", F.try_element_at("w", F.col("pos") + 1))).join(F.broadcast(longer), "lead", "left")
+    if 1 in count:
+        single = grams.where(F.size("gram") == 1).select(F.xxhash64(F.element_at("gram", 1)).alias("word"), F.lit(1).alias("alone"))
+        seen = seen.withColumn("word", F.xxhash64("x")).join(F.broadcast(single), "word", "left").where(first | F.col("size").isNotNull() | F.col("alone").isNotNull())
+        seen = seen.select("row", "doc_id", "w", "pos", F.explode(F.array("size", "alone")).alias("size"))
+    seen = seen.where(first | F.col("size").isNotNull()).select("row", "doc_id", "w", "pos", "size")
+    window = F.slice("w", F.col("pos"), F.col("size"))
+    met = seen.withColumn("h", F.when(F.col("size").isNotNull(), F.xxhash64(window))).join(F.broadcast(keys), "h", "left")
+    right = F.coalesce(F.col("gram") == window, F.lit(False))
+    return met.where(first | right).select(*out, "pos", F.when(right, F.col("gram")).alias("gram"))
+
+
+def _read(docs: DataFrame, grams: DataFrame, broadcast_grams: int) -> DataFrame:
+    return tokens(docs) if grams.count() <= broadcast_grams else stored(tokens(docs), "words")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
@@ -64,46 +75,41 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Returns, one row per document, doc_id,
     n_words, n_hit (words inside any occurrence of a window), n_items (items with occurring windows), items_sha256
-    (of their ids, sorted as strings, comma-joined) and contaminated (n_hit > 0). ``clean_spans`` and a filter on
+    (of their ids, sorted as strings, comma-joined) and contaminated (n_hit > 0). ``without_hits`` and a filter on
     contaminated take the passages or the documents out.
 
     Null and empty texts have no words. Items without words match nothing, whatever their number; repeated items all
-    count; an item without an id counts as hit words but is in no list. Documents without a doc_id match nothing. An
-    empty documents table gives an empty result, an empty benchmark no hits. Overlapping windows count a word once.
+    count; an item without an id counts as hit words but is in no list. Every row is judged by its own text, those that
+    repeat a doc_id or have none too. An empty documents table gives an empty result, an empty benchmark no hits.
+    Overlapping windows count a word once. Documents of any length are read whole; a document's words are held at once.
     """
-    spark = docs.sparkSession
     grams = stored(benchmark_grams(benchmark, n), "grams")
-    base = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
-    found = hits(docs, grams.select("gram").distinct(), n, broadcast_grams)
-    none = F.sha2(F.lit(""), 256)
-    if found is None:
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
-    found = stored(found, "hits")
-    covered = (
-        found.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.size("gram") - 1)).alias("word"))
-        .distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
-    )
+    distinct = grams.select("gram").distinct()
+    found = stored(hits(_read(docs, distinct, broadcast_grams), distinct, broadcast_grams), "hits")
+    hit = found.where("gram is not null").select("row", "pos", "gram")
+    # words that a window adds to those before it
+    before = Window.partitionBy("row").orderBy("pos", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hit.select("row", "pos", (F.col("pos") + F.size("gram")).alias("stop")).distinct().withColumn("reached", F.max("stop").over(before))
+    covered = spans.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("pos", "reached"))).cast("long").alias("n_hit"))
     items = (
-        found.select("doc_id", "gram").distinct().join(grams, "gram").where("item_id is not null").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
-        .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+        hit.select("row", "gram").distinct().join(grams, "gram").where("item_id is not null").select("row", F.col("item_id").cast("string").alias("item")).distinct()
+        .groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
     )
-    return base.join(covered, "doc_id", "left").join(items, "doc_id", "left").select(
+    return found.select("row", "doc_id", "n_words").distinct().join(covered, "row", "left").join(items, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
-        F.coalesce("items_sha256", none).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
 
 def without_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """(doc_id, clean_words): the documents' normalised words with all hit spans removed. Same cases as above."""
     grams = stored(benchmark_grams(benchmark, n).select("gram").distinct(), "grams")
-    found = hits(docs, grams, n, broadcast_grams)
-    tokens = docs.select("doc_id", words(F.col("text")).alias("w"))
-    if found is None:
-        return tokens.withColumnRenamed("w", "clean_words")
-    at = (
-        found.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.size("gram") - 1)).alias("word")).distinct()
-        .groupBy("doc_id").agg(F.collect_set("word").alias("hit"))
-    )
-    return tokens.join(at, "doc_id", "left").select(
-        "doc_id", F.when(F.col("hit").isNull(), F.col("w")).otherwise(F.filter("w", lambda x, i: ~F.array_contains("hit", (i + 1).cast("int")))).alias("clean_words")
+    read = stored(tokens(docs), "words")
+    spans = hits(read, grams, broadcast_grams).where("gram is not null").select("row", "pos", (F.col("pos") + F.size("gram")).alias("stop")).distinct()
+    before = Window.partitionBy("row").orderBy("pos", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = spans.withColumn("reached", F.coalesce(F.max("stop").over(before), F.lit(1))).groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("pos") > F.col("reached"), F.struct(F.col("reached").alias("lo"), F.col("pos").alias("hi"))))).alias("gaps"), F.max("stop").alias("last")
     )
+    kept = F.flatten(F.transform("gaps", lambda g: F.slice("w", g["lo"], g["hi"] - g["lo"])))
+    rest = F.slice("w", F.col("last"), F.greatest(F.size("w") - F.col("last") + 1, F.lit(0)))
+    return read.join(gaps, "row", "left").select("doc_id", F.when(F.col("gaps").isNull(), F.col("w")).otherwise(F.concat(kept, rest)).alias("clean_words"))
