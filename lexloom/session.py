@@ -22,6 +22,8 @@ def session(app: str = "lexloom", master: str | None = None, **conf: str) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``; set a temporary one only where there is none."""
+    """Keep the cluster's ``spark.checkpoint.dir``. Without one, set a temporary folder on a single machine; raise on a cluster."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
