@@ -14,11 +14,14 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where a session has none."""
+    """The folder named by ``spark.checkpoint.dir``. A session without one gets a temporary folder if it runs on this machine
+    alone; on a cluster, where executors would each write to their own disk and rows would be missing, this raises."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if not name:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         name = got.get() if got.isDefined() else None
+    if not name and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not name:
         name = tempfile.mkdtemp(prefix="lexloom-")
         spark.sparkContext.setCheckpointDir(name)
