@@ -8,9 +8,11 @@ large branches on, in its task, by orderings that its path chooses, several at a
 pairs. Small nodes, and those that do not thin out, are compared exhaustively by signature. With 16
 trees of two levels a pair of similarity 0.75 is missed with probability (1 - 0.75**2)**16 < 2e-6.
 
-What the trees link is a superset of candidates. Its connected parts are checked on full shingle sets, in blocks of
-bounded size, and only links of the stated similarity make components. Equal sets are one class from the start, so
-copies are never expanded into pairs.
+What the trees link is a superset of candidates. Its connected parts ("clusters") are checked on full shingle sets, in
+blocks of bounded size, and only links of the stated similarity make components. A cluster larger than a block is
+checked in three rounds: within its blocks; between one document for each part that was found; and, where it still has
+several parts, all documents outside the largest part against all others, which loses no link. Equal sets are one class
+from the start, so copies are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import _repeats as R
@@ -33,7 +35,8 @@ PERCENT = 75
 #: Of 64 orderings, those in which a pair must agree to be a candidate: 5.8 standard deviations under 0.75.
 AGREE = 28
 LARGE, BRANCHES, DEPTH = 256, 4, 8
-BLOCK = 500  # documents of one side whose sets are compared in one task
+BLOCK = 250  # documents of one side whose sets are compared in one task
+BLOCK_SHINGLES = 4_000_000  # and their shingles, about
 _RNG = np.random.default_rng(5)
 _MULTIPLY = _RNG.integers(0, 2**63, ORDERINGS, dtype=np.uint64) * U(2) + U(1)
 _FLIP = _RNG.integers(0, 2**63, ORDERINGS, dtype=np.uint64)
@@ -175,38 +178,45 @@ def _arrays(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each (cluster, block pair) of rows sorted by it, on full shingle sets."""
+    """Stars over the parts that links connect within each (component, a, b) of rows sorted by it: (.., part, doc_id, text).
+
+    Links are tested on full shingle sets. Documents of one part, which is named by one of them, are known to be connected;
+    links that would connect nothing new are not looked for.
+    """
     power = R.Powers()
 
     def solve(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
-        rows.sort(key=lambda x: (len(x[2]), x[0]))
-        parts, ids = Parts(len(rows)), [x[0] for x in rows]
-        if len(rows) == 2:
-            if linked(rows[0][2], rows[1][2]):
-                parts.join(0, 1)
-        else:
-            # documents in order of size; a link needs a common shingle among the first quarter (and one) of each,
-            # in one order of all shingles
-            index: dict[int, list[int]] = {}
-            for j, (_, side, s) in enumerate(rows):
-                head = s[: len(s) - (PERCENT * len(s) + 99) // 100 + 1].tolist()
-                found = np.array([i for h in head for i in index.get(h, ())], int)
-                for i in np.unique(found)[::-1].tolist() if len(found) else ():
-                    other = rows[i]
-                    if parts.root(i) != parts.root(j) and 100 * len(other[2]) >= PERCENT * len(s) and linked(other[2], s):
-                        parts.join(i, j)
-                for h in head:
-                    index.setdefault(h, []).append(j)
-        roots = [parts.root(i) for i in range(len(rows))]
-        return [(ids[i], ids[r]) for i, r in enumerate(roots) if i != r]
+        rows.sort(key=lambda x: (len(x[2]), x[1]))
+        parts = Parts(len(rows))
+        known: dict[int, int] = {}
+        for i, (part, *_) in enumerate(rows):
+            parts.join(known.setdefault(part, i), i)
+        # documents in order of size; a link needs a common shingle among the first quarter (and one) of each,
+        # in one order of all shingles
+        index: dict[int, list[int]] = {}
+        left = len(known)
+        for j, (_, _, s) in enumerate(rows):
+            head = s[: len(s) - (PERCENT * len(s) + 99) // 100 + 1].tolist()
+            met = np.unique(np.array([i for h in head for i in index.get(h, ())], int))
+            for i in met[::-1].tolist() if left > 1 else ():
+                other = rows[i][2]
+                if parts.root(i) != parts.root(j) and 100 * len(other) >= PERCENT * len(s) and linked(other, s):
+                    parts.join(i, j)
+                    left -= 1
+            for h in head:
+                index.setdefault(h, []).append(j)
+        least: dict[int, int] = {}
+        for part, i in known.items():
+            least[parts.root(i)] = min(part, least.get(parts.root(i), part))
+        return [(part, least[parts.root(i)]) for part, i in known.items() if least[parts.root(i)] != part]
 
     key, rows, out = None, [], []
     for batch in batches:
-        for *at, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for *at, part, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
             if at != key:
                 out += solve(rows) if len(rows) > 1 else []
                 key, rows = at, []
-            rows.append((doc_id, 0, shingles(text, power)))
+            rows.append((part, doc_id, shingles(text, power)))
         if len(out) > 10_000:
             yield pa.record_batch([list(c) for c in zip(*out)], schema=EDGE)
             out = []
@@ -222,6 +232,55 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(both) - common)
 
 
+def _compared(docs: DataFrame, dealt: DataFrame, label: str) -> DataFrame:
+    """Links among the documents of each (component, a, b). dealt: component, a, b, part, node."""
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = stored(dealt, f"{label}-dealt").join(texts, F.col("node") == F.col("doc_id")).select("component", "a", "b", "part", "doc_id", "text")
+    return stored(rows.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b").mapInArrow(verified, EDGE_DDL), f"{label}-links")
+
+
+def _blocks(of: DataFrame, *by: str) -> DataFrame:
+    """(by, blocks): how many blocks hold the documents ``of`` (by, n) in bounded memory."""
+    size = of.groupBy(*by).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    return size.select(*by, F.ceil(F.greatest(F.col("docs") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+
+
+def cluster_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(u, v): links on full sets that connect what is connected. clusters: node, component; sizes: node, n (shingles)."""
+    sized = stored(clusters.join(sizes, "node"), "clusters")
+    blocks = stored(_blocks(sized, "component"), "blocks")
+    own = sized.join(blocks, "component").select("component", "node", "n", "blocks", _block("blocks").alias("a"))
+    links = _compared(docs, own.select("component", "a", F.col("a").alias("b"), F.col("node").alias("part"), "node"), "inner")
+    if blocks.where("blocks > 1").isEmpty():
+        return links
+    # a document has one block, so the stars of the blocks are parts; their centres, and documents alone, stand for them
+    large = stored(sized.join(blocks.where("blocks > 1"), "component").join(links.withColumnRenamed("u", "node"), "node", "left").select("component", "node", "n", F.coalesce("v", "node").alias("head")), "large")
+    heads = large.where("head = node")
+    several = heads.join(_blocks(heads, "component"), "component")
+    between = _compared(docs, several.select("component", _block("blocks").alias("a"), F.lit(-1).alias("b"), F.col("node").alias("part"), "node"), "heads")
+    links = links.unionByName(between)
+    # where a cluster still has several parts, those outside the largest are compared with everything
+    split = stored(large.join(between.withColumnRenamed("u", "head"), "head", "left").select("component", "node", "n", F.coalesce("v", "head").alias("part")), "split")
+    of_part = split.groupBy("component", "part").agg(F.count(F.lit(1)).alias("c"))
+    main = stored(of_part.groupBy("component").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"), "main")
+    if main.isEmpty():
+        return links
+    sides = split.join(main, "component").withColumn("inside", F.col("part") == F.col("main")).drop("main")
+    counts = _blocks(sides, "component", "inside").groupBy("component").agg(F.max(F.when(F.col("inside"), F.col("blocks"))).alias("ins"), F.max(F.when(~F.col("inside"), F.col("blocks"))).alias("outs"))
+    sides = sides.join(stored(counts, "counts"), "component")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = ["component", "a", "b", "part", "node"]
+    inner = sides.where("inside").select("component", "part", "node", _block("ins").alias("a"), every("outs").alias("c")).withColumn("b", -1 - F.col("c"))
+    outer = sides.where("not inside").withColumn("own", _block("outs"))
+    dealt = inner.select(*row).unionByName(outer.select("component", "part", "node", every("ins").alias("a"), (-1 - F.col("own")).alias("b")).select(*row))
+    dealt = dealt.unionByName(outer.select("component", "part", "node", "own", every("outs").alias("c")).select("component", "part", "node", F.least("own", "c").alias("a"), F.greatest("own", "c").alias("b")).select(*row))
+    return links.unionByName(_compared(docs, dealt, "outer"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Link documents whose sets of 5-word shingles have Jaccard similarity of 0.75 or more; one of a group stays.
 
@@ -230,23 +289,17 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     A text of fewer than five words is one shingle; null, empty and blank texts have none and are linked with
     nothing. Rows without a doc_id are linked with nothing, their component_id is null, and they are kept. Rows that
-    repeat a doc_id (with one text) are all returned alike. An empty table gives an empty result. Candidates are found
-    with probability above 1 - 2e-6 for each link, and confirmed on full sets.
+    repeat a doc_id are all returned, those with one text alike; with several texts, each is linked by its own set, and
+    all stand under the one id. An empty table gives an empty result. Texts of any length are read whole; a task holds
+    the sets of two blocks. A link is confirmed on full sets, and is a candidate with a probability of
+    1 - (1 - 0.75**2)**16, about 1 - 2e-6, less what branching and the test of ``AGREE`` orderings lose (see tests).
     """
     sets = stored(sketched(docs), "sketches")
     of_class = ["n_shingles", "print_a", "print_b"]
     some = sets.where("doc_id is not null and n_shingles > 0")
     classes = stored(some.groupBy(*of_class).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("nodes", "signature"), "doc_id").alias("x")).select(*of_class, "rep", "x.nodes", "x.signature"), "classes")
     maybe = connected_components(candidate_links(classes), "candidates")
-    # a cluster larger than a block is compared block by block: each document meets every block once
-    sizes = stored(maybe.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "sizes")
-    placed = maybe.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.select("component", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node"
-    )
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = stored(dealt, "dealt").join(texts, F.col("node") == F.col("doc_id")).select("component", "a", "b", "doc_id", "text")
-    links = rows.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b").mapInArrow(verified, EDGE_DDL)
+    links = cluster_links(docs, maybe, classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n")))
     found = stored(connected_components(links, "links"), "components")
     named = stored(classes.select(*of_class, "rep").join(found, F.col("rep") == F.col("node"), "left").select(*of_class, F.coalesce("component", "rep").alias("component")), "named")
     alone = sets.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from lexloom.llm import _repeats as R
 from lexloom.llm import near_dedup as near
 from lexloom.llm import substring_dedup as sub
 from lexloom.llm import suffix_array_dedup as suffix
+from lexloom.llm._tables import shared_dir
 from lexloom.llm.components import connected_components
 from lexloom.llm.decontamination import decontaminate, without_hits
 from lexloom.llm.exact_dedup import exact_dedup
@@ -99,12 +101,18 @@ def test_hot_grams_are_solved_level_by_level_alike(table):
         assert covered(spans(table)) == covered(spans(table, most=3))
 
 
-def test_nothing_is_settled_before_the_trees(table, monkeypatch):
-    """Without nodes, only members and equal contexts of one leaf lose anything; with them, all that brute force finds."""
+def test_copies_of_a_batch_are_members_of_one_leaf(table):
     leaves = R.anchors(table, R.Words, 20, 4).collect()
     assert any(r.members for r in leaves) and set(leaves[0].asDict()) == {"key", "doc_id", "pos", "members"}
 
 
+def test_a_cluster_without_a_shared_folder_is_refused():
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="yarn", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_nodes_against_pairs(seed):
     """What ``taken`` reads from either tree is what all pairs of contexts give."""
@@ -200,6 +208,50 @@ def test_near_dedup_in_small_blocks_and_branches(spark, monkeypatch):
     assert len({parts.root(i) for i in range(40)}) == 1 and len({parts.root(i) for i in range(600)}) == 561
 
 
+def family(rng, n, words, low, high):
+    """Texts that differ from one text in so many words that some are linked by 0.75 to 0.80, some barely not."""
+    base = [f"b{i}" for i in range(words)]
+    out = {}
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(words), rng.randint(low, high)):
+            w[k] = f"x{rng.randrange(10**9)}"
+        out[i] = " ".join(w)
+    return out
+
+
+def test_a_cluster_of_many_blocks_and_parts_is_whole(spark, monkeypatch):
+    """Rounds over blocks give the components of all pairs: a large part, small parts, single documents."""
+    rng = random.Random(12)
+    monkeypatch.setattr(near, "BLOCK", 8)
+    docs = family(rng, 60, 200, 0, 9)
+    docs |= {100 + i: t for i, t in family(rng, 30, 200, 9, 13).items()} | {200: " ".join(docs[0].split()[:150])}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    one = spark.createDataFrame([(i, 0) for i in docs], "node long, component long")
+    sizes = spark.createDataFrame([(i, len(s)) for i, s in shingle_sets(docs).items()], "node long, n long")
+    found = {r.node: r.component for r in connected_components(near.cluster_links(df, one, sizes)).collect()}
+    want = components(shingle_sets(docs))
+    assert {i: found.get(i, i) for i in docs} == want and len(set(want.values())) > 3
+
+
+def test_recall_of_links_in_a_large_node():
+    """Sets of one node of 800, in pairs of similarity 0.75 to 0.80: branching and signatures keep the links."""
+    rng = near.np.random.default_rng(13)
+    common = rng.integers(0, 2**63, 260, dtype=near.U)
+    sets, wanted = [], []
+    for pair in range(400):
+        both = near.np.concatenate([common, rng.integers(0, 2**63, 140, dtype=near.U)])
+        k = int(rng.integers(50, 67))  # 400 shared, k own each: 400 / (400 + 2k)
+        sets += [near.np.concatenate([both, rng.integers(0, 2**63, k, dtype=near.U)]) for _ in range(2)]
+        if 100 * 400 >= 75 * (400 + 2 * k):
+            wanted.append((2 * pair, 2 * pair + 1))
+    sig = near.np.array([(R.mixed(((s[:, None] ^ near._FLIP) * near._MULTIPLY).min(0)) >> near.U(56)).astype(near.np.uint8) for s in sets])
+    parts = near.Parts(800)
+    near.branch(sig, near.np.arange(800), parts, 5)
+    met = sum(parts.root(i) == parts.root(j) for i, j in wanted)
+    assert len(wanted) > 300 and met / len(wanted) >= 0.99, met / len(wanted)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (9, 8), (5, 5), (7, 3), (None, 4)], "u long, v long")
     assert {r.node: r.component for r in connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 9: 8, 8: 8}
