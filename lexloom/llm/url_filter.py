@@ -102,8 +102,9 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, orde
     pages: page_id, url and any other columns, which are ignored. Returns page_id, host, path, rule, verdict, score,
     one row per input row. Urls that are null or without ``://`` have empty host and path and a score of 0; so has
     every url if the rules decide none, or only one way (the threshold is then 0, and scores of 0 or more are
-    allowed). Rows that repeat are all judged and all counted in training. Ties between rules of one length go to
-    the rule listed first; a score equal to the threshold is allowed. An empty table gives an empty result.
+    allowed). Rows that repeat, or have no page_id, are all judged and all counted in training. Ties between rules of
+    one length go to the rule listed first; a score equal to the threshold is allowed. Urls of any length are judged
+    whole; the grams of one are held in one row. An empty table gives an empty result.
     """
     rest = rest_of(F.col("url"))
     read = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", F.col("url").isNull().alias("none"), rest.alias("rest")).select(
@@ -114,12 +115,15 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, orde
     decided = F.col("by").isNotNull()
     calibrates = F.substring(F.md5(F.col("text").cast("binary")), 1, 1).isin("0", "1", "2")
     accepted = F.col("by.verdict") == "allow"
-    kinds = read.groupBy("text").agg(  # equal urls once
-        F.sum(F.when(decided & ~calibrates & accepted, 1).otherwise(0)).alias("a"), F.sum(F.when(decided & ~calibrates & ~accepted, 1).otherwise(0)).alias("r")
-    )
-    counts = stored(kinds.select("a", "r", F.explode_outer(grams(F.col("text"), order)).alias("gram")).where("gram is not null").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "grams")
+    trains = decided & ~calibrates
+    # counted before they are shuffled: the grams of a url that many rows hold are a row a task by then
+    counted = read.select(F.when(trains & accepted, 1).otherwise(0).alias("a"), F.when(trains & ~accepted, 1).otherwise(0).alias("r"), F.explode_outer(grams(F.col("text"), order)).alias("gram"))
+    counts = stored(counted.where("gram is not null").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "grams")
     model = markov_ratio(counts, order, weight)
-    each = read.select("text").distinct().select("text", F.explode_outer(grams(F.col("text"), order)).alias("gram")).where("gram is not null")
+    # dealt anew: Spark would join the small distinct urls in few tasks, which would then hold them many times over as grams;
+    # one part more than it takes itself, or it would see nothing to do
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    each = read.select("text").distinct().repartition(parts, "text").select("text", F.explode_outer(grams(F.col("text"), order)).alias("gram")).where("gram is not null")
     scores = stored(each.groupBy("text", "gram").agg(F.count(F.lit(1)).alias("n")).join(model, "gram").groupBy("text").agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).alias("score")), "scores")
     judged = read.join(scores, "text", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     t = threshold(judged.where(decided & calibrates).select("score", accepted.alias("accepted")))
