@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from itertools import groupby, takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,53 +23,71 @@ CONTEXT = re.compile(
 )
 BULLETS = re.compile(r"[•▪±·\s]+")
 OPTION = re.compile(r"\(([A-E])\)\s*(.*)", re.S)
+#: Marks of an answer key, and what its lines hold besides headers.
 ANSWER = re.compile(r"([A-EX*]|NULA|ANULADA)", re.I)
 KEY_NOISE = re.compile(r"pcimark|\(?\*|P[áa]gina|\(?[A-Z]?\)?\s*[–-]?\s*Quest")
-KEY_NOISE_ANYWHERE = re.compile(r"GABARITO|CONCURSO|EDITAL|APLICAD|PROVIMENTO|QUADRO DE PESSOAL|^\d{2}/\d{2}/\d{4}$", re.I)
+KEY_NOISE_ANYWHERE = re.compile(r"pciconcursos|(?i:GABARITO|CONCURSO|EDITAL|APLICAD|PROVIMENTO|QUADRO DE PESSOAL|^\d{2}/\d{2}/\d{4}$)")
+SHIFTS = {"manha": re.compile(r"\bMANH[AÃ]\b", re.I), "tarde": re.compile(r"\bTARDE\b", re.I)}
 
 
-def starts(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """(number, index) of accepted question starts: the number expected, or up to two later, with an option A in reach before the next number."""
-    expected = 1
-    for i, line in enumerate(texts):
-        if not (line.isdecimal() and expected <= int(line) <= expected + 2):
-            continue
-        after = str(int(line) + 1)
-        for ahead in texts[i + 1 : i + 1 + LOOK_AHEAD]:
-            if ahead.isdecimal() and ahead.lstrip("0") == after:
-                break
-            if ahead.startswith("(A)"):
-                yield int(line), i
-                expected = int(line) + 1
-                break
+def numbered(texts: list[str]) -> list[int]:
+    """Places of the lines that begin a question.
+
+    Candidates are the lines that are one number. Each has a horizon: the next line that is the number after it, or
+    ``LOOK_AHEAD`` lines. Those without a line of option A before their horizon are out; of the rest the chain is taken
+    in which every number is the one due or up to two later.
+    """
+    at = [i for i, x in enumerate(texts) if x.isdecimal()]
+    value = {i: int(texts[i]) for i in at}
+    places: dict[int, list[int]] = defaultdict(list)
+    for i in at:
+        places[value[i]].append(i)
+    firsts = [i for i, x in enumerate(texts) if x.startswith("(A)")]
+
+    def has_options(i: int) -> bool:
+        later = places.get(value[i] + 1, [])
+        k = bisect.bisect_right(later, i)
+        horizon = min(later[k] if k < len(later) else len(texts), i + 1 + LOOK_AHEAD)
+        k = bisect.bisect_right(firsts, i)
+        return k < len(firsts) and firsts[k] < horizon
+
+    chain: list[int] = []
+    for i in filter(has_options, at):
+        if 0 <= value[i] - (value[chain[-1]] + 1 if chain else 1) <= 2:
+            chain.append(i)
+    return chain
+
+
+def letters_due(marks: list[str | None]) -> list[int]:
+    """Places of the marks A, B, C, ... in turn; a mark out of turn is none."""
+    found: list[int] = []
+    for letter in "ABCDE":
+        k = next((i for i in range(found[-1] + 1 if found else 0, len(marks)) if marks[i] == letter), None)
+        if k is None:
+            break
+        found.append(k)
+    return found
 
 
 def split_body(body: list[str]) -> dict:
-    """One question's lines to statement, options, a merged flag, and a passage that belongs to the next question."""
-    statement: list[str] = []
-    options: dict[str, list[str]] = {}
-    current, merged, context = "", False, []
-    for line in body:
-        m = OPTION.fullmatch(line)
-        due = chr(ord(current) + 1) if current else "A"
-        if m and m[1] == due:
-            current = due
-            options[current] = [m[2]] if m[2] else []
-        elif current:
-            merged |= m is not None
-            options[current].append(line)
-        else:
-            statement.append(line)
-    if current:
-        last = options[current]
-        at = next((i for i, x in enumerate(last) if CONTEXT.match(x)), len(last))
-        options[current], context = last[:at], last[at:]
-        if len(options[current]) > 1 and _subtitle(*options[current][-2:]):
-            options[current].pop()
-    for kept in options.values():
-        while kept and BULLETS.fullmatch(kept[-1]):
-            kept.pop()
-    return {"statement": statement, "options": options, "merged": merged, "context": context}
+    """One question's lines to statement, options, a merged flag, and a passage that belongs to the next question.
+
+    The lines that open an option in turn cut the body into the statement and the options' segments; another option's
+    mark inside a segment tells that two questions were merged.
+    """
+    matches = [OPTION.fullmatch(x) for x in body]
+    cuts = letters_due([m and m[1] for m in matches])
+    if not cuts:
+        return {"statement": body, "options": {}, "merged": False, "context": []}
+    segments = [body[lo:hi] for lo, hi in zip(cuts, [*cuts[1:], len(body)])]
+    merged = any(m for i, m in enumerate(matches) if i > cuts[0] and i not in cuts)
+    options = [[x for x in (matches[lo][2],) if x] + segment[1:] for lo, segment in zip(cuts, segments)]
+    at = next((i for i, x in enumerate(options[-1]) if CONTEXT.match(x)), len(options[-1]))
+    options[-1], context = options[-1][:at], options[-1][at:]
+    if len(options[-1]) > 1 and _subtitle(*options[-1][-2:]):
+        del options[-1][-1]
+    kept = [x[: len(x) - sum(1 for _ in takewhile(BULLETS.fullmatch, reversed(x)))] for x in options]
+    return {"statement": body[: cuts[0]], "options": dict(zip("ABCDE", kept)), "merged": merged, "context": context}
 
 
 def _subtitle(before: str, line: str) -> bool:
@@ -78,11 +98,11 @@ def _subtitle(before: str, line: str) -> bool:
 def _questions(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("line_no")
     texts, title = group["text"].tolist(), group["in_title"].tolist()
-    found = list(starts(texts))
+    found = numbered(texts)
     rows = []
-    for (number, i), (_, end) in zip(found, [*found[1:], (0, len(texts))]):
+    for i, end in zip(found, [*found[1:], len(texts)]):
         body = [texts[k] for k in range(i + 1, end) if texts[k] != L.PAGE and not title[k]]
-        rows.append({"exam": group["exam"].iloc[0], "number": number, "line_no": int(group["line_no"].iloc[i]), **split_body(body)})
+        rows.append({"exam": group["exam"].iloc[0], "number": int(texts[i]), "line_no": int(group["line_no"].iloc[i]), **split_body(body)})
     return pd.DataFrame(rows, columns=["exam", "number", "line_no", "statement", "options", "merged", "context"])
 
 
@@ -115,34 +135,34 @@ def key_blocks(keys: DataFrame) -> DataFrame:
 
 
 def blocks(text: str) -> list[dict]:
-    """A header is a run of lines without noise or gap; a line of numbers and the next line that is not blank, with as
-    many answers, fill the block under the latest header; a shift holds until another is named."""
-    lines = [x.strip() for x in text.splitlines()]
+    """Answer blocks of one key: header, shift, answers by number.
+
+    Every line is classified first: a row of numbers that the next filled line answers, that line itself, noise, or header
+    text. Runs of neighbouring header lines are headers. A block begins at a row of answers that has a header since the row
+    before it, the last one; further rows belong to it. Its shift is the last one that a line above it names.
+    """
+    lines = pd.Series([x.strip() for x in text.splitlines()], dtype=object)
+    filled = [i for i, x in enumerate(lines) if x]
+    after = dict(zip(filled, filled[1:]))
+    rows: dict[int, dict[int, str]] = {}
+    spent: set[int] = set()
+    for i in filled:
+        numbers, marks = lines[i].split(), lines[after[i]].split() if i in after else []
+        if i not in spent and all(map(str.isdecimal, numbers)) and len(numbers) == len(marks) and all(map(ANSWER.fullmatch, marks)):
+            rows[i] = {int(n): m.upper() if m.upper() in "ABCDE" else "ANULADA" for n, m in zip(numbers, marks)}
+            spent |= {i, *range(i, after[i] + 1)}
+    titles = [i for i in filled if i not in spent and len(lines[i]) > 3 and not KEY_NOISE.match(lines[i]) and not KEY_NOISE_ANYWHERE.search(lines[i])]
+    runs = [[i for _, i in group] for _, group in groupby(enumerate(titles), lambda x: x[1] - x[0])]
+    named = [(i, name) for i in filled for name, word in SHIFTS.items() if "turno" not in lines[i].lower() and word.search(lines[i])]
     out: list[dict] = []
-    header: list[str] = []
-    last, shift, i = -99, None, 0
-    while i < len(lines):
-        line = lines[i]
-        if "turno" not in line.lower():
-            for word, name in (("MANH[AÃ]", "manha"), ("TARDE", "tarde")):
-                if re.search(rf"\b{word}\b", line, re.I):
-                    shift = name
-        numbers = line.split()
-        if numbers and all(map(str.isdecimal, numbers)):
-            j = next((k for k in range(i + 1, len(lines)) if lines[k]), None)
-            marks = lines[j].split() if j is not None else []
-            if len(marks) == len(numbers) and all(map(ANSWER.fullmatch, marks)):
-                if header:
-                    out.append({"header": " ".join(header), "shift": shift, "answers": {}})
-                    header = []
-                if out:
-                    out[-1]["answers"].update((int(n), m.upper() if m.upper() in "ABCDE" else "ANULADA") for n, m in zip(numbers, marks))
-                i = j + 1
-                continue
-        if len(line) > 3 and not (KEY_NOISE.match(line) or "pciconcursos" in line or KEY_NOISE_ANYWHERE.search(line)):
-            header = [*header, line] if i - last <= 1 else [line]
-            last = i
-        i += 1
+    before = -1
+    for i, answers in rows.items():
+        above = [run for run in runs if before < run[-1] < i]
+        if above:
+            out.append({"header": " ".join(lines[above[-1]]), "shift": next((name for k, name in reversed(named) if k < i), None), "answers": {}})
+        if out:
+            out[-1]["answers"] |= answers
+        before = i
     return out
 
 
