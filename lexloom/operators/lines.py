@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 
 PAGE = "\f"
+#: Watermarks and page numbers, options, page footers.
 NOISE = "^(pcimarkpci(?![\\p{L}\\p{N}_]).*|www\\.pciconcursos\\.com\\.br|FGV Conhecimento|Página [0-9]+( de [0-9]+)?)$"
 OPTION = "^\\(([A-E])\\)\\s*(.*)$"
-FOOTER = "(Tipo|Prova)\\s*[0-9].*P[áa]gina\\s*[0-9]+|^P[áa]gina\\s*[0-9]+|^Realização$"
-#: How section titles begin, as fixed values.
+FOOTER = "(Tipo|Prova)\\s*[0-9].*P[áa]gina\\s*[0-9]+|TIPO .*P[ÁA]GINA [0-9]+|^P[áa]gina\\s*[0-9]+|^Realização$"
+#: How section titles begin, what they hold not, and what stands before them.
 TITLE_BEGINS = (
     "^(M\\s?[ÓO]DULO\\b|C\\s?ONHECIMENTOS\\b|Conhecimentos\\b|L[ÍI]NGUA\\b|L[íi]ngua\\b|Racioc[íi]nio|RACIOC|Legisla[çc][ãa]o|LEGISLA|No[çc][õo]es|NO[ÇC][ÕO]ES"
     "|Direitos?\\b|DIREITO|Hist[óo]ria|Matem[áa]tica|Atualidades|[ÉE]tica\\b|Governan[çc]a|Seguran[çc]a da Informa[çc][ãa]o|Arquitetura de Sistemas"
@@ -93,11 +94,11 @@ def titled(df: DataFrame, key: str) -> DataFrame:
 def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
     """Add ``place``, the order of blocks on a two-column page: full-width ones above, left column, right, full-width ones below.
 
-    blocks: page columns, width, x_min, y_min, x_max.
+    blocks: page columns, width, x_min, y_min, x_max; blocks at one place go by x_max, then by ``block`` where there is one.
     """
     half = F.col("width") / 2
     column = F.when(F.col("x_max") <= half + 15, 1).when(F.col("x_min") >= half - 15, 2).otherwise(0)
     top = F.coalesce(F.min(F.when(F.col("column") > 0, F.col("y_min"))).over(Window.partitionBy(*page)), F.lit(1e9))
     band = F.when(F.col("column") > 0, F.col("column")).when(F.col("y_min") < F.col("top"), 0).otherwise(3)
     placed = blocks.withColumn("column", column).withColumn("top", top).withColumn("band", band)
-    return placed.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy("band", "y_min", "x_min"))).drop("top", "band", "column")
+    return placed.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy("band", "y_min", "x_min", *[c for c in ("x_max", "block") if c in blocks.columns]))).drop("top", "band", "column")
