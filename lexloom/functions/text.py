@@ -72,12 +72,8 @@ def symbols(c: Column | str) -> Column:
 
 def fold_lines(lines: Column | str) -> Column:
     """Join lines by blanks; a hyphen at a line's end disappears if the next line goes on in lower case."""
-    glued = lambda s, x: F.regexp_like(s, F.lit("(^|[^ ])-$")) & F.regexp_like(x, F.lit("^\\p{Ll}"))
-    out = F.aggregate(
-        col(lines), F.lit(""),
-        lambda s, x: F.when(s == "", x).when(glued(s, x), F.concat(F.substring(s, F.lit(1), F.length(s) - 1), x)).otherwise(F.concat(s, F.lit(" "), x)),
-    )
-    return F.trim(F.regexp_replace(out, "\\s+", " "))
+    whole = F.regexp_replace(F.array_join(col(lines), "\n"), "^\n+", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(whole, "(^|[^ \n])-\n(?=\\p{Ll})", "$1"), "\\s+", " "))
 
 
 def without_footer(c: Column | str) -> Column:

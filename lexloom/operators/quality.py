@@ -35,7 +35,7 @@ def flag_array(flags: list[tuple[str, Column]]) -> Column:
 
 def odd_share(text: Column) -> Column:
     """Share of characters that are neither letters, digits, spaces nor on the list of ordinary signs; 0 for none."""
-    return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, ORDINARY, "")) / F.length(text)).otherwise(F.lit(0.0))
+    return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, ORDINARY + "+", "")) / F.length(text)).otherwise(F.lit(0.0))
 
 
 def flagged(df: DataFrame) -> DataFrame:
@@ -62,11 +62,9 @@ def flagged(df: DataFrame) -> DataFrame:
 def text_flags(text: Column | str = "text") -> Column:
     """The flags that any text can have, by line or as a whole."""
     c = T.col(text)
-    lines = F.split(c, "\n")
-    longest = F.array_max(F.transform(lines, F.length))
     return flag_array([
-        ("alternativa_com_texto_extra", longest > 2000), ("simbolo_nao_convertido", F.regexp_like(c, F.lit(UNCONVERTED))),
-        ("fragmento_solto", F.exists(lines, lambda x: F.regexp_like(x, F.lit(LOOSE)))), ("espaco_de_simbolo_perdido", F.regexp_like(c, F.lit(LOST_GAP))),
+        ("alternativa_com_texto_extra", F.regexp_like(c, F.lit("(?md)^[^\n]{2001}"))), ("simbolo_nao_convertido", F.regexp_like(c, F.lit(UNCONVERTED))),
+        ("fragmento_solto", F.regexp_like(c, F.lit(f"(?md){LOOSE}"))), ("espaco_de_simbolo_perdido", F.regexp_like(c, F.lit(LOST_GAP))),
         ("enunciado_curto", F.length(c) < 25), ("depende_de_imagem", F.regexp_like(c, F.lit(PICTURE))), ("caracteres_estranhos", odd_share(c) > 0.03),
     ])
 
