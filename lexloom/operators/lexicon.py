@@ -21,7 +21,7 @@ LANGUAGES = [
     ("de", ["und", "der", "das", "nicht"], ["die", "ist", "mit", "ein"]),
     ("es", ["los", "una", "para", "por"], ["el", "las", "que", "con"]),
 ]
-#: A network term that contains a security term is rewritten before scoring.
+#: Fixed value: a network term that contains a security term is rewritten before scoring.
 REWRITES = {"controle de acesso ao meio": "mac_camada_enlace csma/cd"}
 
 
@@ -47,8 +47,8 @@ def scores(docs: DataFrame, key: str, text: Column, lex: DataFrame, rewrites: di
     A term of weight 2 counts 2 x min(occurrences, 3), one of weight 1 counts once. The lexicon is small by nature:
     it is read on the driver to split its terms, and broadcast.
     """
-    terms = [r.term for r in lex.select("term").distinct().collect()]
-    normal = {t: "".join(docs.sparkSession.range(1).select(T.norm(F.lit(t))).first()[0]) for t in terms if not re.fullmatch(r"[a-z0-9_]+", t)}
+    normal = dict(lex.select("term", T.norm("term")).distinct().collect())
+    terms = list(normal)
     single = [t for t in terms if re.fullmatch(r"\w+", normal.get(t, t))]
     other = [t for t in terms if t not in single]
     base = docs.select(key, prepared(text, rewrites).alias("t"))

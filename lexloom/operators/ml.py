@@ -25,15 +25,28 @@ def seeded_order(key: Column, seed: int = 42) -> Column:
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``: the first ``share`` of each label's rows in seeded order."""
-    order = Window.partitionBy(label).orderBy(seeded_order(F.col(key), seed), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return df.withColumn("is_test", F.row_number().over(order) <= F.floor(n * share))
+    return _placed(df, key, label, seed).withColumn("is_test", F.col("_place") <= F.floor(F.col("_n") * share)).drop("_place", "_n")
 
 
 def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold``, 0 to k - 1, evenly within each label."""
-    order = Window.partitionBy(label).orderBy(seeded_order(F.col(key), seed), key)
-    return df.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    return _placed(df, key, label, seed).withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_place", "_n")
+
+
+def _placed(df: DataFrame, key: str, label: str, seed: int, digits: int = 3) -> DataFrame:
+    """Add ``_place``, each row's number among those of its label in seeded order, and ``_n``, how many those are.
+
+    Rows are numbered within buckets of the order, so that no task sorts all rows of a label.
+    """
+    order = seeded_order(F.col(key), seed)
+    bucket = F.substring(order, 1, digits)
+    held = df.groupBy(F.col(label).alias("_l"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    of_label = Window.partitionBy("_l")  # 16**digits rows a label at most
+    before = of_label.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("_l", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(of_label).alias("_n"))
+    dealt = df.withColumn("_bucket", bucket).join(held, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_bucket") == F.col("_b")))
+    within = Window.partitionBy("_l", "_b").orderBy(order, key)
+    return dealt.withColumn("_place", F.col("_before") + F.row_number().over(within)).drop("_l", "_b", "_bucket", "_before")
 
 
 def nearest(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 3) -> DataFrame:
@@ -63,8 +76,9 @@ def nearest(train: DataFrame, test: DataFrame, key: str, vector: str, label: str
             for batch in batches:
                 at = batch.column(0).to_numpy()
                 x = np.array(batch.column(1).to_pylist(), float)
+                step = max(1, (1 << 22) // (512 * q.shape[1]))  # queries whose differences are held at once
                 for lo in range(0, len(at), 512):
-                    d = ((q[:, None, :] - x[None, lo : lo + 512, :]) ** 2).sum(2) if q.size * 512 <= 1 << 24 else (q**2).sum(1)[:, None] - 2 * q @ x[lo : lo + 512].T + (x[lo : lo + 512] ** 2).sum(1)
+                    d = np.concatenate([((q[i : i + step, None, :] - x[None, lo : lo + 512, :]) ** 2).sum(2) for i in range(0, len(q), step)])
                     d, i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(at[lo : lo + 512], (len(ids), len(at[lo : lo + 512])))], 1)
                     order = np.lexsort((i, d), axis=1)[:, :k]
                     best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)

@@ -14,6 +14,7 @@ from lexloom.functions import text as T
 from lexloom.functions.vectors import cosine
 from lexloom.operators import dedup, exams, lexicon, lines, ml, quality, stats, tfidf
 from lexloom.plans import corpus
+from lexloom.session import kept
 from lexloom.streaming.score import tumbling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,7 +174,7 @@ SELECT lang, sum(n)::BIGINT AS total, string_agg(source || ':' || n, ',' ORDER B
 def nested_class_totals(spark, sf_dir):
     from lexloom.sources import sinks
 
-    out = sinks.nested(documents(spark, sf_dir).select("lang", "source", "doc_id"), "lang", "source", "doc_id")
+    out = sinks.nested_totals(documents(spark, sf_dir), "lang", "source")
     return out.select("lang", "total", F.array_join(F.transform("groups", lambda g: F.concat(g["source"], F.lit(":"), g["n"].cast("string"))), ",").alias("groups"))
 
 
@@ -193,15 +194,20 @@ def exact_duplicates(spark, sf_dir):
 
 
 @query(rf"""
-WITH d AS (SELECT doc_id, left({_SQUASH % "coalesce(text, '')"}, 60) AS k, list_distinct(regexp_extract_all({_NORM % "coalesce(text, '')"}, '[a-z0-9]+')) AS t FROM documents),
-p AS (SELECT b.doc_id AS new, a.doc_id AS old, len(list_intersect(a.t, b.t))::DOUBLE AS i, len(a.t) + len(b.t) AS s FROM d a JOIN d b ON a.k = b.k AND a.k <> '' AND a.doc_id < b.doc_id)
-SELECT new, old, round(CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END, 6) AS jaccard FROM p WHERE i >= 0.5 * (s - i) AND s - i > 0""")
+WITH d AS (SELECT doc_id, left({_SQUASH % "coalesce(text, '')"}, 150) AS k, list_sort(list_distinct(regexp_extract_all({_NORM % "coalesce(text, '')"}, '[a-z0-9]+'))) AS t FROM documents),
+g AS (SELECT k, t, min(doc_id) AS rep FROM d WHERE k <> '' AND len(t) > 0 GROUP BY k, t),
+p AS (SELECT b.rep AS new, a.rep AS old, len(list_intersect(a.t, b.t))::DOUBLE AS i, len(a.t) + len(b.t) AS s FROM g a JOIN g b ON a.k = b.k AND a.rep < b.rep)
+SELECT new, old, round(i / (s - i), 6) AS jaccard FROM p WHERE i >= 0.5 * (s - i)
+UNION ALL SELECT doc_id, rep, 1.0 FROM d JOIN g ON d.k = g.k AND d.t = g.t WHERE doc_id > rep""")
 def near_dup_pairs_jaccard(spark, sf_dir):
-    d = documents(spark, sf_dir).select("doc_id", F.substring(T.squash("text"), 1, 60).alias("k"), T.ascii_tokens("text").alias("t")).where("k <> ''")
-    pairs = d.alias("a").join(d.alias("b"), F.expr("a.k = b.k and a.doc_id < b.doc_id")).select(
-        F.col("b.doc_id").alias("new"), F.col("a.doc_id").alias("old"), T.jaccard(F.col("a.t"), F.col("b.t")).alias("jaccard")
-    )
-    return rounded(pairs.where("jaccard >= 0.5"), "jaccard")
+    """Pairs of one block: between the first documents of equal token sets, and each later document with its first."""
+    d = documents(spark, sf_dir).select("doc_id", F.substring(T.squash("text"), 1, 150).alias("k"), F.array_sort(T.ascii_tokens("text")).alias("t")).where("k <> '' and size(t) > 0")
+    d = kept(d.select("doc_id", F.md5(F.col("k").cast("binary")).alias("k"), F.sha2(F.array_join("t", " "), 256).alias("h"), "t"))
+    first = d.groupBy("k", "h").agg(F.min_by(F.struct("doc_id", "t"), "doc_id").alias("x")).select("k", "h", F.col("x.doc_id").alias("rep"), F.col("x.t").alias("t"), F.size("x.t").alias("n"))
+    sized = (F.col("a.k") == F.col("b.k")) & (F.col("a.rep") < F.col("b.rep")) & (2 * F.least("a.n", "b.n") >= F.greatest("a.n", "b.n"))
+    pairs = first.alias("a").join(first.alias("b"), sized).select(F.col("b.rep").alias("new"), F.col("a.rep").alias("old"), T.jaccard(F.col("a.t"), F.col("b.t")).alias("jaccard")).where("jaccard >= 0.5")
+    copies = d.select("doc_id", "k", "h").join(first.select("k", "h", "rep"), ["k", "h"]).where("doc_id > rep").select(F.col("doc_id").alias("new"), F.col("rep").alias("old"), F.lit(1.0).alias("jaccard"))
+    return rounded(pairs.unionByName(copies), "jaccard")
 
 
 @query()
@@ -222,7 +228,7 @@ def dedup_leaders(spark, sf_dir):
 WITH l AS (SELECT source, text FROM {_LINES}),
 k AS (SELECT *, regexp_matches(text, '^\(([A-E])\)\s*(.*)$') OR regexp_matches(text, '^[0-9]+$') AS plain FROM l),
 f AS (SELECT source, text FROM k WHERE NOT plain AND length(text) > 15 GROUP BY ALL HAVING count(*) >= 4)
-SELECT source, count(*) AS n_lines, count(*) FILTER (NOT regexp_matches(text, '(?i)(Tipo|Prova)\s*[0-9].*P[áa]gina\s*[0-9]+|^P[áa]gina\s*[0-9]+|^Realização$') AND f.source IS NULL) AS n_kept
+SELECT source, count(*) AS n_lines, count(*) FILTER (NOT regexp_matches(text, '(?i){lines.FOOTER}') AND f.source IS NULL) AS n_kept
 FROM k LEFT JOIN f USING (source, text) GROUP BY source""".replace("LEFT JOIN f USING (source, text) GROUP BY source", "LEFT JOIN (SELECT source AS s, text AS x FROM f) AS f ON f.s = k.source AND f.x = k.text GROUP BY source").replace("f.source IS NULL", "f.s IS NULL"))
 def repeated_line_removal(spark, sf_dir):
     d = documents(spark, sf_dir).select("source", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
@@ -351,7 +357,7 @@ top AS (SELECT *, row_number() OVER (ORDER BY round(mean_tfidf, 9) DESC, term) A
 
 def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
     d = documents(spark, sf_dir)
-    counts = tfidf.term_counts(d, "doc_id", F.filter(T.words(F.lower("text")), lambda w: F.length(w) >= 2))
+    counts = kept(tfidf.term_counts(d, "doc_id", F.filter(T.words(F.lower("text")), lambda w: F.length(w) >= 2)))
     n = d.agg(F.count(F.lit(1))).scalar()
     return counts, tfidf.transform(counts, "doc_id", tfidf.fit(counts, "doc_id", n, min_df=5, max_df=0.8)), n
 
@@ -421,7 +427,7 @@ k AS (SELECT doc_id, n_chars, n_tokens, rank() OVER (ORDER BY n_chars) + (count(
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "n_chars", F.size(T.tokens("text")).cast("long").alias("n_tokens"))
+    return kept(documents(spark, sf_dir).select("doc_id", "n_chars", F.size(T.tokens("text")).cast("long").alias("n_tokens")))
 
 
 @query(f"WITH {_RANKS} SELECT count(*) AS n, round(corr(a, b), 6) AS spearman FROM k")

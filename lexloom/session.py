@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "lexloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,3 +27,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` in the checkpoint folder: what is read several times is computed once, and survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

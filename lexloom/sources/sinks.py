@@ -37,6 +37,12 @@ def nested(df: DataFrame, outer: str, inner: str, order: str) -> DataFrame:
     return by.groupBy(outer).agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct(inner, "n", "records"))).alias("groups"))
 
 
+def nested_totals(df: DataFrame, outer: str, inner: str) -> DataFrame:
+    """(outer, total, groups): the same without the records, counted before anything meets in a row."""
+    by = df.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("n"))
+    return by.groupBy(outer).agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct(inner, "n"))).alias("groups"))
+
+
 def record_text(letters: str = "options") -> Column:
     """The labelled text form of one record: id, year, banca, post, area, statement, options (array of letra, texto), answer."""
     listed = F.array_join(F.transform(letters, lambda o: F.concat(F.lit("("), o["letra"], F.lit(") "), o["texto"])), "\n")

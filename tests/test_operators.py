@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as T
 from lexloom.operators import dedup, exams, lexicon, lines, ml, quality
 from lexloom.plans import corpus
 from lexloom.queries import EXAM, EXAM_KEY
@@ -119,3 +120,26 @@ def test_logistic_queries_run_to_convergence_without_stopwords(spark, tmp_path,
     model, _, vocabulary = queries._text_model(spark, path)
     assert {"good", "poor", "word3"} <= set(vocabulary) and not {"the", "and"} & set(vocabulary)
     assert asked == [2000] and model.stages[-1].summary.totalIterations < 2000
+
+
+def test_footers_with_a_colour_go(spark):
+    rows = [(1, i, t) for i, t in enumerate(["TIPO BRANCA – PÁGINA 8", "Tipo 1 Branca – Página 8", "tipo azul – página 12", "O tipo de página", "Página 3", "Questão"])]
+    df = spark.createDataFrame(rows, "doc long, line_no int, text string")
+    assert [r.text for r in lines.without_headers(df, "doc").orderBy("line_no").collect()] == ["O tipo de página", "Questão"]
+
+
+def test_questions_need_their_options_and_their_turn():
+    assert exams.numbered(["1", "q", "(A) x", "7", "(A) no", "2", "3", "(A) y", "4", "text", "5"]) == [0, 6]
+    assert exams.numbered(["2", "(A)", "5", "(A)", "9", "(A)"]) == [0, 2] and exams.numbered(["4", "(A)"]) == []
+    got = exams.split_body(["Stem", "(B) no", "(A) a", "(A) again", "(B)", "b", "(C) c.", "Redes de Dados"])
+    assert got == {"statement": ["Stem", "(B) no"], "options": {"A": ["a", "(A) again"], "B": ["b"], "C": ["c."]}, "merged": True, "context": []}
+    assert exams.split_body(["Stem"]) == {"statement": ["Stem"], "options": {}, "merged": False, "context": []}
+    got = exams.split_body(["S", "(A) a", "•", "(B) b", "Texto 2", "More"])
+    assert got["options"] == {"A": ["a"], "B": ["b"]} and got["context"] == ["Texto 2", "More"]
+
+
+def test_folding_lines(spark):
+    rows = [["", "", "-", "a"], ["a-", "b-", "c"], ["a -", "b"], ["a--", "b"], ["a", "-", "b"], ["a-", "B"], ["a- ", "b"], ["x-", "", "b"], []]
+    want = ["a", "abc", "a - b", "a-b", "a - b", "a- B", "a- b", "x- b", ""]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, l array<string>")
+    assert [r[0] for r in df.orderBy("i").select(T.fold_lines("l")).collect()] == want
