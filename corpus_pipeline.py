@@ -1,7 +1,10 @@
 """The training-data pipeline: five stages over ``documents``, each an operator of ``lexloom.llm`` whose decision takes effect.
 
 Every row is judged by its own text: operators that tell documents apart by doc_id are given the row's number instead, so
-that rows that repeat a doc_id, or have none, are judged like all others.
+that rows that repeat a doc_id, or have none, are judged like all others. All stages share these cases: columns besides
+doc_id, text, lang and source, whatever their names, are carried through untouched (but see ``mixing``); null ids and
+repeated rows are rows of their own, ordered by (doc_id, nulls last, a hash of the text, place); texts of any length are
+read whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -40,27 +43,30 @@ def _without(docs: DataFrame, dropped: Callable[[DataFrame], DataFrame]) -> Data
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects (score of 0.5 or more) go. Null and empty texts have no hits and stay."""
     return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One row of each group of equal texts stays: the longest original, then the first. Null and empty texts are one group."""
     return _without(docs, lambda rows: exact_dedup(rows).where(~F.col("kept")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """The first row of each group of near-duplicates stays. Null, empty and blank texts are linked with nothing and stay."""
     return _without(docs, lambda rows: near_dedup(rows).where(~F.col("kept")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go. Null and empty texts have no words and stay; an empty benchmark takes none."""
     return _without(docs, lambda rows: decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mixture reads, with their domain and how often they are read (epochs)."""
+    """Documents that the mixture reads, with their domain, n_tokens and how often they are read (epochs).
+
+    Columns of these three names are replaced. Null language or source counts as the empty name; null and empty texts have
+    no tokens and fall in whole epochs or in the prefix like others."""
     rows = _numbered(docs)
     picks = mix_sources(rows, carry=[ROW]).where("epochs > 0").select(ROW, "domain", "n_tokens", "epochs")
     names = [c for c in docs.columns if c not in ("domain", "n_tokens", "epochs")]
