@@ -27,9 +27,14 @@ ROW = "_row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with stored row numbers that ascend with doc_id, none last; as they are if they have such numbers."""
+    """``docs`` with row numbers that ascend with doc_id, none last; as they are if they have such numbers.
+
+    Where every row has a doc_id of its own, that is its number, and the texts are neither sorted nor stored.
+    """
     if ROW in docs.columns:
         return docs
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
     # rows of one doc_id, and those without, go by text and place, so that they are dealt to many tasks
     order = docs.withColumn("_place", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "_place").drop("_place")
     return stored(order.withColumn(ROW, F.monotonically_increasing_id()), "rows")
