@@ -41,9 +41,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, dropped: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``docs`` less the rows whose numbers ``dropped`` returns as doc_id of (doc_id: number, text)."""
+    """``docs`` less the rows whose numbers ``dropped`` returns as doc_id of (doc_id: number, text).
+
+    The numbers are stored first, so that Spark knows their size before it plans the join: up to its broadcast threshold
+    the texts are not shuffled, beyond it they are, by row number.
+    """
     rows = _numbered(docs)
-    gone = dropped(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW))
+    gone = stored(dropped(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW)), "dropped")
     return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
