@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 W = "[\\p{L}\\p{N}_]"
 TOKEN = f"{W}+(?:[-.'’]{W}+)*"
@@ -157,3 +159,29 @@ def display_name(c: Column | str, names: dict[str, str]) -> Column:
     for value, name in names.items():
         out = F.when(col(c) == value, F.lit(name)).otherwise(out)
     return out
+
+
+def lettered(options: Column | str) -> Column:
+    """A map of options as an array of (letra, texto), in the map's order."""
+    return F.transform(F.map_entries(col(options)), lambda e: F.struct(e["key"].alias("letra"), e["value"].alias("texto")))
+
+
+@F.pandas_udf(StringType())
+def _composed(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFC")
+
+
+def nfc(c: Column | str) -> Column:
+    """Unicode normal form C; ASCII texts are as they are."""
+    return F.when(F.octet_length(col(c)) == F.char_length(col(c)), col(c)).otherwise(_composed(col(c)))
+
+
+def today(zone: str = "America/Sao_Paulo", at: Column | None = None) -> Column:
+    """The ISO date in a time zone, now or ``at`` a UTC timestamp without zone."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp()) if at is None else at
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), "yyyy-MM-dd")
+
+
+def percent(c: Column | str, digits: int = 1) -> Column:
+    """A share as a percentage with fixed digits."""
+    return F.format_string(f"%.{digits}f%%", 100 * col(c).cast("double"))

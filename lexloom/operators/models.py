@@ -18,7 +18,7 @@ NOTE = "pair_id string, score double, reason string, model string"
 def lemmatised(docs: DataFrame, key: str, text: str, analyse: Callable[[list[str]], list[list[tuple[str, str, str]]]], stop: list[str], tags: tuple[str, ...] = ("NOUN", "PROPN", "ADJ", "VERB")) -> DataFrame:
     """(key, place, lemma, form): kept tokens. ``analyse`` maps texts to lists of (form, lemma, tag).
 
-    Acronyms keep their own form, in lower case; other tokens are alphabetic, of two letters or more, of a listed tag,
+    Lemmas are in Unicode normal form C. Acronyms keep their own form, in lower case; other tokens are alphabetic, of two letters or more, of a listed tag,
     and neither form nor lemma is a stopword.
     """
 
@@ -32,6 +32,7 @@ def lemmatised(docs: DataFrame, key: str, text: str, analyse: Callable[[list[str
     parsed = docs.select(key, text).mapInPandas(run, f"{key} {kind}, place int, form string, lemma string, tag string")
     acronym = T.is_acronym("form")
     lemma = F.when(acronym, F.lower("form")).otherwise(F.trim(F.lower("lemma")))
+    lemma = T.nfc(lemma)
     out = parsed.withColumn("lemma", lemma)
     alphabetic = F.regexp_like("form", F.lit("^\\p{L}{2,}$"))
     return out.where(alphabetic & (F.length("lemma") >= 2) & ~F.col("lemma").isin(stop) & ~F.lower("form").isin(stop) & (acronym | F.col("tag").isin(*tags))).select(

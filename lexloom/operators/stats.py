@@ -178,3 +178,25 @@ def mode_first(df: DataFrame, group: str, value: str, position: str) -> DataFram
     """The most frequent value per group; ties go to the value seen first."""
     counts = df.groupBy(group, value).agg((-F.count(F.lit(1))).alias("_fewer"), F.min(position).alias("_first"))
     return counts.groupBy(group).agg(F.min_by(F.col(value), F.struct("_fewer", "_first")).alias("mode"))
+
+
+def with_notes(scores: DataFrame, notes: DataFrame, keys: list[str], note: str) -> DataFrame:
+    """``scores`` with the note of the same keys, null where there is none. Raises when a key has several notes."""
+    single = notes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(note).alias(note))
+    several = F.raise_error(F.concat_ws(" ", F.lit("several notes for"), *[F.col(k).cast("string") for k in keys])).cast(single.schema[note].dataType)
+    return scores.join(single.select(*keys, F.when(F.col("_n") == 1, F.col(note)).otherwise(several).alias(note)), keys, "left")
+
+
+def compared_scores(df: DataFrame, model: str, humans: list[str]) -> DataFrame:
+    """(human, n, n_noted, n_equal, mean_human, mean_model), a row for each of ``humans``: rows, rows with a model score,
+    rows with the human's very score, and both means."""
+    each = df.select(F.col(model).alias("m"), F.explode(F.array(*[F.struct(F.lit(h).alias("human"), F.col(h).cast("double").alias("h")) for h in humans])).alias("x"))
+    return each.groupBy(F.col("x.human").alias("human")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("m").alias("n_noted"), F.count_if(F.col("m") == F.col("x.h")).alias("n_equal"),
+        F.avg("x.h").alias("mean_human"), F.avg("m").alias("mean_model"),
+    )
+
+
+def error_report(missed: DataFrame, texts: DataFrame, key: str, text: str, n: int = 120) -> DataFrame:
+    """``missed`` with the beginning of each row's text, ``n`` characters, as ``preview``; null where there is no text."""
+    return missed.join(texts.select(key, F.substring(text, 1, n).alias("preview")), key, "left")

@@ -421,6 +421,28 @@ def confusion_full(spark, sf_dir):
     return stats.confusion(table(spark, sf_dir, "labels"), "quality", "toxic", [0, 1, 2])
 
 
+@query("""
+WITH m AS (SELECT doc_id, lang, least(n_chars // 1000, 2)::DOUBLE AS note FROM documents WHERE doc_id % 3 <> 0),
+j AS (SELECT l.*, m.note FROM (SELECT doc_id, lang, quality, toxic FROM labels LEFT JOIN documents USING (doc_id)) l LEFT JOIN m ON m.doc_id = l.doc_id AND m.lang = l.lang),
+h AS (SELECT 'quality' AS human, quality::DOUBLE AS h, note FROM j UNION ALL SELECT 'toxic', toxic::DOUBLE, note FROM j)
+SELECT human, count(*) AS n, count(note) AS n_noted, count(*) FILTER (note = h) AS n_equal, round(avg(h), 6) AS mean_human, round(avg(note), 6) AS mean_model FROM h GROUP BY human""")
+def score_comparison(spark, sf_dir):
+    """Labels beside a score that lacks every third document, joined on two keys."""
+    d = table(spark, sf_dir, "documents")
+    note = F.least(F.floor(F.col("n_chars") / 1000), F.lit(2)).cast("double").alias("note")
+    scores = table(spark, sf_dir, "labels").join(d.select("doc_id", "lang"), "doc_id", "left").select("doc_id", "lang", "quality", "toxic")
+    joined = stats.with_notes(scores, d.where("doc_id % 3 <> 0").select("doc_id", "lang", note), ["doc_id", "lang"], "note")
+    return rounded(stats.compared_scores(joined, "note", ["quality", "toxic"]), "mean_human", "mean_model")
+
+
+@query(f"WITH {_SCORES} SELECT doc_id, lang, area, left(coalesce(text, ''), 120) AS preview FROM t JOIN documents USING (doc_id) WHERE area <> lang")
+def error_previews(spark, sf_dir):
+    """Documents whose lexicon area is not their language, with the beginning of their texts."""
+    d = documents(spark, sf_dir)
+    missed = lexicon.decide(_scores(spark, sf_dir), "doc_id").join(d.select("doc_id", "lang"), "doc_id").where("area <> lang").select("doc_id", "lang", "area")
+    return stats.error_report(missed, d, "doc_id", "text")
+
+
 _RANKS = rf"""
 d AS (SELECT doc_id, n_chars, len({_TOKENS}) AS n_tokens FROM documents),
 k AS (SELECT doc_id, n_chars, n_tokens, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS a, rank() OVER (ORDER BY n_tokens) + (count(*) OVER (PARTITION BY n_tokens) - 1) / 2 AS b FROM d)"""

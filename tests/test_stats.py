@@ -63,3 +63,21 @@ def test_report_without_denominators(spark):
     df = spark.createDataFrame([("a", "a"), ("b", "a")], "t string, p string")
     r = {x.label: (x.precision, x.recall, x.f1, x.support) for x in stats.class_report(df, "t", "p").collect()}
     assert r["b"] == (0.0, 0.0, 0.0, 1) and r["a"][:2] == (0.5, 1.0)
+
+
+def test_notes_join_on_two_keys(spark):
+    scores = spark.createDataFrame([("a", "b", 1, 2), ("a", "c", 3, 3), ("d", None, 5, 1)], "w1 string, w2 string, x int, y int")
+    notes = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 2.0), ("z", "z", 9.0)], "w1 string, w2 string, llm double")
+    got = stats.with_notes(scores, notes, ["w1", "w2"], "llm")
+    assert {(r.w1, r.w2): r.llm for r in got.collect()} == {("a", "b"): 1.0, ("a", "c"): 2.0, ("d", None): None}
+    rows = {r.human: tuple(r)[1:] for r in stats.compared_scores(got, "llm", ["x", "y"]).collect()}
+    assert rows == {"x": (3, 2, 1, 3.0, 1.5), "y": (3, 2, 0, 2.0, 1.5)}
+    with pytest.raises(Exception, match="several notes for a b"):
+        stats.with_notes(scores, notes.union(notes), ["w1", "w2"], "llm").collect()
+    assert stats.compared_scores(got.where("false"), "llm", ["x", "y"]).count() == 0
+
+
+def test_error_report_has_previews(spark):
+    missed = spark.createDataFrame([(1, "t"), (2, "t")], "id int, truth string")
+    texts = spark.createDataFrame([(1, "é" * 200)], "id int, text string")
+    assert {r.id: r.preview for r in stats.error_report(missed, texts, "id", "text").collect()} == {1: "é" * 120, 2: None}

@@ -38,3 +38,17 @@ def test_exam_columns(spark):
 def test_symbols_and_acronyms(spark):
     assert value(spark, T.symbols("t"), "ab") == "•a≥b"
     assert [value(spark, T.is_acronym("t"), x) for x in ("TCP", "Tcp", "12", "A")] == [True, False, False, False]
+
+
+def test_options_as_letters(spark):
+    m = F.from_json("t", "map<string,string>")
+    assert [tuple(x) for x in value(spark, T.lettered(m), '{"A": "ls", "B": "cd"}')] == [("A", "ls"), ("B", "cd")]
+    assert value(spark, T.lettered(m), "{}") == [] and value(spark, T.lettered(m), None) is None
+
+
+def test_nfc_date_and_percent(spark):
+    assert [value(spark, T.nfc("t"), x) for x in ("ac\u0327a\u0303o", "plain", "\u00e9", "", None)] == ["a\u00e7\u00e3o", "plain", "\u00e9", "", None]
+    at = F.to_timestamp_ntz("t")
+    assert [value(spark, T.today(at=at), x) for x in ("2024-03-01 01:30:00", "2024-03-01 04:00:00")] == ["2024-02-29", "2024-03-01"]
+    assert len(value(spark, T.today(), "")) == 10
+    assert [value(spark, T.percent(F.col("t").cast("double")), x) for x in ("0.1234", "1")] == ["12.3%", "100.0%"]
