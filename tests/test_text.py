@@ -52,3 +52,17 @@ def test_nfc_date_and_percent(spark):
     assert [value(spark, T.today(at=at), x) for x in ("2024-03-01 01:30:00", "2024-03-01 04:00:00")] == ["2024-02-29", "2024-03-01"]
     assert len(value(spark, T.today(), "")) == 10
     assert [value(spark, T.percent(F.col("t").cast("double")), x) for x in ("0.1234", "1")] == ["12.3%", "100.0%"]
+
+
+def test_lemmas_are_composed(spark):
+    from lexloom.operators import models
+
+    def analyse(texts):
+        return [[("Ac\u0327a\u0303o", "ac\u0327a\u0303o", "NOUN"), ("TCP", "tcpe", "X"), ("Rede", " rede ", "NOUN"), ("de", "de", "ADP")] if t else [] for t in texts]
+
+    docs = spark.createDataFrame([(1, "x"), (2, None)], "id int, t string")
+    got = [(r.id, r.place, r.lemma) for r in models.lemmatised(docs, "id", "t", analyse, ["de"]).orderBy("id", "place").collect()]
+    # a form with loose marks is not alphabetic
+    assert got == [(1, 1, "tcp"), (1, 2, "rede")]
+    got = models.lemmatised(docs, "id", "t", lambda ts: [[("ações", "ac\u0327a\u0303o", "NOUN")] for _ in ts], ["de"])
+    assert {r.lemma for r in got.collect()} == {"a\u00e7\u00e3o"}
