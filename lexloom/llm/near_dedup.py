@@ -37,6 +37,10 @@ AGREE = 28
 LARGE, BRANCHES, DEPTH = 256, 4, 8
 BLOCK = 250  # documents of one side whose sets are compared in one task
 BLOCK_SHINGLES = 4_000_000  # and their shingles, about
+#: Bits of the filter that texts pass before they are joined with the documents to compare: CHUNKS maps of 4096 bytes, 8 MB
+#: at any size of the table. It lets some others through (all of them far beyond BITS documents); the join settles it.
+CHUNKS, CHUNK_BITS = 2048, 32_768
+BITS = CHUNKS * CHUNK_BITS
 _RNG = np.random.default_rng(5)
 _MULTIPLY = _RNG.integers(0, 2**63, ORDERINGS, dtype=np.uint64) * U(2) + U(1)
 _FLIP = _RNG.integers(0, 2**63, ORDERINGS, dtype=np.uint64)
@@ -232,10 +236,22 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(both) - common)
 
 
+def _likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose doc_id may be a node of ``ids``, and few others, without a shuffle of the texts."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    dealt = ids.select(place("node").alias("place")).select(F.expr(f"place div {CHUNK_BITS}").alias("chunk"), (F.col("place") % CHUNK_BITS).alias("at"))
+    # ids are dealt by chunk before they become maps, so that no task sends maps of its own for all chunks
+    maps = dealt.repartition("chunk").groupBy("chunk").agg(F.bitmap_construct_agg("at").alias("bits"))
+    hit = F.expr(f"shiftright(cast(conv(hex(substring(bits, cast(place % {CHUNK_BITS} div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) & 1 = 1")
+    placed = texts.withColumn("place", place("doc_id")).withColumn("chunk", F.expr(f"place div {CHUNK_BITS}"))
+    return placed.join(F.broadcast(maps), "chunk").where(hit).select(*texts.columns)
+
+
 def _compared(docs: DataFrame, dealt: DataFrame, label: str) -> DataFrame:
     """Links among the documents of each (component, a, b). dealt: component, a, b, part, node."""
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = stored(dealt, f"{label}-dealt").join(texts, F.col("node") == F.col("doc_id")).select("component", "a", "b", "part", "doc_id", "text")
+    dealt = stored(dealt, f"{label}-dealt")
+    texts = _likely(docs.select("doc_id", F.col("text").cast("binary").alias("text")), dealt)
+    rows = dealt.join(texts, F.col("node") == F.col("doc_id")).select("component", "a", "b", "part", "doc_id", "text")
     return stored(rows.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b").mapInArrow(verified, EDGE_DDL), f"{label}-links")
 
 

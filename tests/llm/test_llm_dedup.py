@@ -306,3 +306,11 @@ def test_rows_without_or_with_repeated_ids(spark):
     assert [(r.component_id, r.kept) for r in near_dedup(df).collect() if r.doc_id is None] == [(None, True)]
     assert sorted((r.doc_id or 0, r.keep_id, r.kept) for r in exact_dedup(df).collect()) == [(0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False)]
     assert len(decontaminate(df, spark.createDataFrame([(1, text)], "item_id long, text string")).collect()) == 4
+
+
+def test_texts_pass_a_filter_that_loses_none(spark):
+    texts = spark.sql("select cast(id as long) doc_id, 'x' text from range(-50, 20000) union all select null, 'y'")
+    ids = spark.sql("select explode(array(-50, -1, 0, 7, 19999, 7)) node").withColumn("node", F.col("node").cast("long"))
+    got = {r.doc_id for r in near._likely(texts, ids).collect()}
+    assert got >= {-50, -1, 0, 7, 19999} and len(got) < 50
+    assert near._likely(texts, ids.where("false")).collect() == []
