@@ -70,9 +70,37 @@ def leaf_budgets(leaves: DataFrame, weights: list[dict[str, int]], share: tuple[
     return leaves.join(budgets.drop("capacity"), LEVELS)
 
 
+def leafed(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id and ``columns`` of docs, with n_tokens and the leaf (domain, lang, source)."""
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    slim = docs.select("doc_id", *columns, F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), n.alias("n_tokens"))
+    return slim.withColumn("domain", domain_of(F.col("source")))
+
+
+def ordered(rows: DataFrame, ties: Sequence[str], seed: int) -> DataFrame:
+    """Add ``key``, the place of a row in the order of its leaf's epoch ``whole``."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    return rows.withColumn("key", F.struct(h.alias("h"), "doc_id", *ties))
+
+
+def leaf_cuts(slim: DataFrame, budgets: DataFrame, ties: Sequence[str], seed: int, digits: int) -> DataFrame:
+    """(leaf, whole, cut): epochs read whole, and the first key that the epoch read in part leaves out (null: it leaves all).
+
+    A leaf's order is summed by buckets of its keys, and only the rows of the bucket in which the budget ends are sorted.
+    """
+    drawn = ordered(slim.join(budgets, LEVELS), ties, seed).withColumn("bucket", F.substring("key.h", 1, digits))
+    before = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 16**digits rows a leaf at most
+    held = drawn.groupBy(*LEVELS, "part", "bucket").agg(F.sum("n_tokens").alias("held"))
+    prior = held.withColumn("prior", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    ends = stored(prior.where("part > 0 and prior <= part and prior + held > part").select(*LEVELS, "bucket", "prior"), "ends")
+    upto = Window.partitionBy(*LEVELS).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    past = drawn.join(ends, [*LEVELS, "bucket"]).withColumn("upto", F.col("prior") + F.sum("n_tokens").over(upto)).where("upto > part")
+    return stored(budgets.join(past.groupBy(*LEVELS).agg(F.min("key").alias("cut")), LEVELS, "left").select(*LEVELS, "whole", "cut"), "cuts")
+
+
 def mix_sources(
     docs: DataFrame, weights: list[dict[str, int]] = WEIGHTS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: int = SEED, digits: int = 3,
-    carry: Sequence[str] = (),
+    ties: Sequence[str] = (), carry: Sequence[str] = (),
 ) -> DataFrame:
     """How often each document is read, so that leaves meet their token budgets.
 
@@ -80,16 +108,16 @@ def mix_sources(
     n_tokens (ASCII-whitespace words) and epochs (0: not selected), one row per input row. ``weights``: integers by
     level and name; ``share``: the budget as a fraction of all tokens; ``epochs``: how often a leaf may be read;
     ``digits``: hex digits of the buckets in which a leaf's order is summed, so that no task reads a whole leaf;
-    ``carry``: further columns to return, which order the rows that repeat a doc_id.
+    ``ties``: further columns to return, which order the rows that repeat a doc_id; ``carry``: further columns to return.
+    Rows are told by one row a leaf (``leaf_cuts``), so that what is carried, such as texts, is not shuffled while the
+    leaves are small enough to broadcast.
 
     A null language or source counts as the empty name. Null and empty texts have no tokens; they are selected with
     the epochs and prefixes that they fall in. A prefix ends before the first document that does not fit. Division
     leaves less than one token a child unspent. Rows that repeat a doc_id are each counted; ties in the order go by
-    doc_id, equal rows stand together. An empty table gives an empty result.
+    doc_id, then ``ties``; rows equal in all of them are taken or left together. An empty table gives an empty result.
     """
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    slim = docs.select("doc_id", *carry, F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), n.alias("n_tokens"))
-    slim = stored(slim.withColumn("domain", domain_of(F.col("source"))), "tokens")
+    slim = stored(leafed(docs, *ties), "tokens")
     leaves = stored(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")), "leaves")
     budgets = stored(
         leaf_budgets(leaves, weights, share, epochs).select(
@@ -97,17 +125,7 @@ def mix_sources(
         ),
         "budgets",
     )
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    drawn = slim.join(budgets, LEVELS).withColumn("h", order).withColumn("bucket", F.substring("h", 1, digits))
-    before = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 16**digits rows a leaf at most
-    buckets = stored(
-        drawn.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("held")).withColumn("prior", F.coalesce(F.sum("held").over(before), F.lit(0))), "buckets"
-    )
-    placed = drawn.join(buckets, [*LEVELS, "bucket"])
-    ends = (F.col("prior") <= F.col("part")) & (F.col("prior") + F.col("held") > F.col("part"))
-    within = Window.partitionBy(*LEVELS, "bucket").orderBy("h", "doc_id", *carry).rowsBetween(Window.unboundedPreceding, 0)
-    last = placed.where(ends).withColumn("taken", F.col("prior") + F.sum("n_tokens").over(within) <= F.col("part"))
-    clear = placed.where(~ends).withColumn("taken", F.col("prior") + F.col("held") <= F.col("part"))
-    return clear.unionByName(last).select(
-        "doc_id", *carry, *LEVELS, "n_tokens", (F.col("whole") + F.when(F.col("taken") & (F.col("part") > 0), 1).otherwise(0)).cast("long").alias("epochs")
-    )
+    cuts = leaf_cuts(slim, budgets, ties, seed, digits)
+    rows = ordered((leafed(docs, *ties, *carry) if carry else slim).join(cuts, LEVELS), ties, seed)
+    taken = F.coalesce(F.col("key") < F.col("cut"), F.lit(False))
+    return rows.select("doc_id", *ties, *carry, *LEVELS, "n_tokens", (F.col("whole") + taken.cast("int")).cast("long").alias("epochs"))

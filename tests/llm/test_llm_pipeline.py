@@ -65,6 +65,17 @@ def rows():
     return [*out, (900, None, "en", "src1", 1)]
 
 
+def test_mixing_takes_equal_rows_together_and_carries_texts(spark):
+    docs = [(1 + i // 3, f"w{i} a b", "en", "src1") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    got = mix_sources(df).collect()
+    by_id = {d: {r.epochs for r in got if r.doc_id == d} for d in range(1, 21)}
+    assert len(got) == 60 and all(len(e) == 1 for e in by_id.values()) and sum(r.n_tokens * r.epochs for r in got) <= 180 * SHARE[0] // SHARE[1]
+    told = mix_sources(df, ties=["text"]).collect()
+    assert sum(r.n_tokens * r.epochs for r in told) == 180 * SHARE[0] // SHARE[1]
+    assert sorted((r.doc_id, r.body, r.epochs) for r in mix_sources(df.withColumn("body", F.col("text")), ties=["text"], carry=["body"]).collect()) == sorted((r.doc_id, r.text, r.epochs) for r in told)
+
+
 def test_mixing(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, budget int")
     want = mixed([r[:4] for r in rows])
