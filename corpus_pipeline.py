@@ -77,9 +77,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns of these three names are replaced. Null language or source counts as the empty name; null and empty texts have
     no tokens and fall in whole epochs or in the prefix like others."""
     rows = _numbered(docs)
-    picks = mix_sources(rows, carry=[ROW]).where("epochs > 0").select(ROW, "domain", "n_tokens", "epochs")
     names = [c for c in docs.columns if c not in ("domain", "n_tokens", "epochs")]
-    return rows.select(*dict.fromkeys([*names, ROW])).join(picks, ROW).select(*names, "domain", "n_tokens", "epochs")
+    # the rest of a row goes along in one column, so that no name clashes with those of the operator
+    packed = rows.select("doc_id", "text", "lang", "source", ROW, F.struct(*names).alias("row"))
+    return mix_sources(packed, ties=[ROW], carry=["row"]).where("epochs > 0").select("row.*", "domain", "n_tokens", "epochs")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
