@@ -14,6 +14,7 @@ from lexloom.llm.substring_dedup import substring_dedup
 from lexloom.llm.suffix_array_dedup import suffix_array_dedup
 from lexloom.llm.toxicity import score_toxicity
 from lexloom.llm.url_filter import url_filter
+from lexloom.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"), k=16)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -71,6 +76,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op13_whitening": op13_whitening,
 }
 
 #: Words are `[^\x20\x09-\x0D]+` everywhere.
