@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.llm.conversation_repair import audit_conversations
 from lexloom.llm.decontamination import decontaminate
 from lexloom.llm.exact_dedup import exact_dedup
 from lexloom.llm.language_id import identify_language
@@ -61,6 +62,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"), k=16)
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_whitening": op13_whitening,
 }
 
@@ -176,6 +182,38 @@ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept
 FROM documents JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) ON a = doc_id LEFT JOIN n USING (doc_id)""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (SELECT k, xor(list_reduce(flatten(list_transform(string_split(k, ''), lambda ch: list_transform(range(8), lambda i: (ascii(ch)::BIGINT >> i::INT) & 1))),
+               lambda c, b: xor(c >> 1, CASE WHEN xor(c & 1, b) = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT), 4294967295) % 20 AS kind FROM (SELECT DISTINCT k FROM d)),
+h AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d JOIN crc USING (k)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS said
+      FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM h)),
+f AS (SELECT *, left(role, 1) AS first, CASE WHEN t = '' THEN 'blank' WHEN said > 1 THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             left(role, 1) || left(lead(role) OVER (PARTITION BY conv_id ORDER BY i), 1) NOT IN ('su', 'ua', 'au') AS bad FROM n),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+g AS (SELECT conv_id, i, first, fault NOT IN ('blank', 'duplicate') AS ok, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cut FROM f),
+dp(conv_id, i, z, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {'c': 0, 'e': ''}, {'c': 1000000000, 'e': ''}, {'c': 3, 'e': 'I'}, {'c': 6, 'e': 'II'} FROM c
+  UNION ALL
+  SELECT conv_id, i, z, s, u2, least(a, {'c': u2.c + 3, 'e': u2.e || 'I'}) FROM (
+    SELECT *, least(u, {'c': least(z, s, a).c + 3, 'e': least(z, s, a).e || 'I'}) AS u2 FROM (
+      SELECT p.conv_id, g.i, {'c': z.c + 4, 'e': z.e || 'D'} AS z,
+             least({'c': s.c + 4, 'e': s.e || 'D'}, CASE WHEN ok AND first = 's' THEN {'c': z.c + cut, 'e': z.e || 'K'} END) AS s,
+             least({'c': u.c + 4, 'e': u.e || 'D'}, CASE WHEN ok AND first = 'u' THEN {'c': least(z, s, a).c + cut, 'e': least(z, s, a).e || 'K'} END, CASE WHEN ok THEN {'c': least(z, s, a).c + cut + 3, 'e': least(z, s, a).e || 'R'} END) AS u,
+             least({'c': a.c + 4, 'e': a.e || 'D'}, CASE WHEN ok AND first = 'a' THEN {'c': u.c + cut, 'e': u.e || 'K'} END, CASE WHEN ok THEN {'c': u.c + cut + 3, 'e': u.e || 'R'} END) AS a
+      FROM dp p JOIN g ON p.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = p.i + 1))),
+b AS (SELECT c.conv_id, least(z, a) AS e FROM c JOIN dp ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = c.n),
+step AS (SELECT conv_id, p, edit, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p) AS i FROM (SELECT conv_id, p, substr(e.e, p, 1) AS edit FROM (SELECT conv_id, e, unnest(range(1, length(e.e) + 1)) AS p FROM b))),
+kept AS (SELECT step.conv_id, p, edit, role, text, first, row_number() OVER (PARTITION BY step.conv_id ORDER BY p) AS o,
+                max(CASE WHEN edit = 'K' AND first = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY step.conv_id) AS sys
+         FROM step LEFT JOIN f ON step.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = step.i AND edit <> 'I' WHERE edit <> 'D'),
+r AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS sha FROM kept GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.e.c, 0)::BIGINT AS cost, coalesce(b.e.e, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM o.conv_id""",
     "op9_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
