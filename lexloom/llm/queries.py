@@ -10,6 +10,7 @@ from lexloom.llm.exact_dedup import exact_dedup
 from lexloom.llm.language_id import identify_language
 from lexloom.llm.mixing import mix_sources
 from lexloom.llm.near_dedup import near_dedup
+from lexloom.llm.pii import pii_report
 from lexloom.llm.quality import score_quality
 from lexloom.llm.substring_dedup import substring_dedup
 from lexloom.llm.suffix_array_dedup import suffix_array_dedup
@@ -62,6 +63,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_conversations(_table(spark, sf_dir, "conversations"))
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_pii": op11_pii,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_whitening": op13_whitening,
 }
