@@ -218,7 +218,7 @@ def near_dup_ratio(spark, sf_dir):
 
 @query()
 def dedup_leaders(spark, sf_dir):
-    return dedup.leaders(dedup.similar_pairs(dedup.block_keys(documents(spark, sf_dir), F.col("text")), "doc_id"))
+    return dedup.greedy_leaders(dedup.block_keys(documents(spark, sf_dir), F.col("text")), "doc_id")
 
 
 # --- lines

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,15 +22,29 @@ def session(app: str = "lexloom", master: str | None = None, **conf: str) -> Spa
     return build.config(map=defaults | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``. Without one, set a temporary folder on a single machine; raise on a cluster."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Without one, a temporary folder on a single machine; raises on a cluster."""
+    name = spark.conf.get("spark.checkpoint.dir", None)
+    if not name:
+        got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        name = got.get() if got.isDefined() else None
+    if not name:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
+        name = tempfile.mkdtemp(prefix="lexloom-")
+        spark.sparkContext.setCheckpointDir(name)
+    return name.rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    shared_dir(spark)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` in the checkpoint folder: what is read several times is computed once, and survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def kept(df: DataFrame, label: str = "kept") -> DataFrame:
+    """``df`` as Parquet in the shared folder: what is read several times is computed once, by columns, and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lexloom-{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
