@@ -1,11 +1,8 @@
-"""Nearest neighbours, splits, folds, logistic regression."""
+"""Splits, folds, logistic regression; nearest neighbours are those of ``neighbours``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
@@ -14,8 +11,9 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that are broadcast at once; more queries go in blocks.
-QUERY_BYTES = 64 << 20
+from lexloom.operators.neighbours import nearest, sparse_nearest, vote
+
+__all__ = ["nearest", "sparse_nearest", "vote"]
 
 
 def seeded_order(key: Column, seed: int = 42) -> Column:
@@ -49,63 +47,6 @@ def _placed(df: DataFrame, key: str, label: str, seed: int, digits: int = 3) ->
     return dealt.withColumn("_place", F.col("_before") + F.row_number().over(within)).drop("_l", "_b", "_bucket", "_before")
 
 
-def nearest(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 3) -> DataFrame:
-    """(key, neighbour, label, distance): the k nearest training rows of each test row (ties: smaller training key).
-
-    Each task keeps its own k best per query, so what is shuffled is k rows a query and task; the queries are held
-    in blocks of bounded size.
-    """
-    spark = train.sparkSession
-    width = test.select(F.size(vector)).first()
-    if width is None:
-        return spark.createDataFrame([], f"{key} long, neighbour long, label {dict(train.dtypes)[label]}, distance double")
-    per_block = max(1, QUERY_BYTES // (8 * width[0]))
-    out = None
-    blocks = -(-test.count() // per_block)
-    for b in range(blocks):
-        part = test if blocks == 1 else test.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
-        rows = part.select(F.col(key).cast("long"), vector).collect()
-        if not rows:
-            continue
-        ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                at = batch.column(0).to_numpy()
-                x = np.array(batch.column(1).to_pylist(), float)
-                step = max(1, (1 << 22) // (512 * q.shape[1]))  # queries whose differences are held at once
-                for lo in range(0, len(at), 512):
-                    d = np.concatenate([((q[i : i + step, None, :] - x[None, lo : lo + 512, :]) ** 2).sum(2) for i in range(0, len(q), step)])
-                    d, i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(at[lo : lo + 512], (len(ids), len(at[lo : lo + 512])))], 1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            r, c = np.nonzero(np.isfinite(best_d))
-            yield pa.record_batch([ids[r], best_i[r, c], np.sqrt(np.maximum(best_d[r, c], 0))], names=["key", "neighbour", "distance"])
-
-        found = train.select(F.col(key).cast("long"), vector).mapInArrow(search, "key long, neighbour long, distance double")
-        out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("key").orderBy("distance", "neighbour")
-    top = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.join(train.select(F.col(key).cast("long").alias("neighbour"), F.col(label).alias("label")), "neighbour").select(F.col("key").alias(key), "neighbour", "label", "distance", "rank")
-
-
-def sparse_nearest(train: DataFrame, test: DataFrame, key: str, k: int = 3) -> DataFrame:
-    """The same over L2-normed long tables (key, term, weight): distance sqrt(2 - 2 dot); rows without a shared term are not met."""
-    pairs = test.select(F.col(key).alias("q"), "term", F.col("weight").alias("a")).join(train.select(F.col(key).alias("neighbour"), "term", F.col("weight").alias("b")), "term")
-    dots = pairs.groupBy("q", "neighbour").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    w = Window.partitionBy("q").orderBy(F.bround("dot", 12).desc(), "neighbour")
-    return dots.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(key), "neighbour", F.sqrt(F.greatest(2 - 2 * F.col("dot"), F.lit(0.0))).alias("distance"), "rank")
-
-
-def vote(neighbours: DataFrame, key: str) -> DataFrame:
-    """(key, predicted): the most frequent label of each key's neighbours; ties go to the smallest label."""
-    counts = neighbours.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(key).agg(F.min_by(F.col("label"), F.struct((-F.col("n")).alias("n"), F.col("label"))).alias("predicted"))
-
-
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """Add ``class_weight``: rows / (classes x rows of the class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))

@@ -43,7 +43,7 @@ def assign_areas(kept: DataFrame, lex: DataFrame, k: int = 3) -> DataFrame:
     train = counts.join(clear, "id", "left_semi")
     idf = tfidf.fit(train, "id", clear.agg(F.count(F.lit(1))).scalar(), min_df=2)
     weights = tfidf.transform(counts, "id", idf)
-    near = ml.sparse_nearest(weights.join(clear, "id", "left_semi"), weights.join(clear, "id", "left_anti"), "id", k)
+    near = ml.sparse_nearest(weights.join(clear, "id", "left_semi"), weights.join(clear, "id", "left_anti"), "id", k, clear, full.where("not confident").select("id"))
     voted = ml.vote(near.join(full.select(F.col("id").alias("neighbour"), F.col("area").alias("label")), "neighbour"), "id")
     return full.join(voted, "id", "left").select(
         "id", F.when(F.col("confident"), F.col("area")).otherwise(F.coalesce("predicted", "area")).alias("area"), F.when(F.col("confident"), "palavras_chave").otherwise("knn").alias("origin")

@@ -519,6 +519,50 @@ def macro_f1_report(spark, sf_dir):
     return rounded(stats.class_report(_predicted(spark, sf_dir), "truth", "predicted"), "precision", "recall", "f1")
 
 
+_TEXT_SPLIT = "sp AS (SELECT doc_id, quality, text, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || '-42'), doc_id) <= floor(count(*) OVER (PARTITION BY quality) * 0.2) AS is_test FROM documents JOIN labels USING (doc_id))"
+_TEXT_KNN = rf"""{_TEXT_SPLIT},
+c AS (SELECT doc_id, is_test, term, count(*) AS tf FROM (SELECT doc_id, is_test, unnest({_ALPHA}) AS term FROM sp) WHERE length(term) >= 2 AND term NOT IN {_STOP} GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM sp WHERE NOT is_test),
+i AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM c, n WHERE NOT is_test GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000),
+u AS (SELECT doc_id, is_test, term, (1 + ln(tf)) * idf AS w FROM c JOIN i USING (term)),
+x AS (SELECT doc_id, is_test, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM u),
+p AS (SELECT a.doc_id, b.doc_id AS nb, coalesce(dot, 0) AS dot FROM (SELECT doc_id FROM sp WHERE is_test) a CROSS JOIN (SELECT doc_id FROM sp WHERE NOT is_test) b
+      LEFT JOIN (SELECT a.doc_id AS q, b.doc_id AS d, round_even(sum(a.w * b.w), 12) AS dot FROM x a JOIN x b USING (term) WHERE a.is_test AND NOT b.is_test GROUP BY ALL) ON q = a.doc_id AND d = b.doc_id),
+nn AS (SELECT doc_id, nb, row_number() OVER (PARTITION BY doc_id ORDER BY dot DESC, nb) AS r, dot FROM p QUALIFY r <= 3)"""
+
+
+def _text_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(split, weights): labelled documents dealt to training and test, and their TF-IDF fitted on the training ones."""
+    d = documents(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    split = kept(ml.stratified_split(d, "doc_id", "quality"), "split")
+    counts = kept(tfidf.term_counts(split, "doc_id", F.filter(T.words(F.lower("text")), lambda w: F.length(w) >= 2)), "counts")
+    train = split.where("not is_test").select("doc_id")
+    idf = tfidf.fit(counts.join(train, "doc_id", "left_semi"), "doc_id", train.agg(F.count(F.lit(1))).scalar(), max_features=10_000, stopwords=spark.createDataFrame([(w,) for w in STOP], "term string"))
+    return split, kept(tfidf.transform(counts, "doc_id", idf), "weights")
+
+
+def _text_neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    split, weights = _text_weights(spark, sf_dir)
+    train, test = split.where("not is_test").select("doc_id"), split.where("is_test").select("doc_id")
+    return split, ml.sparse_nearest(weights.join(train, "doc_id", "left_semi"), weights.join(test, "doc_id", "left_semi"), "doc_id", 3, train, test)
+
+
+@query(f"WITH {_TEXT_KNN} SELECT doc_id, nb AS neighbour, r::INT AS rank, round(dot, 6) AS dot FROM nn")
+def text_neighbours(spark, sf_dir):
+    """The three training documents whose TF-IDF vectors are nearest to each test document's."""
+    near = _text_neighbours(spark, sf_dir)[1]
+    return rounded(near.select("doc_id", "neighbour", "rank", (1 - F.col("distance") * F.col("distance") / 2).alias("dot")), "dot")
+
+
+@query(f"""WITH {_TEXT_KNN}, vt AS (SELECT nn.doc_id, quality, count(*) AS n FROM nn JOIN sp ON sp.doc_id = nb GROUP BY ALL),
+v AS (SELECT doc_id, arg_min(quality, (-n, quality)) AS predicted FROM vt GROUP BY doc_id)
+SELECT doc_id, quality AS truth, predicted FROM v JOIN sp USING (doc_id)""")
+def knn_text(spark, sf_dir):
+    split, near = _text_neighbours(spark, sf_dir)
+    labels = split.select(F.col("doc_id").alias("neighbour"), F.col("quality").alias("label"))
+    return ml.vote(near.join(labels, "neighbour"), "doc_id").join(split.select("doc_id", F.col("quality").alias("truth")), "doc_id").select("doc_id", "truth", "predicted")
+
+
 @query()
 def logreg_embeddings(spark, sf_dir):
     return rounded(corpus.compare_models(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"), "macro_f1", "accuracy")
@@ -526,13 +570,9 @@ def logreg_embeddings(spark, sf_dir):
 
 def _text_model(spark: SparkSession, sf_dir: str):
     """(model, test rows with features, vocabulary): quality by TF-IDF and balanced logistic regression."""
-    d = documents(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    split = ml.stratified_split(d, "doc_id", "quality")
-    counts = tfidf.term_counts(split, "doc_id", F.filter(T.words(F.lower("text")), lambda w: F.length(w) >= 2))
-    train = counts.join(split.where("not is_test").select("doc_id"), "doc_id", "left_semi")
-    idf = tfidf.fit(train, "doc_id", split.where("not is_test").agg(F.count(F.lit(1))).scalar(), max_features=10_000, stopwords=spark.createDataFrame([(w,) for w in STOP], "term string"))
-    vocabulary = [r.term for r in idf.select("term").orderBy("term").collect()]
-    rows = split.select("doc_id", "quality", "is_test").join(ml.sparse_vectors(tfidf.transform(counts, "doc_id", idf), "doc_id", vocabulary), "doc_id").persist()
+    split, weights = _text_weights(spark, sf_dir)
+    vocabulary = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]
+    rows = split.select("doc_id", "quality", "is_test").join(ml.sparse_vectors(weights, "doc_id", vocabulary), "doc_id").persist()
     return ml.logistic(rows.where("not is_test"), "features", "quality", c=1.0, max_iter=2_000), rows.where("is_test"), vocabulary
 
 
