@@ -7,6 +7,7 @@ ASCII only, and ``(?U)\\w`` differs from it at the edges.
 from __future__ import annotations
 
 import unicodedata
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -185,3 +186,25 @@ def today(zone: str = "America/Sao_Paulo", at: Column | None = None) -> Column:
 def percent(c: Column | str, digits: int = 1) -> Column:
     """A share as a percentage with fixed digits."""
     return F.format_string(f"%.{digits}f%%", 100 * col(c).cast("double"))
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; U+FFFD for those that are none."""
+    fine = (code > 0) & ~code.between(0xD800, 0xDFFF) & (code <= 0x10FFFF)
+    return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(F.when(fine, code)), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
+
+
+def unescape(c: Column | str) -> Column:
+    """Character references decoded once: decimal, hexadecimal, and the names of HTML 4 with apos; others stay as they are."""
+    names = name2codepoint | {"apos": ord("'")}
+    known = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.lit(chr(p)) for p in names.values()]))
+
+    def decoded(x: Column) -> Column:
+        name = F.substring(x, F.lit(2), F.greatest(F.length(x) - 2, F.lit(0)))
+        number = F.coalesce(
+            F.regexp_extract(x, "^&#([0-9]+);$", 1).try_cast("long"), F.conv(F.nullif(F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+);$", 1), F.lit("")), 16, 10).try_cast("long")
+        )
+        return F.when(~F.rlike(x, F.lit("^&.+;$")), x).when(number.isNotNull(), _character(number)).otherwise(F.coalesce(F.try_element_at(known, name), x))
+
+    parts = F.regexp_extract_all(col(c), F.lit("&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(col(c), F.lit("&")), F.array_join(F.transform(parts, decoded), "")).otherwise(col(c))

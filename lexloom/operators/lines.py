@@ -94,11 +94,12 @@ def titled(df: DataFrame, key: str) -> DataFrame:
 def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
     """Add ``place``, the order of blocks on a two-column page: full-width ones above, left column, right, full-width ones below.
 
-    blocks: page columns, width, x_min, y_min, x_max; blocks at one place go by x_max, then by ``block`` where there is one.
+    blocks: page columns, width, x_min, y_min, x_max; blocks at one place go by ``block``, their place in the
+    source, where there is one, else by x_max.
     """
     half = F.col("width") / 2
     column = F.when(F.col("x_max") <= half + 15, 1).when(F.col("x_min") >= half - 15, 2).otherwise(0)
     top = F.coalesce(F.min(F.when(F.col("column") > 0, F.col("y_min"))).over(Window.partitionBy(*page)), F.lit(1e9))
     band = F.when(F.col("column") > 0, F.col("column")).when(F.col("y_min") < F.col("top"), 0).otherwise(3)
     placed = blocks.withColumn("column", column).withColumn("top", top).withColumn("band", band)
-    return placed.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy("band", "y_min", "x_min", *[c for c in ("x_max", "block") if c in blocks.columns]))).drop("top", "band", "column")
+    return placed.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy("band", "y_min", "x_min", "block" if "block" in blocks.columns else "x_max"))).drop("top", "band", "column")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.functions.vectors import cosine
-from lexloom.operators import dedup, exams, lexicon, lines, ml, quality, stats, tfidf
+from lexloom.operators import dedup, exams, lexicon, lines, markup, ml, quality, stats, tfidf
 from lexloom.plans import corpus
 from lexloom.session import kept
 from lexloom.streaming.score import tumbling
@@ -623,6 +623,38 @@ def page_text_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(F.trim(F.regexp_replace(bare, "\\s+", " ")).cast("binary")).alias("text"))
 
 
+_BLOCKS = rf"""
+t AS (SELECT page_id, i AS pos, l[i] AS piece, lower(regexp_extract(l[i], '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag
+      FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '{markup.TOKEN}') AS l FROM pages))),
+k AS (SELECT page_id, pos, tag, piece, CASE WHEN NOT regexp_matches(piece, '^<[!/a-zA-Z]') THEN 'text' WHEN tag IN ('p', 'br', 'hr') THEN 'break'
+        WHEN tag IN ({", ".join(f"'{c}'" for c in markup.CONTAINERS)}) THEN CASE WHEN piece LIKE '</%' THEN 'close' WHEN piece LIKE '%/>' THEN 'break' ELSE 'open' END ELSE 'none' END AS kind FROM t),
+s(page_id, pos, stack, block) AS (
+  SELECT DISTINCT page_id, 0::BIGINT, []::VARCHAR[], 0::BIGINT FROM pages
+  UNION ALL SELECT s.page_id, k.pos, CASE kind WHEN 'open' THEN list_append(stack, tag) WHEN 'close' THEN list_slice(stack, 1, len(stack) - 1) ELSE stack END, block + CASE WHEN kind IN ('open', 'close', 'break') THEN 1 ELSE 0 END
+  FROM s JOIN k ON k.page_id = s.page_id AND k.pos = s.pos + 1),
+b AS (SELECT page_id, block, len(any_value(stack))::INT AS depth, array_to_string(any_value(stack), '/') AS path,
+             trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(string_agg(piece, '' ORDER BY pos), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[\s\x{{00A0}}]+', ' ', 'g')) AS text
+      FROM s JOIN k USING (page_id, pos) WHERE kind = 'text' GROUP BY page_id, block),
+bl AS (SELECT * FROM b WHERE text <> '')"""
+
+
+@query(f"WITH RECURSIVE {_BLOCKS} SELECT page_id, block, depth, path, md5(text) AS text FROM bl")
+def page_block_tree(spark, sf_dir):
+    """The text blocks of pages with their depth and the containers that they lie in."""
+    return markup.block_tree(table(spark, sf_dir, "pages"), "page_id", "html").withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query(f"""WITH RECURSIVE {_BLOCKS},
+l AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x IN ('nav', 'header', 'title', 'footer', 'aside', 'div'))[-1] AS area FROM bl),
+c AS (SELECT *, CASE WHEN area IS NULL THEN 1 WHEN area IN ('aside', 'div') THEN 2 ELSE 0 END AS col FROM l),
+o AS (SELECT *, CASE WHEN col > 0 THEN col WHEN block < coalesce(min(block) FILTER (col > 0) OVER (PARTITION BY page_id), 1e9) THEN 0 ELSE 3 END AS band FROM c)
+SELECT page_id, count(*) AS n_blocks, md5(string_agg(text, chr(10) ORDER BY band, block)) AS text FROM o GROUP BY page_id""")
+def page_reading_order(spark, sf_dir):
+    """Pages as text: what spans the page above its columns, the left column, the right one, what spans it below."""
+    blocks = markup.placed(markup.block_tree(table(spark, sf_dir, "pages"), "page_id", "html"))
+    return markup.reading_text(blocks, "page_id").withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
 @query("""
 SELECT conv_id, turn, length(text) AS n, lag(role) OVER w AS before, lead(role) OVER w AS after, length(lead(text) OVER w) < 60 AND NOT regexp_matches(lead(text) OVER w, '[.:;?]$') AS goes_on
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.operators import lines
 
 RAW_QUESTION = (
     "id string, prova string, ano int, banca string, url string, numero int, secao string, enunciado string, alternativas map<string,string>, gabarito string, problemas array<string>"
@@ -76,6 +77,35 @@ def page_blocks(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select("file", "page", "width", "block", F.col("b._xMin").alias("x_min"), F.col("b._yMin").alias("y_min"), F.col("b._xMax").alias("x_max"), lines.alias("lines"))
 
 
+def xhtml_blocks(df: DataFrame, key: str, xhtml: str) -> DataFrame:
+    """(key, page, width, block, x_min, y_min, x_max, lines) of positioned pages held as text, as a converter prints them.
+
+    The document type goes, and ampersands that begin no reference are escaped, before each page element is parsed. Pages
+    are numbered from 0 in their document; a page that is no well-formed markup has no blocks.
+    """
+    whole = F.regexp_replace(F.regexp_replace(F.col(xhtml), "<!DOCTYPE[^>]*>", ""), "&(?!(amp|lt|gt|quot|apos|#[0-9]+);)", "&amp;")
+    pages = df.select(key, F.posexplode(F.regexp_extract_all(whole, F.lit("(?s)<page\\b.*?</page>"), F.lit(0))).alias("page", "x"))
+    parsed = pages.select(key, "page", F.from_xml("x", PAGE, {"rowTag": "page"}).alias("p"))
+    blocks = parsed.select(key, "page", F.col("p._width").alias("width"), F.posexplode(F.flatten(F.filter(F.col("p.flow.block"), lambda b: b.isNotNull()))).alias("block", "b"))
+    words = F.transform("b.line", lambda ln: F.array_join(F.transform(ln["word"], lambda w: F.coalesce(w["_VALUE"], F.lit(""))), " "))
+    return blocks.select(key, "page", "width", "block", F.col("b._xMin").alias("x_min"), F.col("b._yMin").alias("y_min"), F.col("b._xMax").alias("x_max"), words.alias("lines"))
+
+
+#: Lines that conversion leaves behind: watermark, site, publisher, page numbers. Fixed values.
+NOISE = "(?iu)^(pcimarkpci(?![\\p{L}\\p{N}_]).*|www\\.pciconcursos\\.com\\.br|FGV Conhecimento|Página [0-9]+( de [0-9]+)?)$"
+
+
+def layout_texts(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, text): the lines of positioned blocks in reading order, without noise; pages are parted by a form feed line."""
+    ordered = lines.reading_order(blocks, [key, "page"])
+    each = ordered.select(key, "page", "place", F.posexplode("lines").alias("i", "line")).withColumn("line", T.unescape("line"))
+    each = each.withColumn("line", F.regexp_replace("line", "^\\s+|\\s+$", ""))
+    good = each.where((F.col("line") != "") & ~F.regexp_like("line", F.lit(NOISE)))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "i", "line"))), lambda x: x["line"]), "\n")
+    pages = blocks.select(key, "page").distinct().join(good.groupBy(key, "page").agg(listed.alias("t")), [key, "page"], "left")
+    return pages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("t", F.lit("")).alias("t")))), lambda x: x["t"]), "\n\f\n").alias("text"))
+
+
 def pdf_texts(spark: SparkSession, glob: str, command: tuple[str, ...] = ("pdftotext", "-bbox-layout"), key_command: tuple[str, ...] = ("pdftotext", "-layout")) -> DataFrame:
     """(path, text) of PDFs by an external program on the executors; answer keys keep their layout. Invalid UTF-8 is replaced."""
 
