@@ -1,18 +1,16 @@
 """Weighted-lexicon scoring.
 
 A lexicon is a DataFrame (area, area_ord, weight, term) and a parameter everywhere; ``stopword_lexicon`` is one for four
-languages. Terms that are one run of word characters are matched by an equi-join with the text's exploded words; all
-others by a counted regular expression. Both count whole terms only, in the normalised text.
+languages. Terms are words or phrases, with or without signs; whole terms count, in the normalised text.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.session import kept
 
 #: Area, strong terms (weight 2), weak terms (weight 1); areas in tie order.
 LANGUAGES = [
@@ -41,27 +39,67 @@ def prepared(text: Column, rewrites: dict[str, str] = REWRITES) -> Column:
     return out
 
 
+#: Atoms of a text and of a term: runs of word characters, and every other character alone.
+ATOM = f"{T.W}+|[^\\p{{L}}\\p{{N}}_]"
+#: Terms up to which a lexicon is broadcast and sifts the grams of a text by their first atom; a larger one is joined.
+BROADCAST_TERMS = 50_000
+
+
+def _word(atom: Column) -> Column:
+    return F.coalesce(F.rlike(atom, F.lit(f"^{T.W}")), F.lit(False))
+
+
+def term_hits(docs: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
+    """(key, term, n): how often each normalised term occurs in normalised texts as a whole term. terms: term.
+
+    Text and terms are cut into atoms, and a text's atom runs of the terms' lengths are joined with the terms by value, so
+    that a text is read once, however many terms there are. Word atoms are maximal, so a run of atoms is a whole term, but
+    for a term that begins or ends with a sign: it may not touch a word there. Occurrences of one term do not overlap;
+    the first counts, then the next that begins after it.
+    """
+    atoms = F.regexp_extract_all("term", F.lit(ATOM), F.lit(0))
+    cut = kept(terms.where("term <> ''").select("term", atoms.alias("a")).distinct(), "terms")
+    sizes = sorted(r[0] for r in cut.select(F.size("a")).distinct().collect())
+    if not sizes:
+        return docs.select(key, F.lit("").alias("term"), F.lit(0).cast("long").alias("n")).limit(0)
+    small = cut.count() <= BROADCAST_TERMS
+    first = {n: [r[0] for r in cut.where(F.size("a") == n).select(F.get("a", F.lit(0))).distinct().collect()] for n in sizes} if small else {}
+    base = docs.select(key, F.regexp_extract_all(text, F.lit(ATOM), F.lit(0)).alias("a"))
+
+    def run(n: int):
+        def at(x: Column, i: Column) -> Column:
+            # the sift comes first: only runs that begin as a term does are put together
+            end = F.get("a", i + (n - 1))
+            free = (_word(x) | ~_word(F.get("a", i - 1))) & (_word(end) | ~_word(F.get("a", i + n)))
+            begins = x.isin(first[n]) if small else F.lit(True)
+            whole = F.array_join(F.slice("a", i + 1, F.lit(n)), "") if n > 1 else x
+            return F.when(begins & (i + n <= F.size("a")) & free, F.struct(i.alias("i"), whole.alias("term")))
+
+        return F.filter(F.transform("a", at), lambda s: s.isNotNull())
+
+    grams = base.select(key, F.explode(F.concat(*[run(n) for n in sizes])).alias("g")).select(key, "g.i", "g.term")
+    # a term may overlap itself if an end of it is a beginning of it
+    ends = F.exists(F.sequence(F.lit(1), F.greatest(F.size("a") - 1, F.lit(1))), lambda m: (F.size("a") > 1) & (F.slice("a", 1, m) == F.slice("a", F.size("a") - m + 1, m)))
+    listed = cut.select("term", F.size("a").alias("size"), ends.alias("bordered"))
+    met = grams.join(F.broadcast(listed) if small else listed, "term")
+    plain = met.where("not bordered").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    step = lambda s, i: F.when(i >= s["free"], F.struct((s["n"] + 1).alias("n"), (i + F.col("size")).alias("free"))).otherwise(s)
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("free"))
+    places = met.where("bordered").groupBy(key, "term").agg(F.array_sort(F.collect_list("i")).alias("at"), F.first("size").alias("size"))
+    return plain.unionByName(places.select(key, "term", F.aggregate("at", start, step)["n"].alias("n")))
+
+
 def scores(docs: DataFrame, key: str, text: Column, lex: DataFrame, rewrites: dict[str, str] = REWRITES) -> DataFrame:
     """(key, area, area_ord, score, strong): areas with a hit. strong: distinct terms of weight 2 that occur.
 
-    A term of weight 2 counts 2 x min(occurrences, 3), one of weight 1 counts once. The lexicon is small by nature:
-    it is read on the driver to split its terms, and broadcast.
+    A term of weight 2 counts 2 x min(occurrences, 3), one of weight 1 counts once. Terms may be words, phrases, and hold
+    signs.
     """
-    normal = dict(lex.select("term", T.norm("term")).distinct().collect())
-    terms = list(normal)
-    single = [t for t in terms if re.fullmatch(r"\w+", normal.get(t, t))]
-    other = [t for t in terms if t not in single]
-    base = docs.select(key, prepared(text, rewrites).alias("t"))
-    found = base.select(key, F.explode(T.words("t")).alias("w")).where(F.col("w").isin(sorted({normal.get(t, t) for t in single}))).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
-    if other:
-        edge = T.W
-        counts = F.array(*[
-            F.struct(F.lit(normal.get(t, t)).alias("w"), F.regexp_count("t", F.lit(f"(?<!{edge}){re.escape(normal.get(t, t))}(?!{edge})")).cast("long").alias("n")) for t in other
-        ])
-        found = found.unionByName(base.select(key, F.explode(F.filter(counts, lambda x: x["n"] > 0)).alias("x")).select(key, "x.w", "x.n"))
-    rows = lex.withColumn("w", T.norm("term"))
+    rows = kept(lex.withColumn("w", T.norm("term")), "lexicon")
+    found = term_hits(docs, key, prepared(text, rewrites), rows.select(F.col("w").alias("term"))).withColumnRenamed("term", "w")
     points = F.when(F.col("weight") == 2, 2 * F.least("n", F.lit(3))).otherwise(F.lit(1))
-    return found.join(F.broadcast(rows), "w").groupBy(key, "area", "area_ord").agg(
+    small = rows.count() <= BROADCAST_TERMS
+    return found.join(F.broadcast(rows) if small else rows, "w").groupBy(key, "area", "area_ord").agg(
         F.sum(points).cast("long").alias("score"), F.count_if(F.col("weight") == 2).alias("strong")
     )
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.session import kept
+
 
 def overview(docs: DataFrame, tokens: Column, **conditions: Column) -> DataFrame:
     """One row: documents, tokens, types, type/token ratio, mean, median and deviation of length, counts of conditions."""
     sized = docs.select(tokens.alias("tokens"), *[c.alias(k) for k, c in conditions.items()]).withColumn("n", F.size("tokens"))
+    middle = quantiles(sized.select("n").withColumn("all", F.lit(0)), "all", "n", [0.5]).agg(F.max("value")).scalar()
     types = sized.select(F.explode("tokens").alias("t")).agg(F.count_distinct(F.lower("t"))).scalar()
     out = sized.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.avg("n").alias("mean_tokens"), F.median("n").alias("median_tokens"),
+        F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.avg("n").alias("mean_tokens"), middle.alias("median_tokens"),
         F.stddev("n").alias("sd_tokens"), *[F.count_if(F.col(k)).alias(k) for k in conditions],
     )
     return out.withColumn("n_types", types).withColumn("type_token_ratio", F.col("n_types") / F.col("n_tokens"))
@@ -40,13 +43,48 @@ def crosstab_wide(df: DataFrame, rows: str, columns: str, values: list[str], tot
     return crosstab(df, rows, columns, total).groupBy(rows).pivot(columns, [*values, total]).agg(F.first("n")).fillna(0)
 
 
+#: Buckets of one refinement.
+BUCKETS = 1024
+
+
+def quantiles(df: DataFrame, group: str, value: str, points: list[float]) -> DataFrame:
+    """(group, point, value): exact quantiles of each group, interpolated between the two rows next to a point.
+
+    By distributed selection: the range that holds a wanted rank is cut into buckets, these are counted, and the one with
+    the rank is the next range, until it holds one value. A round is one aggregate over the rows still in a range; what a
+    group keeps is a row a bucket, however many values it has. Null values are left out; a null group is a group.
+    """
+    slim = kept(df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")), "values")
+    sizes = kept(slim.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "sizes")
+    asked = sizes.select("*", F.explode(F.array(*map(F.lit, points))).alias("point")).withColumn("at", (F.col("n") - 1) * F.col("point"))
+    asked = kept(asked.select("g", "point", "at", F.floor("at").alias("low"), F.ceil("at").alias("high"), "lo", "hi"), "asked")
+    ranks = asked.select("g", F.explode(F.array("low", "high")).alias("rank"), "lo", "hi").distinct().withColumn("below", F.lit(0).cast("long"))
+    done, open_ = ranks.where("lo = hi").select("g", "rank", F.col("lo").alias("v")), kept(ranks.where("lo < hi"), "open")
+    while not open_.isEmpty():
+        spans = open_.select(F.col("g").alias("s"), "lo", "hi", "below").distinct()
+        # halves, as the whole range of a double is none
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        inside = slim.join(spans, F.col("g").eqNullSafe(F.col("s")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        counts = inside.groupBy("g", "lo", "hi", "below", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        run = F.sum("c").over(Window.partitionBy("g", "lo", "hi").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.select(F.col("g").alias("s"), F.col("lo").alias("l"), F.col("hi").alias("h"), (F.col("below") + run - F.col("c")).alias("from"), (F.col("below") + run).alias("to"), "least", "most")
+        here = open_.join(counts, F.col("g").eqNullSafe(F.col("s")) & (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
+        here = kept(here.select("g", "rank", F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("from").alias("below")), "refined")
+        done = done.unionByName(here.where("lo = hi").select("g", "rank", F.col("lo").alias("v")))
+        open_ = here.where("lo < hi")
+    done = kept(done, "ranks")
+    of = lambda c: done.select(F.col("g").alias(f"g_{c}"), F.col("rank").alias(f"r_{c}"), F.col("v").alias(f"v_{c}"))
+    on = lambda c: F.col("g").eqNullSafe(F.col(f"g_{c}")) & (F.col(c) == F.col(f"r_{c}"))
+    both = asked.join(of("low"), on("low")).join(of("high"), on("high"))
+    return both.select(F.col("g").alias(group), "point", (F.col("v_low") + (F.col("v_high") - F.col("v_low")) * (F.col("at") - F.col("low"))).alias("value"))
+
+
 def describe_by(df: DataFrame, group: str, value: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per group."""
-    q = lambda p: F.percentile(value, p)
-    return df.groupBy(group).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("sd"), F.min(value).alias("min"),
-        q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(value).alias("max"),
-    )
+    plain = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    at = lambda p: F.max(F.when(F.col("point") == p, F.col("value")))
+    quarters = quantiles(df, group, value, [0.25, 0.5, 0.75]).groupBy(F.col(group).alias("_g")).agg(at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+    return plain.join(quarters, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "n", "mean", "sd", "min", "q25", "q50", "q75", "max")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:

@@ -39,19 +39,24 @@ def top_terms(means: DataFrame, k: int = 200) -> DataFrame:
     return top.withColumn("position", F.row_number().over(Window.orderBy(F.col("mean_tfidf").desc(), "term")))  # k rows
 
 
-def term_examples(counts: DataFrame, key: str, terms: DataFrame, k: int = 3) -> DataFrame:
+def term_examples(counts: DataFrame, key: str, terms: DataFrame, k: int = 3, sep: str = ", ") -> DataFrame:
     """(term, examples): the first k keys that hold each term."""
     w = Window.partitionBy("term").orderBy(key)
     first = counts.join(terms.select("term"), "term").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    return first.groupBy("term").agg(F.array_join(F.array_sort(F.collect_list(key)), ", ").alias("examples"))
+    return first.groupBy("term").agg(F.array_join(F.array_sort(F.collect_list(key)), sep).alias("examples"))
 
 
-def forms(pairs: DataFrame, k: int = 5) -> DataFrame:
-    """(lemma, forms): the k most frequent observed forms of each lemma (ties: form). pairs: lemma, form."""
-    counts = pairs.groupBy("lemma", "form").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("lemma").orderBy(F.col("n").desc(), "form")
-    top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    return top.groupBy("lemma").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "form"))), lambda x: x["form"]), ", ").alias("forms"))
+def forms(pairs: DataFrame, position: list[str], k: int = 5) -> DataFrame:
+    """(lemma, frequency, forms): the k most frequent observed forms of each lemma; ties go to the form seen first.
+
+    pairs: lemma, form and the columns of ``position``, which order all occurrences. A counter by lemma and form carries
+    the first position of each form.
+    """
+    counts = pairs.groupBy("lemma", "form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*position)).alias("first"))
+    w = Window.partitionBy("lemma").orderBy(F.col("n").desc(), "first")
+    top = counts.withColumn("r", F.row_number().over(w))
+    listed = F.array_sort(F.collect_list(F.when(F.col("r") <= k, F.struct("r", "form"))))
+    return top.groupBy("lemma").agg(F.sum("n").alias("frequency"), F.array_join(F.transform(listed, lambda x: x["form"]), " | ").alias("forms"))
 
 
 def bigrams(tokens: Column) -> Column:

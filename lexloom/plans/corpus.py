@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.operators import dedup, lexicon, ml, quality, stats, tfidf
+from lexloom.session import kept
 
 
 def build_corpus(raw: DataFrame, lex: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,14 +51,20 @@ def assign_areas(kept: DataFrame, lex: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
-def representative_words(lemmas: DataFrame, key: str, min_df: int = 5, max_df: float = 0.8, k: int = 200) -> DataFrame:
-    """The k words of greatest mean TF-IDF with frequency, documents, forms and examples. lemmas: key, lemma, form."""
-    counts = lemmas.groupBy(key, F.col("lemma").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
-    n = lemmas.agg(F.count_distinct(key)).scalar()
+def representative_words(lemmas: DataFrame, docs: DataFrame, key: str, position: list[str], min_df: int = 5, max_df: float = 0.8, k: int = 200) -> DataFrame:
+    """The k words of greatest mean TF-IDF (ties: word) with frequency, documents, forms and examples.
+
+    lemmas: key, lemma, form and the columns of ``position``; docs: key of all documents, those without a lemma too.
+    """
+    counts = kept(lemmas.groupBy(key, F.col("lemma").alias("term")).agg(F.count(F.lit(1)).alias("tf")), "counts")
+    n = docs.agg(F.count(F.lit(1))).scalar()
     weights = tfidf.transform(counts, key, tfidf.fit(counts, key, n, min_df, max_df))
-    top = tfidf.top_terms(tfidf.mean_weights(weights, n), k)
-    freq = counts.groupBy("term").agg(F.sum("tf").alias("frequency"))
-    return top.join(freq, "term").join(tfidf.forms(lemmas).withColumnRenamed("lemma", "term"), "term").join(tfidf.term_examples(counts, key, top), "term")
+    top = kept(tfidf.top_terms(tfidf.mean_weights(weights, n).withColumn("mean_tfidf", F.round("mean_tfidf", 9)), k), "top")
+    chosen = lemmas.join(F.broadcast(top.select(F.col("term").alias("lemma"))), "lemma")  # k words
+    forms = tfidf.forms(chosen, position).withColumnRenamed("lemma", "term")
+    return top.join(forms, "term").join(tfidf.term_examples(counts, key, top, sep=" | "), "term").select(
+        "position", F.col("term").alias("word"), "mean_tfidf", "frequency", "docs_with_term", "forms", "examples"
+    )
 
 
 def compare_models(vectors: DataFrame, key: str, vector: str, label: str, k: int = 3) -> DataFrame:

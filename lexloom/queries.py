@@ -5,6 +5,7 @@ A query takes (spark, sf_dir) and runs over whole tables. SQL twins are DuckDB's
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -343,6 +344,47 @@ def keyword_validation(spark, sf_dir):
     return rounded(documents(spark, sf_dir).join(decided, "doc_id", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy")), "accuracy")
 
 
+#: Areas of documents by phrases, words and signs.
+PHRASES = [
+    ("licence", ["apache license", "gnu general public license", "cc by-nc 4.0", "license, version 2.0"], ["licensed under", "version", "license"]),
+    ("secret", ["token =", "token"], ["key", "the token"]),
+    ("english", ["of the", "and the", "to the", "the the"], ["in", "of the the"]),
+    ("romance", ["de la", "que la", "de le", "la la"], ["el", "les", "de"]),
+]
+_DOUBLED = rf"regexp_replace(replace({_NORM}, 'controle de acesso ao meio', 'mac_camada_enlace csma/cd'), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')"
+
+
+def _doubled(term: str) -> str:
+    return "".join(c if c.isalnum() or c == "_" else c + c for c in term)
+
+
+_PHRASE_HITS = ", ".join(
+    rf"{{'area': '{a}', 'area_ord': {i}, 'weight': {w}, 'n': len(regexp_extract_all(t, '(?:^|[^\p{{L}}\p{{N}}_]){re.escape(_doubled(t))}(?:$|[^\p{{L}}\p{{N}}_])'))}}"
+    for i, (a, s, k) in enumerate(PHRASES) for w, ts in ((2, s), (1, k)) for t in ts
+)
+_PHRASE_SCORES = rf"""
+d AS (SELECT doc_id, {_DOUBLED % "coalesce(text, '')"} AS t FROM documents),
+h AS (SELECT doc_id, unnest([{_PHRASE_HITS}], recursive := true) FROM d),
+ps AS (SELECT doc_id, area, area_ord, sum(CASE WHEN weight = 2 THEN 2 * least(n, 3) ELSE 1 END)::BIGINT AS score, count(*) FILTER (weight = 2) AS strong FROM h WHERE n > 0 GROUP BY ALL)"""
+
+
+def _phrase_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.scores(documents(spark, sf_dir), "doc_id", F.col("text"), lexicon.lexicon(spark, PHRASES))
+
+
+@query(f"WITH {_PHRASE_SCORES} SELECT doc_id, area, score, strong FROM ps")
+def phrase_scores(spark, sf_dir):
+    """Scores of documents by a lexicon of phrases, with signs and with terms that overlap themselves."""
+    return _phrase_scores(spark, sf_dir).select("doc_id", "area", "score", "strong")
+
+
+@query(f"""WITH {_PHRASE_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, area_ord) AS r FROM ps)
+SELECT area, count(*) AS n_docs, sum(score)::BIGINT AS points, count(*) FILTER (strong > 0) AS n_strong FROM r WHERE r = 1 GROUP BY area""")
+def phrase_areas(spark, sf_dir):
+    decided = lexicon.decide(_phrase_scores(spark, sf_dir), "doc_id")
+    return decided.groupBy("area").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("score").alias("points"), F.count_if(F.col("strong") > 0).alias("n_strong"))
+
+
 # --- TF-IDF
 
 _TF = rf"""
@@ -390,6 +432,42 @@ def pair_words(spark, sf_dir):
     return tfidf.shuffled_pairs(_top(spark, sf_dir)[1], "term")
 
 
+_LEMMAS = rf"""
+o AS (SELECT doc_id, i AS place, l[i] AS form FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_]+') AS l FROM documents))),
+e AS (SELECT doc_id, place, form, {_NORM % "form"} AS lemma FROM o),
+f AS (SELECT * FROM e WHERE regexp_matches(lemma, '^\p{{L}}{{2,}}$') AND lemma NOT IN {_STOP}),
+fc AS (SELECT lemma, form, count(*) AS n, min(doc_id * 10000000 + place) AS first FROM f GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY n DESC, first) AS r FROM fc),
+fo AS (SELECT lemma, sum(n)::BIGINT AS frequency, string_agg(form, ' | ' ORDER BY r) FILTER (r <= 5) AS forms FROM fr GROUP BY lemma)"""
+
+
+def _lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, at, lemma, form) of all words that are no stopwords; normalised forms stand in for lemmas."""
+    each = documents(spark, sf_dir).select("doc_id", F.posexplode(T.words("text")).alias("at", "form")).withColumn("lemma", T.norm("form"))
+    return each.where(F.regexp_like("lemma", F.lit("^\\p{L}{2,}$")) & ~F.col("lemma").isin(STOP))
+
+
+@query(f"WITH {_LEMMAS} SELECT lemma, frequency, forms FROM fo")
+def lemma_forms(spark, sf_dir):
+    """How often each lemma occurs, and its five most frequent forms; ties by first occurrence."""
+    return tfidf.forms(_lemmas(spark, sf_dir), ["doc_id", "at"])
+
+
+@query(rf"""WITH {_LEMMAS},
+c AS (SELECT doc_id, lemma AS term, count(*) AS tf FROM f GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM documents),
+i AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM c, n GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.8 * any_value(n)),
+u AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM c JOIN i USING (term)),
+x AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM u),
+m AS (SELECT term, round(sum(weight) / any_value(n), 9) AS mean_tfidf, count(*) AS docs_with_term FROM x, n GROUP BY term),
+top AS (SELECT *, row_number() OVER (ORDER BY mean_tfidf DESC, term) AS position FROM m QUALIFY position <= 200),
+ex AS (SELECT term, string_agg(doc_id::VARCHAR, ' | ' ORDER BY doc_id) AS examples FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS r FROM c JOIN top USING (term)) WHERE r <= 3 GROUP BY term)
+SELECT position::INT AS position, top.term AS word, round(mean_tfidf, 6) AS mean_tfidf, frequency, docs_with_term, forms, examples FROM top JOIN fo ON lemma = top.term JOIN ex ON ex.term = top.term""")
+def representative_words(spark, sf_dir):
+    """The 200 words of greatest mean TF-IDF with their frequency, documents, forms and example documents."""
+    return rounded(corpus.representative_words(kept(_lemmas(spark, sf_dir), "lemmas"), documents(spark, sf_dir).select("doc_id"), "doc_id", ["doc_id", "at"]), "mean_tfidf")
+
+
 # --- agreement
 
 
