@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.operators import dedup, lexicon, ml, quality, stats, tfidf
-from lexloom.session import kept
+from lexloom.session import kept as stored
 
 
 def build_corpus(raw: DataFrame, lex: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -21,10 +21,10 @@ def build_corpus(raw: DataFrame, lex: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = raw.join(scored, "id", "left").withColumns({"score": F.coalesce("score", F.lit(0)), "strong": F.coalesce("strong", F.lit(0))})
     outside = lexicon.domain_reason(F.col("section"), F.col("score"), F.col("strong"))
     reasons = F.concat(F.array_intersect("problems", F.array(*map(F.lit, quality.FLAGS))), F.filter(F.array(outside), lambda x: x.isNotNull()))
-    full = full.withColumn("reasons", reasons)
+    full = stored(full.withColumn("reasons", reasons), "full")
     clean = full.where(F.size("reasons") == 0)
     keyed = dedup.block_keys(clean.select("id", "position", "statement", "options"), F.col("statement"), F.array_join(F.map_values("options"), "|"))
-    led = dedup.leaders(dedup.similar_pairs(keyed, "position"))
+    led = dedup.greedy_leaders(keyed, "position")
     marked = full.join(led, "position", "left").withColumn("reasons", F.when(F.col("leader").isNull(), F.col("reasons")).otherwise(F.array(F.lit("duplicada"))))
     also = marked.where("leader is not null").groupBy(F.col("leader").alias("position")).agg(F.array_sort(F.collect_list(F.struct("position", "id"))).alias("_d"))
     kept = marked.where(F.size("reasons") == 0).drop("leader", "reasons", "area").join(also, "position", "left")
@@ -39,11 +39,12 @@ def assign_areas(kept: DataFrame, lex: DataFrame, k: int = 3) -> DataFrame:
     decided = lexicon.decide(both, "id")
     first = lex.orderBy("area_ord").select("area").limit(1).scalar()
     full = kept.join(decided, "id", "left").select("id", F.coalesce("area", first).alias("area"), F.coalesce("confident", F.lit(False)).alias("confident"), F.concat_ws(" ", "statement", "statement", options).alias("text"))
-    counts = tfidf.term_counts(full, "id", F.filter(T.words(F.lower("text")), lambda w: F.length(w) >= 2))
+    full = stored(full, "decided")
+    counts = stored(tfidf.term_counts(full, "id", F.filter(T.words(F.lower("text")), lambda w: F.length(w) >= 2)), "counts")
     clear = full.where("confident").select("id")
     train = counts.join(clear, "id", "left_semi")
     idf = tfidf.fit(train, "id", clear.agg(F.count(F.lit(1))).scalar(), min_df=2)
-    weights = tfidf.transform(counts, "id", idf)
+    weights = stored(tfidf.transform(counts, "id", idf), "weights")
     near = ml.sparse_nearest(weights.join(clear, "id", "left_semi"), weights.join(clear, "id", "left_anti"), "id", k, clear, full.where("not confident").select("id"))
     voted = ml.vote(near.join(full.select(F.col("id").alias("neighbour"), F.col("area").alias("label")), "neighbour"), "id")
     return full.join(voted, "id", "left").select(
@@ -56,10 +57,10 @@ def representative_words(lemmas: DataFrame, docs: DataFrame, key: str, position:
 
     lemmas: key, lemma, form and the columns of ``position``; docs: key of all documents, those without a lemma too.
     """
-    counts = kept(lemmas.groupBy(key, F.col("lemma").alias("term")).agg(F.count(F.lit(1)).alias("tf")), "counts")
+    counts = stored(lemmas.groupBy(key, F.col("lemma").alias("term")).agg(F.count(F.lit(1)).alias("tf")), "counts")
     n = docs.agg(F.count(F.lit(1))).scalar()
     weights = tfidf.transform(counts, key, tfidf.fit(counts, key, n, min_df, max_df))
-    top = kept(tfidf.top_terms(tfidf.mean_weights(weights, n).withColumn("mean_tfidf", F.round("mean_tfidf", 9)), k), "top")
+    top = stored(tfidf.top_terms(tfidf.mean_weights(weights, n).withColumn("mean_tfidf", F.round("mean_tfidf", 9)), k), "top")
     chosen = lemmas.join(F.broadcast(top.select(F.col("term").alias("lemma"))), "lemma")  # k words
     forms = tfidf.forms(chosen, position).withColumnRenamed("lemma", "term")
     return top.join(forms, "term").join(tfidf.term_examples(counts, key, top, sep=" | "), "term").select(

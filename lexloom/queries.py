@@ -6,6 +6,7 @@ A query takes (spark, sf_dir) and runs over whole tables. SQL twins are DuckDB's
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.functions.vectors import cosine
-from lexloom.operators import dedup, exams, lexicon, lines, markup, ml, quality, stats, tfidf
+from lexloom.operators import automata, dedup, exams, lexicon, lines, markup, ml, quality, stats, tfidf
 from lexloom.plans import corpus
-from lexloom.session import kept
+from lexloom.session import kept, shared_dir
 from lexloom.streaming.score import tumbling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -678,6 +679,117 @@ def errors_all_models(spark, sf_dir):
     return _predicted(spark, sf_dir).join(other, "vec_id").where("predicted <> truth and logreg <> truth")
 
 
+# --- records and the corpus made of them
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as questions: their last five lines are options, the lines before the statement; labels stand in for a key."""
+    lined = F.split("text", "\n")
+    options = F.when(F.size("l") >= 3, F.least(F.lit(5), F.size("l") - 1)).otherwise(F.lit(0))
+    d = documents(spark, sf_dir).select("doc_id", "source", lined.alias("l")).withColumn("k", options)
+    answer = F.when(F.col("toxic") == 1, "ANULADA").when(F.col("quality") == 1, "A").when(F.col("quality") == 0, "B")
+    letters = F.slice(F.array(*map(F.lit, "ABCDE")), F.lit(1), F.col("k"))
+    lists = F.transform(F.slice("l", F.size("l") - F.col("k") + 1, F.col("k")), lambda x: F.array(x))
+    return d.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
+        "doc_id", "source", F.slice("l", F.lit(1), F.size("l") - F.col("k")).alias("statement"), F.map_from_arrays(letters, lists).alias("options"), F.lit(False).alias("merged"),
+        F.lit(False).alias("received_context"), F.lit(5).alias("n_options"), answer.alias("answer"),
+    )
+
+
+_BARE = r"trim(regexp_replace(%s, '\s+', ' ', 'g'))"
+_RECORD_FLAGS = rf"""
+d AS (SELECT doc_id, source, quality, toxic, string_split(coalesce(text, ''), chr(10)) AS l FROM documents LEFT JOIN labels USING (doc_id)),
+k AS (SELECT *, CASE WHEN len(l) >= 3 THEN least(5, len(l) - 1) ELSE 0 END AS k FROM d),
+s AS (SELECT doc_id, source, k, l, l[1:len(l) - k] AS st, CASE WHEN toxic = 1 THEN 'ANULADA' WHEN quality = 1 THEN 'A' WHEN quality = 0 THEN 'B' END AS answer,
+             list_transform(l[len(l) - k + 1:], lambda x: {_BARE % "x"}) AS op FROM k),
+z AS (SELECT *, list_sort(list_transform(op, lambda x: length(x))) AS sizes, array_to_string(l, ' ') AS t,
+             {_BARE % r"list_reduce(st, lambda s, x: CASE WHEN s = '' THEN x WHEN regexp_matches(s, '(^|[^ ])-$') AND regexp_matches(x, '^\p{Ll}') THEN left(s, length(s) - 1) || x ELSE s || ' ' || x END)"} AS folded FROM s),
+fl AS (SELECT doc_id, source, answer, folded, op, list_filter([CASE WHEN k <> 5 THEN 'alternativas_incompletas' END,
+ CASE WHEN regexp_matches(array_to_string(st, ' '), '(?i)descrit[oa]s? anteriormente|apresentad[oa]s? anteriormente|(no|do|pelo) texto [0-9]|(na|da|pela) tabela [0-9]|situação descrita no texto|quest[ãa]o anterior|mesmo cen[áa]rio') THEN 'depende_de_texto_de_outra_questao' END,
+ CASE WHEN k > 0 AND sizes[-1] > 250 AND sizes[-1] > 4 * greatest(sizes[k // 2 + 1], 20) THEN 'alternativa_com_texto_extra' END,
+ CASE WHEN regexp_matches(t, '[\x{{E000}}-\x{{F8FF}}\x{{FFFD}}\x{{25A1}}]') THEN 'simbolo_nao_convertido' END,
+ CASE WHEN len(list_filter(l, lambda x: regexp_matches(x, '^[0-9()+\-*/^=−]{{1,2}}$'))) > 0 THEN 'fragmento_solto' END,
+ CASE WHEN regexp_matches(t, '[\p{{L}}\p{{N}}_] {{2,}}[\p{{L}}\p{{N}}_]') THEN 'espaco_de_simbolo_perdido' END,
+ CASE WHEN length(folded) < 25 THEN 'enunciado_curto' END,
+ CASE WHEN list_contains(op, '') THEN 'alternativa_vazia' END,
+ CASE WHEN regexp_matches(t, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(figura|imagem|ilustra[çc][ãa]o|gr[áa]fico|diagrama|esquema|charge|tirinha|cartum|fotografia|captura de tela)(\s+[\p{{L}}\p{{N}}_]+){{0,3}}\s+(a seguir|abaixo|acima|seguinte|apresentad|mostrad|exibid|ilustrad)|(observe|analise|considere)\s+(a|o)\s+(figura|imagem|gr[áa]fico|diagrama|esquema)') THEN 'depende_de_imagem' END,
+ CASE WHEN length(t) > 0 AND length(regexp_replace(t, '[\p{{L}}\p{{N}}\s.,;:!?()\[\]{{}}''"“”‘’\-–—/\\%$#@&*+=<>_|^~`°ºª§•▪→←≥≤≠×÷⇒⇔±∞√∑∈]', '', 'g'))::DOUBLE / length(t) > 0.03 THEN 'caracteres_estranhos' END,
+ CASE WHEN answer IS NULL THEN 'sem_gabarito' END, CASE WHEN answer = 'ANULADA' THEN 'questao_anulada' END], lambda x: x IS NOT NULL) AS problems FROM z)"""
+
+
+@query(f"WITH {_RECORD_FLAGS} SELECT doc_id, array_to_string(problems, ',') AS problems FROM fl")
+def record_flags(spark, sf_dir):
+    """All thirteen flags, by their own rules, of documents read as questions."""
+    return quality.flagged(_records(spark, sf_dir)).select("doc_id", F.array_join("problems", ",").alias("problems"))
+
+
+@query(f"WITH {_RECORD_FLAGS} SELECT problem, count(*) AS n FROM (SELECT unnest(problems) AS problem FROM fl) GROUP BY problem")
+def flag_counts(spark, sf_dir):
+    flagged = quality.flagged(_records(spark, sf_dir)).select(F.explode("problems").alias("problem"))
+    return flagged.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def assembled(records: DataFrame, lex: DataFrame) -> DataFrame:
+    """(doc_id, kept, reasons, also_in, area, origin): the corpus made of flagged records, kept and discarded ones."""
+    folded = F.transform_values("options", lambda _, v: T.fold_lines(v))
+    raw = kept(
+        records.select(
+            F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("position"), F.col("source").alias("section"), T.fold_lines("statement").alias("statement"),
+            folded.alias("options"), "answer", "problems",
+        ),
+        "raw",
+    )
+    good, gone = corpus.build_corpus(raw, lex)
+    good = kept(good.select("id", "position", "statement", "options", "also_in"), "good")
+    areas = corpus.assign_areas(good, lex)
+    listed = good.join(areas, "id").select(F.col("position").alias("doc_id"), F.lit(True).alias("kept"), F.lit("").alias("reasons"), F.array_join("also_in", ",").alias("also_in"), "area", "origin")
+    none = F.lit(None).cast("string")
+    return listed.unionByName(gone.select(F.col("position").alias("doc_id"), F.lit(False).alias("kept"), F.array_join("reasons", ",").alias("reasons"), F.lit("").alias("also_in"), none.alias("area"), none.alias("origin")))
+
+
+@query()
+def corpus_assembly(spark, sf_dir):
+    """Documents to a corpus: flags, domain, fuzzy duplicates among what is left, and areas by lexicon or neighbours.
+
+    Missing key, gap and incomplete options do not discard here, as most documents have them.
+    """
+    mild = ["sem_gabarito", "espaco_de_simbolo_perdido", "alternativas_incompletas"]
+    flagged = quality.flagged(_records(spark, sf_dir)).withColumn("problems", F.array_except("problems", F.array(*map(F.lit, mild))))
+    return assembled(flagged, lexicon.stopword_lexicon(spark))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, line_no, CASE WHEN left({_NORM % "text"}, 1) = '' THEN 0 ELSE strpos('abcde', left({_NORM % "text"}, 1)) END AS x FROM (SELECT doc_id, line_no, ltrim(text) AS text FROM {_LINES})),
+g AS (SELECT doc_id, list(CASE WHEN x IS NULL THEN 0 ELSE x END ORDER BY line_no) AS xs FROM l GROUP BY doc_id),
+r AS (SELECT doc_id, len(xs) AS n, list_reduce(xs, lambda s, x: CASE WHEN x > 0 AND (x = s.s + 1 OR (s.s = 5 AND x = 1)) THEN {{'s': x, 'a': s.a + 1, 'm': s.m, 'c': s.c + (x = 5)::INT}} WHEN x > 0 THEN {{'s': s.s, 'a': s.a, 'm': s.m + 1, 'c': s.c}} ELSE s END,
+      {{'s': 0::BIGINT, 'a': 0, 'm': 0, 'c': 0}}) AS e FROM g)
+SELECT doc_id, n AS n_lines, e.a::BIGINT AS n_accepted, e.m::BIGINT AS n_merged, e.c::BIGINT AS n_lists FROM r""")
+def option_sequences(spark, sf_dir):
+    """Lines that go on with a list of options A to E by their first letter, those that look so and are out of order, and full lists."""
+    first = F.substring(T.norm(F.ltrim("text")), 1, 1)
+    out = automata.run(doc_lines(spark, sf_dir), "doc_id", "line_no", F.when(first == "", 0).otherwise(F.instr(F.lit("abcde"), first)), automata.letter_sequence())
+    moved = (F.col("symbol") > 0) & (F.col("after") == F.col("symbol")) & (F.col("before") != F.col("after"))
+    return out.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(moved).alias("n_accepted"), F.count_if((F.col("symbol") > 0) & ~moved).alias("n_merged"), F.count_if(moved & (F.col("after") == 5)).alias("n_lists")
+    )
+
+
+@query("""
+WITH w AS (SELECT lang, source, doc_id, n_chars FROM documents WHERE lang IS DISTINCT FROM 'de' OR n_chars >= 1000)
+SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM w GROUP BY ALL""")
+def partitioned_sink(spark, sf_dir):
+    """Documents written by language and source, the German ones written anew without short ones, and read back."""
+    from lexloom.sources import sinks
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    path = f"{shared_dir(spark)}/lexloom-sink-{uuid.uuid4().hex}"
+    sinks.partitions(d, path, "lang", "source")
+    stale = d.where("lang = 'de'").select("lang", "source").distinct()
+    fresh = d.where("lang = 'de' and n_chars >= 1000")
+    sinks.replace_partitions(fresh, stale, path, "lang", "source")
+    return sinks.read_partitions(spark, path, d.schema).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
 # --- matching, pages, conversations, events
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -19,6 +20,36 @@ def texts(df: DataFrame, path: str, text: Column, *by: str) -> None:
     df.select(*by, text.alias("value")).write.mode("overwrite").option("lineSep", "\n\n").partitionBy(*by).text(path)
 
 
+def partitions(df: DataFrame, path: str, *by: str) -> None:
+    """A Parquet table in folders by the given columns, in place of whatever is there."""
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def replace_partitions(df: DataFrame, due: DataFrame, path: str, *by: str) -> None:
+    """Write the rows of ``df`` in place of the partitions ``due`` (columns ``by``), and leave all others as they are.
+
+    Spark overwrites the partitions that have rows; those of ``due`` that have none any more are deleted. ``due`` is read on
+    the driver: a row a partition.
+    """
+    spark = df.sparkSession
+    left = [F.col(f"n.{c}").eqNullSafe(F.col(f"d.{c}")) for c in by]
+    on = left[0]
+    for c in left[1:]:
+        on = on & c
+    gone = due.alias("d").join(df.select(*by).distinct().alias("n"), on, "left_anti").select(*[F.col(c).cast("string") for c in by]).distinct().collect()
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for row in gone:
+        target = jvm.org.apache.hadoop.fs.Path("/".join([path, *[name(c, row[c]) for c in by]]))
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def read_partitions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that ``partitions`` wrote, with its declared types."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def options_wide(df: DataFrame, options: str = "options", letters: str = "ABCDE") -> DataFrame:
     """A column for each letter of a map; empty where it is missing."""
     return df.select(*[c for c in df.columns if c != options], *[F.coalesce(F.try_element_at(options, F.lit(x)), F.lit("")).alias(x) for x in letters])
