@@ -525,6 +525,28 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """((doc_id, text), names): the documents, and (doc_id, id) if their ids are replaced by numbers.
+
+    Places and spans are joined with texts by doc_id, so it must name one text. Where an id has several, its texts are
+    numbered in the order of (doc_id, SHA-256 of the text); equal rows share a number, and rows without an id stay without.
+    """
+    slim = docs.select("doc_id", "text")
+    known = slim.where("doc_id is not null").withColumn("sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    if known.groupBy("doc_id").agg((F.min("sha") != F.max("sha")).alias("several")).where("several").isEmpty():
+        return slim, None
+    names = stored(known.select("doc_id", "sha").distinct().orderBy("doc_id", "sha").select(F.col("doc_id").alias("id"), "sha", F.monotonically_increasing_id().alias("doc_id")), "names")
+    told = known.withColumnRenamed("doc_id", "id").join(names, ["id", "sha"]).select("doc_id", "text")
+    return stored(told.unionByName(slim.where("doc_id is null")), "rows"), names.drop("sha")
+
+
+def named(result: DataFrame, names: DataFrame | None) -> DataFrame:
+    """``result`` with the ids that ``told_apart`` replaced."""
+    if names is None:
+        return result
+    return result.join(names, "doc_id", "left").select(*[F.col("id").alias(c) if c == "doc_id" else c for c in result.columns])
+
+
 def apply(docs: DataFrame, spans: DataFrame, digest: Callable[[bytes | None, list[tuple[int, int]]], tuple], schema: pa.Schema, ddl: str) -> DataFrame:
     """One row per document from its text and its merged spans."""
 

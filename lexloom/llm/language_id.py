@@ -34,7 +34,8 @@ def grams(text: bytes) -> np.ndarray:
         b = np.where((b >= 65) & (b <= 90), b + np.uint32(32), b)
         two = b[:-1] << np.uint32(8) | b[1:]
         three = two[:-1] << np.uint32(8) | b[2:]
-        for g in (two, three + np.uint32(1 << 24)):
+        # a later piece begins with the last two bytes of the one before: their pair was counted there
+        for g in (two[min(lo, 1) :], three + np.uint32(1 << 24)):
             out += np.bincount((g * np.uint32(2654435761)) >> np.uint32(20), minlength=BUCKETS)
     total = out.sum()
     return np.sqrt(out / total).astype(np.float32) if total else out.astype(np.float32)
@@ -47,7 +48,7 @@ def codewords(n: int, seed: int = 10) -> np.ndarray:
     best, far = None, -1
     for _ in range(50):
         code = np.concatenate([2 * np.eye(n) - 1, rng.choice([-1.0, 1.0], (n, max(bits - n, 0)))], 1)
-        code = code[:, np.abs(code.sum(1 - 1)) < n] if n > 1 else code
+        code = code[:, np.abs(code.sum(0)) < n] if n > 1 else code
         gap = min((int((a != b).sum()) for i, a in enumerate(code) for b in code[:i]), default=0)
         if gap > far:
             best, far = code, gap

@@ -86,7 +86,8 @@ def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:
     kept_text (the kept words joined by one space), one row per input row.
 
     Null or empty texts and texts of fewer than ``length`` words lose nothing; a null text has no words and an empty
-    kept_text. Rows without a doc_id lose nothing and take nothing. Rows that repeat a doc_id count as one place.
+    kept_text. Rows without a doc_id lose nothing and take nothing. Rows of one doc_id with other
+    texts are documents of their own, in the order of the texts' SHA-256; equal rows are one.
     An empty table gives an empty result. Documents of any length are read whole.
     """
 
@@ -100,4 +101,5 @@ def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:
         out = b" ".join(kept)
         return len(words), len(words) - len(kept), R.sha256(out), out.decode()
 
-    return R.apply(docs, spans(docs, length), digest, OUT, OUT_DDL)
+    rows, names = R.told_apart(docs)
+    return R.named(R.apply(rows, spans(rows, length), digest, OUT, OUT_DDL), names)

@@ -51,7 +51,8 @@ def suffix_array_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     kept_sha256 and kept (the remaining bytes; a cut may fall inside a character), one row per input row.
 
     Null and empty texts have no bytes; texts under ``length`` bytes lose nothing. Rows without a doc_id lose nothing
-    and take nothing. Rows that repeat a doc_id count as one place. An empty table gives an empty result. Documents
+    and take nothing. Rows of one doc_id with other
+    texts are documents of their own, in the order of the texts' SHA-256; equal rows are one. An empty table gives an empty result. Documents
     of any length are read whole.
     """
 
@@ -65,4 +66,5 @@ def suffix_array_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
         out = b"".join(kept)
         return len(text), len(text) - len(out), len(taken), R.sha256(out), out
 
-    return R.apply(docs, spans(docs, length), digest, OUT, OUT_DDL)
+    rows, names = R.told_apart(docs)
+    return R.named(R.apply(rows, spans(rows, length), digest, OUT, OUT_DDL), names)

@@ -299,8 +299,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is under ``threshold``; the texts are neither joined nor shuffled."""
-    model = fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), per_class)
+    """The rows of ``docs``, all columns, whose score is under ``threshold``; the texts are neither joined nor shuffled.
+
+    Without labels of both classes every score is 0.5 and means nothing: all rows stay.
+    """
+    known = labels.where(~held_out(F.col("doc_id"), 5, 0))
+    if known.where("toxic in (0, 1)").select("toxic").distinct().count() < 2:
+        return docs
+    model = fit(docs, known, per_class)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

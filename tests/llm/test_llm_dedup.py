@@ -308,6 +308,19 @@ def test_rows_without_or_with_repeated_ids(spark):
     assert len(decontaminate(df, spark.createDataFrame([(1, text)], "item_id long, text string")).collect()) == 4
 
 
+def test_texts_that_share_a_doc_id_are_told_apart(spark):
+    draw = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    x, y, z = draw("x"), draw("y"), draw("z")
+    rows = [(1, x), (2, x), (2, y), (2, y), (3, y + " " + z), (None, z), (-4, z), (4, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup(df).collect())
+    assert got == [(-4, 60, 0), (0, 60, 0), (1, 60, 0), (2, 60, 0), (2, 60, 0), (2, 60, 60), (3, 120, 120), (4, 0, 0), (4, 0, 0)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_array_dedup(df).collect())
+    n = len(x)
+    assert [g for g in got if g[0] in (1, 2)] == [(1, n, 0, 0), (2, n, 0, 0), (2, n, 0, 0), (2, n, n, 1)]
+    assert [g[2] for g in got if g[0] == 3] == [2 * n]
+
+
 def test_texts_pass_a_filter_that_loses_none(spark):
     texts = spark.sql("select cast(id as long) doc_id, 'x' text from range(-50, 20000) union all select null, 'y'")
     ids = spark.sql("select explode(array(-50, -1, 0, 7, 19999, 7)) node").withColumn("node", F.col("node").cast("long"))

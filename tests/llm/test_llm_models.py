@@ -183,3 +183,11 @@ def test_url_rules_and_model(urls):
     assert right / 400 > 0.97 and all(got[i].rule is None for i in range(1000, 1400))
     assert judge(urls.where("false")).collect() == []
     assert {r.verdict for r in judge(urls.where("page_id between 1000 and 1399")).collect()} == {"allow"}
+
+
+def test_grams_across_a_piece_border_count_once(monkeypatch):
+    text = bytes(random.Random(2).randrange(97, 123) for _ in range(5_000))
+    whole = language_id.grams(text)
+    for piece in (7, 64, 1_000, 4_999):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert abs(language_id.grams(text) - whole).max() < 1e-6

@@ -142,3 +142,26 @@ def test_pipeline_judges_every_row_by_its_own_text(spark, tmp_path):
     got = corpus_pipeline.mixing(spark, docs, path).collect()
     left = [r for r in mix_sources(docs).collect() if r.epochs]
     assert sorted((r.doc_id or -1, r.n_tokens, r.epochs) for r in got) == sorted((r.doc_id or -1, r.n_tokens, r.epochs) for r in left)
+
+
+def test_pipeline_with_clashing_names_and_without_labels(spark, tmp_path):
+    rng = random.Random(12)
+    draw = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    texts = [draw(40) for _ in range(20)]
+    rows = [(i, t, 7, i, f"a{i}", "r", "n") for i, t in enumerate([*texts, texts[3]])]
+    path = str(tmp_path)
+    names = ["doc_id", "text", "_row", "_place", "a.b", "row", "number"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int, _place int, `a.b` string, row string, number string").selectExpr("*", "'en' lang", "'src1' source")
+    for ids in (F.col("doc_id"), F.lit(5).cast("long")):
+        folder = f"{path}/{abs(hash(str(ids)))}"
+        df.withColumn("doc_id", ids).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(0, "no such words here")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert docs.columns == [*names, "lang", "source"], name
+            assert docs.count() == (21 if name == "toxicity" else 20), name
+        assert {r["a.b"] for r in docs.collect()} >= {f"a{i}" for i in range(20) if i != 3}
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == [*names, "lang", "source", "domain", "n_tokens", "epochs"] and out.count() > 0
