@@ -22,22 +22,27 @@ from lexloom.llm.near_dedup import near_dedup
 from lexloom.llm.toxicity import reject_toxic
 
 
-#: The number of a row.
-ROW = "_row"
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with row numbers that ascend with doc_id, none last; as they are if they have such numbers.
+    """(doc_id, text, lang, source, number, row): the rows of ``docs`` with numbers that ascend with doc_id, none last.
 
-    Where every row has a doc_id of its own, that is its number, and the texts are neither sorted nor stored.
+    ``row`` holds all columns, so that no name of theirs meets one that is used here. Where every row has a doc_id of its
+    own, that is its number, and the texts are neither sorted nor stored.
     """
-    if ROW in docs.columns:
-        return docs
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct(*[F.col(_quoted(c)).alias(c) for c in docs.columns]).alias("row"))
     if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
-        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+        return rows.withColumn("number", F.col("doc_id").cast("long"))
     # rows of one doc_id, and those without, go by text and place, so that they are dealt to many tasks
-    order = docs.withColumn("_place", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "_place").drop("_place")
-    return stored(order.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    order = rows.withColumn("place", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "place")
+    told = stored(order.select("row", F.monotonically_increasing_id().alias("number")), "rows")
+    return told.select(*[F.col("row").getField(c).alias(c) for c in ("doc_id", "text", "lang", "source")], "number", "row")
+
+
+def _unpacked(rows: DataFrame, names: list[str], *more: str) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in names], *more)
 
 
 def _without(docs: DataFrame, dropped: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -47,12 +52,13 @@ def _without(docs: DataFrame, dropped: Callable[[DataFrame], DataFrame]) -> Data
     the texts are not shuffled, beyond it they are, by row number.
     """
     rows = _numbered(docs)
-    gone = stored(dropped(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW)), "dropped")
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    gone = stored(dropped(rows.select(F.col("number").alias("doc_id"), "text")).select(F.col("doc_id").alias("number")), "dropped")
+    return _unpacked(rows.select("number", "row").join(gone, "number", "left_anti"), docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score of 0.5 or more) go. Null and empty texts have no hits and stay."""
+    """Documents that the classifier rejects (score of 0.5 or more) go. Null and empty texts have no hits and stay; without
+    labels of both classes there is nothing to go by, and all stay."""
     return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -78,9 +84,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     no tokens and fall in whole epochs or in the prefix like others."""
     rows = _numbered(docs)
     names = [c for c in docs.columns if c not in ("domain", "n_tokens", "epochs")]
-    # the rest of a row goes along in one column, so that no name clashes with those of the operator
-    packed = rows.select("doc_id", "text", "lang", "source", ROW, F.struct(*names).alias("row"))
-    return mix_sources(packed, ties=[ROW], carry=["row"]).where("epochs > 0").select("row.*", "domain", "n_tokens", "epochs")
+    return _unpacked(mix_sources(rows, ties=["number"], carry=["row"]).where("epochs > 0"), names, "domain", "n_tokens", "epochs")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -95,9 +99,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _numbered(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, f"stage-{name}")
-    return docs.drop(ROW)
+    return docs
