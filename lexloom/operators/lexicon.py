@@ -58,26 +58,38 @@ def term_hits(docs: DataFrame, key: str, text: Column, terms: DataFrame) -> Data
     the first counts, then the next that begins after it.
     """
     atoms = F.regexp_extract_all("term", F.lit(ATOM), F.lit(0))
-    cut = kept(terms.where("term <> ''").select("term", atoms.alias("a")).distinct(), "terms")
+    every_term = kept(terms.where("term <> ''").select("term", atoms.alias("a")).distinct(), "terms")
+    small = every_term.count() <= BROADCAST_TERMS
+    one_word = (F.size("a") == 1) & _word(F.get("a", F.lit(0)))
+    # terms of one word need no runs
+    single, cut = every_term.where(one_word).select("term"), every_term.where(~one_word)
+    words = T.words(text)
+    if small:
+        words = F.filter(words, lambda x: x.isin([r[0] for r in single.collect()]))
+    alone = docs.select(key, F.explode(words).alias("term")).join(F.broadcast(single) if small else single, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
     sizes = sorted(r[0] for r in cut.select(F.size("a")).distinct().collect())
     if not sizes:
-        return docs.select(key, F.lit("").alias("term"), F.lit(0).cast("long").alias("n")).limit(0)
-    small = cut.count() <= BROADCAST_TERMS
+        return alone
     first = {n: [r[0] for r in cut.where(F.size("a") == n).select(F.get("a", F.lit(0))).distinct().collect()] for n in sizes} if small else {}
     base = docs.select(key, F.regexp_extract_all(text, F.lit(ATOM), F.lit(0)).alias("a"))
+    # one look at each atom: only where a term may begin are runs put together
+    every = sorted({x for some in first.values() for x in some})
+    starts = F.array_compact(F.transform("a", lambda x, i: F.when(x.isin(every), i))) if small else F.transform("a", lambda x, i: i)
 
-    def run(n: int):
-        def at(x: Column, i: Column) -> Column:
-            # the sift comes first: only runs that begin as a term does are put together
-            end = F.get("a", i + (n - 1))
-            free = (_word(x) | ~_word(F.get("a", i - 1))) & (_word(end) | ~_word(F.get("a", i + n)))
+    def runs(i: Column) -> Column:
+        x = F.get("a", i)
+        opens = _word(x) | ~_word(F.get("a", i - 1))
+
+        def run(n: int) -> Column:
+            closes = _word(F.get("a", i + (n - 1))) | ~_word(F.get("a", i + n))
             begins = x.isin(first[n]) if small else F.lit(True)
             whole = F.array_join(F.slice("a", i + 1, F.lit(n)), "") if n > 1 else x
-            return F.when(begins & (i + n <= F.size("a")) & free, F.struct(i.alias("i"), whole.alias("term")))
+            return F.when(begins & (i + n <= F.size("a")) & opens & closes, F.struct(i.alias("i"), whole.alias("term")))
 
-        return F.filter(F.transform("a", at), lambda s: s.isNotNull())
+        return F.array_compact(F.array(*[run(n) for n in sizes]))
 
-    grams = base.select(key, F.explode(F.concat(*[run(n) for n in sizes])).alias("g")).select(key, "g.i", "g.term")
+    met_runs = F.flatten(F.transform(starts, runs))
+    grams = base.select(key, F.explode(met_runs).alias("g")).select(key, "g.i", "g.term")
     # a term may overlap itself if an end of it is a beginning of it
     ends = F.exists(F.sequence(F.lit(1), F.greatest(F.size("a") - 1, F.lit(1))), lambda m: (F.size("a") > 1) & (F.slice("a", 1, m) == F.slice("a", F.size("a") - m + 1, m)))
     listed = cut.select("term", F.size("a").alias("size"), ends.alias("bordered"))
@@ -86,7 +98,7 @@ def term_hits(docs: DataFrame, key: str, text: Column, terms: DataFrame) -> Data
     step = lambda s, i: F.when(i >= s["free"], F.struct((s["n"] + 1).alias("n"), (i + F.col("size")).alias("free"))).otherwise(s)
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("free"))
     places = met.where("bordered").groupBy(key, "term").agg(F.array_sort(F.collect_list("i")).alias("at"), F.first("size").alias("size"))
-    return plain.unionByName(places.select(key, "term", F.aggregate("at", start, step)["n"].alias("n")))
+    return alone.unionByName(plain).unionByName(places.select(key, "term", F.aggregate("at", start, step)["n"].alias("n")))
 
 
 def scores(docs: DataFrame, key: str, text: Column, lex: DataFrame, rewrites: dict[str, str] = REWRITES) -> DataFrame:

@@ -10,9 +10,9 @@ from lexloom.session import kept
 
 def overview(docs: DataFrame, tokens: Column, **conditions: Column) -> DataFrame:
     """One row: documents, tokens, types, type/token ratio, mean, median and deviation of length, counts of conditions."""
-    sized = docs.select(tokens.alias("tokens"), *[c.alias(k) for k, c in conditions.items()]).withColumn("n", F.size("tokens"))
-    middle = quantiles(sized.select("n").withColumn("all", F.lit(0)), "all", "n", [0.5]).agg(F.max("value")).scalar()
-    types = sized.select(F.explode("tokens").alias("t")).agg(F.count_distinct(F.lower("t"))).scalar()
+    sized = kept(docs.select(F.size(tokens).alias("n"), *[c.alias(k) for k, c in conditions.items()]), "sizes")
+    middle = quantiles(sized.select("n", F.lit(0).alias("all")), "all", "n", [0.5]).agg(F.max("value")).scalar()
+    types = docs.select(F.explode(tokens).alias("t")).agg(F.count_distinct(F.lower("t"))).scalar()
     out = sized.agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.avg("n").alias("mean_tokens"), middle.alias("median_tokens"),
         F.stddev("n").alias("sd_tokens"), *[F.count_if(F.col(k)).alias(k) for k in conditions],
