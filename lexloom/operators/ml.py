@@ -7,11 +7,13 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lexloom.operators.neighbours import nearest, sparse_nearest, vote
+from lexloom.session import kept
 
 __all__ = ["nearest", "sparse_nearest", "vote"]
 
@@ -73,13 +75,16 @@ def as_vector(column: str) -> Column:
 
 
 def sparse_vectors(weights: DataFrame, key: str, vocabulary: list[str]) -> DataFrame:
-    """(key, features) of a long table (key, term, weight); places are those of ``vocabulary``, which is bounded by its fit."""
+    """(key, features), stored, of a long table (key, term, weight); places are those of ``vocabulary``, which is bounded by its fit.
+
+    The vectors are put together as the columns that Spark stores a vector as, and read back as vectors.
+    """
     spark = weights.sparkSession
     places = spark.createDataFrame(list(enumerate(vocabulary)), "place int, term string")
-    width = len(vocabulary)
-    vector = F.udf(lambda pairs: SparseVector(width, [(p.place, p.weight) for p in pairs]), VectorUDT())
-    rows = weights.join(F.broadcast(places), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("pairs"))
-    return rows.select(key, vector("pairs").alias("features"))
+    rows = weights.join(F.broadcast(places), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("p"))
+    parts = [F.lit(0).cast("tinyint").alias("type"), F.lit(len(vocabulary)).alias("size"), F.transform("p", lambda x: x["place"]).alias("indices"), F.transform("p", lambda x: x["weight"]).alias("values")]
+    listed = rows.select(key, F.struct(*parts).alias("features"))
+    return kept(listed, "vectors", StructType([listed.schema[key], StructField("features", VectorUDT())]))
 
 
 def top_coefficients(model: LogisticRegression, terms: list[str], k: int = 10) -> list[tuple[int, str, float]]:

@@ -651,7 +651,7 @@ def _text_model(spark: SparkSession, sf_dir: str):
     """(model, test rows with features, vocabulary): quality by TF-IDF and balanced logistic regression."""
     split, weights = _text_weights(spark, sf_dir)
     vocabulary = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]
-    rows = split.select("doc_id", "quality", "is_test").join(ml.sparse_vectors(weights, "doc_id", vocabulary), "doc_id").persist()
+    rows = split.select("doc_id", "quality", "is_test").join(ml.sparse_vectors(weights, "doc_id", vocabulary), "doc_id")
     return ml.logistic(rows.where("not is_test"), "features", "quality", c=1.0, max_iter=2_000), rows.where("is_test"), vocabulary
 
 

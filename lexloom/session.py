@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def session(app: str = "lexloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,11 +41,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared_dir(spark)
 
 
-def kept(df: DataFrame, label: str = "kept") -> DataFrame:
-    """``df`` as Parquet in the shared folder: what is read several times is computed once, by columns, and survives lost executors."""
+def kept(df: DataFrame, label: str = "kept", schema: StructType | None = None) -> DataFrame:
+    """``df`` as Parquet in the shared folder: what is read several times is computed once, by columns, and survives lost executors.
+
+    ``schema`` reads it as types that are stored as those of ``df``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexloom-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
