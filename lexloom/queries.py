@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.functions.vectors import cosine
-from lexloom.operators import automata, dedup, exams, lexicon, lines, markup, ml, quality, stats, tfidf
+from lexloom.operators import automata, dedup, exams, lexicon, lines, markup, ml, quality, stats, sweep, tfidf
+from lexloom.operators.sweep import Setting
 from lexloom.plans import corpus
 from lexloom.session import kept, shared_dir
 from lexloom.streaming.score import tumbling
@@ -679,6 +680,73 @@ def errors_all_models(spark, sf_dir):
     return _predicted(spark, sf_dir).join(other, "vec_id").where("predicted <> truth and logreg <> truth")
 
 
+def _mean_vectors(rows: DataFrame, key: str, tokens: Column, width: int = 48) -> DataFrame:
+    """(key, v): the mean of a text's static word vectors. Without a pretrained model, a word's vector is signs drawn by its hash."""
+    h = F.xxhash64("w")
+    means = [F.avg(F.when(F.getbit(h, F.lit(i)) == 1, 1.0).otherwise(-1.0)) for i in range(width)]
+    return rows.select(key, F.explode(tokens).alias("w")).groupBy(key).agg(F.array(*means).alias("v"))
+
+
+def joint_errors(predictions: list[tuple[str, DataFrame]], truth: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """(key, truth, one column a model, preview): the rows that every model misses. truth: key, truth; texts: key, text."""
+    out = truth
+    for name, df in predictions:
+        out = out.join(df.select(key, F.col("predicted").cast("int").alias(name)), key).where(F.col(name) != F.col("truth"))
+    return stats.error_report(out, texts, key, "text")
+
+
+def _three_models(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    """(name, (doc_id, predicted)) on the test rows of the text split: logistic and neighbours on TF-IDF, logistic on mean vectors."""
+    model, test, _ = _text_model(spark, sf_dir)
+    by_terms = model.transform(test).select("doc_id", F.col("prediction").alias("predicted"))
+    by_near = knn_text(spark, sf_dir).select("doc_id", "predicted")
+    d = documents(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    split = ml.stratified_split(d, "doc_id", "quality")
+    vectors = kept(_mean_vectors(split, "doc_id", T.words(F.lower("text"))).join(split.select("doc_id", "quality", "is_test"), "doc_id"), "means").withColumn("x", ml.as_vector("v"))
+    dense = ml.logistic(vectors.where("not is_test"), "x", "quality", c=0.1, max_iter=3_000, scale=True)
+    by_means = dense.transform(vectors.where("is_test")).select("doc_id", F.col("prediction").alias("predicted"))
+    return [("tfidf_logreg", by_terms), ("tfidf_knn", by_near), ("means_logreg", by_means)]
+
+
+@query()
+def errors_three_models(spark, sf_dir):
+    """Test documents that all three models miss, with the beginning of their texts."""
+    d = documents(spark, sf_dir)
+    truth = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("truth"))
+    return joint_errors(_three_models(spark, sf_dir), truth, d, "doc_id")
+
+
+#: Vectoriser settings that are compared: vocabulary sizes, pairs of words, frequent terms left out.
+SETTINGS = [Setting("200", 200), Setting("1000", 1000), Setting("1000 with pairs", 1000, bigrams=True), Setting("1000 up to 0.3", 1000, max_df=0.3)]
+_SETTINGS = ", ".join(f"('{s.name}', {s.size}, {str(s.bigrams).lower()}, {s.max_df})" for s in SETTINGS)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, quality, list_filter({_ALPHA}, lambda w: length(w) >= 2 AND w NOT IN {_STOP}) AS t, (row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || '-42'), doc_id) - 1) % 5 AS fold FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT doc_id, fold, quality, term, pair, count(*) AS tf FROM (SELECT doc_id, fold, quality, unnest(t) AS term, false AS pair FROM d
+      UNION ALL SELECT doc_id, fold, quality, t[i] || ' ' || t[i + 1], true FROM (SELECT *, unnest(range(1, len(t))) AS i FROM d)) GROUP BY ALL),
+o AS (SELECT f.fold AS out, term, pair, count(*) AS df, sum(tf) AS tf, any_value(f.n) AS n FROM c JOIN (SELECT a.fold, count(*) AS n FROM (SELECT DISTINCT fold FROM d) a JOIN d ON d.fold <> a.fold GROUP BY a.fold) f ON c.fold <> f.fold GROUP BY ALL),
+s(setting, size, bigrams, max_df) AS (VALUES {_SETTINGS}),
+v AS (SELECT setting, out, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM o, s WHERE (bigrams OR NOT pair) AND df <= max_df * n QUALIFY row_number() OVER (PARTITION BY setting, out ORDER BY tf DESC, term) <= size),
+u AS (SELECT setting, out, doc_id, fold, quality, term, (1 + ln(tf)) * idf AS w FROM c JOIN v USING (term)),
+x AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY setting, out, doc_id)) AS weight FROM u),
+p AS (SELECT a.setting, a.out, a.doc_id, a.quality AS truth, b.doc_id AS nb, b.quality, round_even(sum(a.weight * b.weight), 12) AS dot FROM x a JOIN x b ON a.setting = b.setting AND a.out = b.out AND a.term = b.term AND a.fold = a.out AND b.fold <> b.out GROUP BY ALL),
+nn AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY setting, out, doc_id ORDER BY dot DESC, nb) <= 3),
+vt AS (SELECT setting, out, doc_id, truth, quality, count(*) AS n FROM nn GROUP BY ALL),
+pr AS (SELECT setting, out, doc_id, truth, arg_min(quality, (-n, quality)) AS predicted FROM vt GROUP BY ALL),
+l AS (SELECT setting, out, truth, predicted, unnest(list_distinct([truth, predicted])) AS label FROM pr),
+f AS (SELECT setting, out, label, 2 * count(*) FILTER (truth = label AND predicted = label) / (count(*) FILTER (predicted = label) + count(*) FILTER (truth = label)) AS f1 FROM l GROUP BY ALL),
+m AS (SELECT setting, out, avg(f1) AS f1 FROM f GROUP BY ALL)
+SELECT setting, round(avg(f1), 6) AS macro_f1, count(*) AS n_folds FROM m GROUP BY setting""")
+def cv_sweep(spark, sf_dir):
+    """Cross-validated macro F1 of quality by nearest neighbours in TF-IDF, for each vectoriser setting."""
+    d = documents(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    tokens = F.filter(T.words(F.lower("text")), lambda w: (F.length(w) >= 2) & ~w.isin(STOP))
+    votes = sweep.neighbour_votes(ml.folds(d, "doc_id", "quality"), "doc_id", "fold", "quality", tokens, SETTINGS)
+    by_fold = sweep.macro_f1(votes, "setting", "fold")
+    return rounded(by_fold.groupBy("setting").agg(F.avg("macro_f1").alias("macro_f1"), F.count(F.lit(1)).alias("n_folds")), "macro_f1")
+
+
 # --- records and the corpus made of them
 
 
