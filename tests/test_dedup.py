@@ -96,7 +96,7 @@ def keyed(spark, rows, prefix=12):
 def test_pairs_and_leaders_match_the_greedy_pass(spark, monkeypatch, wide):
     monkeypatch.setattr(dedup, "WIDE", wide)
     monkeypatch.setattr(dedup, "CHUNK_TEXTS", 5)
-    rows = records(110, random.Random(wide))
+    rows = records(80, random.Random(wide))
     led, pairs = greedy(rows, 12)
     df = keyed(spark, rows)
     got = dedup.similar_pairs(df, "position").collect()
