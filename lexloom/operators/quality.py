@@ -69,7 +69,13 @@ def text_flags(text: Column | str = "text") -> Column:
     ])
 
 
+def branched(df: DataFrame, reasons: str, discard: list[str] = FLAGS) -> DataFrame:
+    """Rows with ``branch``, kept or discarded, and the reasons in ``discard`` alone: both branches by one evaluation."""
+    cut = df.withColumn(reasons, F.array_intersect(reasons, F.array(*map(F.lit, discard))))
+    return cut.withColumn("branch", F.when(F.size(reasons) == 0, "kept").otherwise("discarded"))
+
+
 def keep_discard(df: DataFrame, reasons: str, discard: list[str] = FLAGS) -> tuple[DataFrame, DataFrame]:
     """(kept, discarded): rows without and with a reason in ``discard``; the discarded keep those reasons, in order."""
-    cut = df.withColumn(reasons, F.array_intersect(reasons, F.array(*map(F.lit, discard))))
-    return cut.where(F.size(reasons) == 0), cut.where(F.size(reasons) > 0)
+    cut = branched(df, reasons, discard)
+    return cut.where("branch = 'kept'").drop("branch"), cut.where("branch = 'discarded'").drop("branch")

@@ -294,8 +294,7 @@ WITH f AS (SELECT doc_id, len(list_filter({_FLAGS}, lambda x: x <> 'espaco_de_si
 SELECT CASE WHEN bad THEN 'discarded' ELSE 'kept' END AS branch, quality, count(*) AS n FROM f LEFT JOIN labels USING (doc_id) GROUP BY ALL""")
 def keep_discard_split(spark, sf_dir):
     flagged = documents(spark, sf_dir).select("doc_id", quality.text_flags("text").alias("reasons"))
-    kept, gone = quality.keep_discard(flagged, "reasons", [f for f in quality.FLAGS if f != "espaco_de_simbolo_perdido"])
-    both = kept.select("doc_id", F.lit("kept").alias("branch")).unionByName(gone.select("doc_id", F.lit("discarded").alias("branch")))
+    both = quality.branched(flagged, "reasons", [f for f in quality.FLAGS if f != "espaco_de_simbolo_perdido"]).select("doc_id", "branch")
     return both.join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("branch", "quality").agg(F.count(F.lit(1)).alias("n"))
 
 
