@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from lexloom.operators.neighbours import nearest, sparse_nearest, vote
+from lexloom.operators.neighbours import nearest, sparse_nearest, vectors_nearest, vote
 from lexloom.session import kept
 
-__all__ = ["nearest", "sparse_nearest", "vote"]
+__all__ = ["nearest", "sparse_nearest", "vectors_nearest", "vote"]
 
 
 def seeded_order(key: Column, seed: int = 42) -> Column:

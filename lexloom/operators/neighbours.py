@@ -6,8 +6,9 @@ then visits only balls that reach into that distance, and within them only rows
 Balls are cut into parts of bounded size, rows and queries meet by part, and a task holds one part. What the driver reads
 are the pivots and a radius for each.
 
-Sparse: a query's terms go from rare to frequent. The greatest weights of the terms that are left bound what a row can
-still gain that shares none of the terms so far; once this is under the k-th best sum found, no new row need be met.
+Sparse: rows with equal vectors are one. Training rows and queries are dealt to chunks of bounded size, and each pair of
+chunks meets in a task: it holds the vectors of one, streams those of the other past them, and returns the k best it has.
+All pairs of different vectors are summed, so the work is quadratic; memory and what a task reads are bounded.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ from lexloom.session import kept
 PIVOTS, PART_ROWS = 256, 2048
 #: Distances and sums are compared with this much room, so that rounding loses no neighbour.
 ROOM = 1e-9
-#: Postings that a query reads for its first bound, at least.
-PROBE = 256
+#: Sparse rows of one chunk, as training rows and as queries, and postings, on average.
+CHUNK_TRAIN, CHUNK_TEST, CHUNK_POSTINGS = 16_384, 8_192, 3 << 20
+#: Terms and cells of a dense matrix at most. A sum of single postings costs as much as so many of the matrix.
+DENSE_TERMS, DENSE_CELLS, DENSE_GAIN = 2_048, 12 << 20, 300
+#: Queries that are summed at a time, and single postings of them.
+PROBE, SLICE_SUMS = 128, 3 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -157,30 +162,150 @@ def nearest(train: DataFrame, test: DataFrame, key: str, vector: str, label: str
     return _top(every, k).join(labels, "neighbour").select(F.col("id").alias(key), "neighbour", "label", "distance", "rank")
 
 
-def _dots(pairs: DataFrame, asked: DataFrame, known: DataFrame, kind: str) -> DataFrame:
-    """(q, neighbour, dot) of pairs (q, neighbour), from whole vectors (id, at, w): sorted term numbers and weights."""
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all runs that begin at ``starts``, one after the other."""
+    return np.repeat(starts - _starts(lengths)[:-1], lengths) + np.arange(lengths.sum())
+
+
+class Held:
+    """Vectors of one chunk, and the k best of them for each of a stream of queries.
+
+    Terms that many rows have are columns of a dense matrix, the others are postings. Both are summed in single precision,
+    which turns down all rows but those within its error of the k-th best; these are summed anew in double precision.
+    """
+
+    def __init__(self, sizes: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+        self.n, self.starts, self.w = len(sizes), _starts(sizes), w
+        self.names, self.at, df = np.unique(at, return_inverse=True, return_counts=True)
+        most = max(1, min(DENSE_TERMS, DENSE_CELLS // max(1, self.n)))
+        often = np.argsort(-df, kind="stable")[:most]
+        often = often[df[often] ** 2 * DENSE_GAIN > self.n**2]
+        self.column = np.full(len(df), -1)
+        self.column[often] = np.arange(len(often))
+        row = np.repeat(np.arange(self.n), sizes)
+        place = self.column[self.at]
+        self.dense = np.zeros((len(often), self.n), np.float32)
+        self.dense[place[place >= 0], row[place >= 0]] = w[place >= 0]
+        rare = np.nonzero(place < 0)[0]
+        rare = rare[np.argsort(self.at[rare], kind="stable")]
+        self.rows, self.weights = row[rare].astype(np.int32), w[rare].astype(np.float32)
+        self.df = np.where(self.column < 0, df, 0)
+        self.lists = _starts(self.df)
+
+    def best(self, sizes: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, allowed=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, rows, dots): the k greatest dots over 0, rounded to 12 digits; ties go to the smaller row.
+
+        ``allowed`` of two row numbers (slices of queries, all rows) is what may meet; by default all.
+        """
+        if not self.n or not len(self.names):
+            return
+        term = np.minimum(np.searchsorted(self.names, at), len(self.names) - 1)
+        fits = self.names[term] == at
+        owner = np.repeat(np.arange(len(sizes)), sizes)[fits]
+        term, w = term[fits], w[fits]
+        starts = np.searchsorted(owner, np.arange(len(sizes) + 1))
+        work = _starts(self.df[term])[starts]
+        buffer = np.zeros(len(self.names))
+        lo = 0
+        while lo < len(sizes):
+            hi = lo + 1
+            while hi < len(sizes) and hi - lo < PROBE and work[hi + 1] - work[lo] <= SLICE_SUMS:
+                hi += 1
+            part = slice(starts[lo], starts[hi])
+            t, x, r = term[part], w[part], owner[part] - lo
+            q = np.zeros((hi - lo, len(self.dense)), np.float32)
+            c = self.column[t]
+            q[r[c >= 0], c[c >= 0]] = x[c >= 0]
+            sums = q @ self.dense if len(self.dense) else np.zeros((hi - lo, self.n), np.float32)
+            rare = c < 0
+            lengths = self.df[t[rare]]
+            places = _spread(self.lists[t[rare]], lengths)
+            cells = np.repeat(r[rare] * self.n, lengths) + self.rows[places]
+            np.add.at(sums.ravel(), cells, np.repeat(x[rare].astype(np.float32), lengths) * self.weights[places])
+            if allowed is not None:
+                sums[~allowed(slice(lo, hi))] = 0
+            kth = np.partition(sums, self.n - k, axis=1)[:, self.n - k] if self.n > k else np.zeros(hi - lo, np.float32)
+            # two sums of n products each, of vectors of length 1, are wrong by (n + 3) half units in the last place at most
+            floor = kth - 2.1 * (starts[lo + 1 : hi + 1] - starts[lo:hi] + 4) * 2.0**-24
+            found = np.flatnonzero((sums >= floor[:, None]) & (sums > 0))
+            edges = np.searchsorted(found, np.arange(hi - lo + 1) * self.n)
+            for i in range(hi - lo):
+                rows = found[edges[i] : edges[i + 1]] - i * self.n
+                if not len(rows):
+                    continue
+                mine = slice(starts[lo + i], starts[lo + i + 1])
+                buffer[term[mine]] = w[mine]
+                lengths = self.starts[rows + 1] - self.starts[rows]
+                places = _spread(self.starts[rows], lengths)
+                dots = np.round(np.add.reduceat(self.w[places] * buffer[self.at[places]], _starts(lengths)[:-1]), 12)
+                buffer[term[mine]] = 0
+                order = np.lexsort((rows, -dots))[:k]
+                order = order[dots[order] > 0]
+                yield lo + i, rows[order], dots[order]
+            lo = hi
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values) of a column of lists."""
+    return np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def runs(names: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of equal neighbours."""
+    edges = np.concatenate([[0], np.nonzero(names[1:] != names[:-1])[0] + 1, [len(names)]])
+    return ((int(lo), int(hi)) for lo, hi in zip(edges, edges[1:]) if lo < hi)
+
+
+def _met(k: int, kind: pa.DataType):
+    """What is applied to rows (g, query, id, at, w), a group's training rows by id before its queries: k best a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, ids, ready = None, [], [], None
         for batch in batches:
-            out = []
-            columns = [batch.column(i) for i in range(6)]
-            for i in range(batch.num_rows):
-                a, x, b, y = (columns[j][i].values.to_numpy(zero_copy_only=False) for j in range(2, 6))
-                _, p, q = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-                out.append(math.fsum((x[p] * y[q]).tolist()))
-            if out:
-                yield pa.record_batch([columns[0], columns[1], pa.array(out)], names=["q", "neighbour", "dot"])
+            if not batch.num_rows:
+                continue
+            for lo, hi in runs(batch.column(0).to_numpy()):
+                if batch.column(0)[lo].as_py() != group:
+                    group, held, ids, ready = batch.column(0)[lo].as_py(), [], [], None
+                part = batch.slice(lo, hi - lo)
+                n = int((~part.column(1).to_numpy(zero_copy_only=False)).sum())
+                if n:
+                    held.append(_lists(part.column(3).slice(0, n)) + _lists(part.column(4).slice(0, n))[1:])
+                    ids += part.column(2).slice(0, n).to_pylist()
+                if n == hi - lo or not held:
+                    continue
+                ready = ready or Held(*(np.concatenate(x) for x in zip(*held)))
+                asks = part.column(2).slice(n).to_pylist()
+                out = ([], [], [])
+                for q, rows, dots in ready.best(*_lists(part.column(3).slice(n)), _lists(part.column(4).slice(n))[1], k):
+                    out[0].extend([asks[q]] * len(rows))
+                    out[1].extend(ids[j] for j in rows)
+                    out[2].extend(dots.tolist())
+                if out[0]:
+                    yield pa.record_batch([pa.array(out[0], kind), pa.array(out[1], kind), pa.array(out[2])], names=["q", "rep", "dot"])
+
+    return run
+
 
-    vector = lambda df, key, a, w: df.select(F.col("id").alias(key), F.col("at").alias(a), F.col("w").alias(w))
-    full = pairs.join(vector(known, "neighbour", "b", "y"), "neighbour").join(vector(asked, "q", "a", "x"), "q")
-    return full.select("q", "neighbour", "a", "x", "b", "y").mapInArrow(run, f"q {kind}, neighbour {kind}, dot double")
+def chunks(n: int, postings: int, rows: int, most: int = CHUNK_POSTINGS) -> int:
+    """Chunks of so many rows and postings on average."""
+    return max(1, -(-n // rows), -(-postings // most))
 
 
-def _whole(weights: DataFrame, key: str) -> DataFrame:
-    """(id, at, w): each row's vector, its terms as 64-bit hashes in order. Terms of one row that share a hash would be added up."""
-    terms = weights.groupBy(F.col(key).alias("id"), F.xxhash64("term").alias("at")).agg(F.sum("weight").alias("w"))
-    listed = terms.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("v"))
-    return listed.select("id", F.col("v.at").alias("at"), F.col("v.w").alias("w"))
+def _classes(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(vectors (id, at, w) of the first row of each class of equal ones, members (rep, member): the k first of each)."""
+    text = lambda c: F.col(c).cast("array<string>")
+    keyed = kept(vectors.withColumn("d", F.unhex(F.sha2(F.concat_ws(",", text("at"), text("w")).cast("binary"), 256))), "vectors")
+    first = kept(keyed.groupBy("d").agg(F.min("id").alias("rep")), "first")
+    members = keyed.select("id", "d").join(first, "d").select("rep", F.col("id").alias("member"))
+    if k:
+        members = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("member"))).where(F.col("r") <= k).drop("r")
+    members = kept(members, "members")
+    return keyed.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "at", "w"), members
 
 
 def sparse_nearest(train: DataFrame, test: DataFrame, key: str, k: int = 3, train_keys: DataFrame | None = None, test_keys: DataFrame | None = None) -> DataFrame:
@@ -191,37 +316,34 @@ def sparse_nearest(train: DataFrame, test: DataFrame, key: str, k: int = 3, trai
     they are those of the tables. What shares no term with a query has dot 0, and is a neighbour where fewer than k rows
     share one.
     """
-    kind = dict(train.dtypes)[key]
-    ids = lambda df: df.select(F.col(key).alias("id")).where("id is not null").distinct()
-    all_known, all_asked = kept(ids(train if train_keys is None else train_keys), "known-ids"), kept(ids(test if test_keys is None else test_keys), "asked-ids")
-    postings = kept(train.select(F.col(key).alias("neighbour"), "term", F.col("weight").alias("b")), "postings")
-    terms = kept(postings.groupBy("term").agg(F.max("b").alias("most"), F.count(F.lit(1)).alias("df")), "terms")
-    rare_first = Window.partitionBy("q").orderBy("df", "term")
-    after = rare_first.rowsBetween(1, Window.unboundedFollowing)
-    before = rare_first.rowsBetween(Window.unboundedPreceding, -1)
-    asked = test.select(F.col(key).alias("q"), "term", F.col("weight").alias("a")).join(terms, "term")
-    asked = kept(
-        asked.select(
-            "q", "term", "a", F.coalesce(F.sum(F.col("a") * F.col("most")).over(after), F.lit(0.0)).alias("left_over"), F.coalesce(F.sum("df").over(before), F.lit(0)).alias("read"),
-            (F.col("a") * F.col("most")).alias("own"),
-        ),
-        "asked",
-    )
+    whole = lambda df: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("v"))
+    keys = lambda df, named: (df if named is None else named).select(key).where(f"{key} is not null").distinct()
+    return vectors_nearest(whole(train), whole(test), key, "v", k, keys(train, train_keys), keys(test, test_keys))
+
 
-    def summed(part: DataFrame) -> DataFrame:
-        return part.select("q", "term", "a").join(postings, "term").groupBy("q", "neighbour").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-
-    kth = Window.partitionBy("q").orderBy(F.col("dot").desc(), "neighbour")
-    probed = summed(asked.where(F.col("read") < PROBE)).withColumn("r", F.row_number().over(kth)).where(F.col("r") == k)
-    bounds = kept(probed.select("q", (F.col("dot") - ROOM).alias("least")), "bounds")
-    # a term is needed while a row that shares it first, and all terms after it, may reach the bound
-    bounded = asked.join(bounds, "q", "left").withColumn("least", F.coalesce("least", F.lit(-1.0)))
-    needed = kept(bounded.where(F.col("own") + F.col("left_over") >= F.col("least")), "needed")
-    rest = kept(needed.groupBy("q").agg(F.min("left_over").alias("left_over"), F.first("least").alias("least")), "left-over")
-    met = summed(needed).join(rest, "q").where(F.col("dot") + F.col("left_over") >= F.col("least")).select("q", "neighbour")
-    known, queries = kept(_whole(train, key), "vectors"), kept(_whole(test, key), "queries")
-    dots = kept(_dots(kept(met, "met"), queries, known, kind).withColumn("dot", F.bround("dot", 12)).where("dot > 0"), "dots")
-    top = dots.withColumn("rank", F.row_number().over(kth)).where(F.col("rank") <= k)
+def vectors_nearest(train: DataFrame, test: DataFrame, key: str, vector: str, k: int, train_keys: DataFrame, test_keys: DataFrame) -> DataFrame:
+    """As ``sparse_nearest``, of one row a key: key, and ``vector`` as structs (term, weight) in the order of terms. Keys are all, once each."""
+    kind = dict(train.dtypes)[key]
+    all_known, all_asked = train_keys.select(F.col(key).alias("id")), test_keys.select(F.col(key).alias("id"))
+    # terms are 64-bit hashes from here on; equal ones of one row would count once
+    hashed = lambda df: df.select(F.col(key).alias("id"), F.transform(vector, lambda x: F.xxhash64(x["term"])).alias("at"), F.col(f"{vector}.weight").alias("w"))
+    (known, like), (asked, alike) = _classes(hashed(train), k), _classes(hashed(test), 0)
+    n, m = (df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("at")), F.lit(0))).first() for df in (known, asked))
+    c, e = chunks(n[0], n[1], CHUNK_TRAIN), chunks(m[0], m[1], CHUNK_TEST)
+    # small tables too are work for all cores
+    c = max(c, min(-(-n[0] // 1024), -(-2 * train.sparkSession.sparkContext.defaultParallelism // e)))
+    dealt = lambda df, own, other, g, query: df.select(
+        F.pmod(F.xxhash64("id"), F.lit(own)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("j"), "id", "at", "w"
+    ).select(g.cast("int").alias("g"), F.lit(query).alias("query"), "id", "at", "w")
+    both = dealt(known, c, e, F.col("i") * e + F.col("j"), False).unionByName(dealt(asked, e, c, F.col("j") * e + F.col("i"), True))
+    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    met = both.repartitionById(c * e, F.col("g")).sortWithinPartitions("g", "query", "id").mapInArrow(_met(k, arrow), f"q {kind}, rep {kind}, dot double")
+    kth = Window.partitionBy("q").orderBy(F.col("dot").desc(), "rep")
+    met = kept(met.withColumn("dot", F.bround("dot", 12)).withColumn("r", F.row_number().over(kth)).where(F.col("r") <= k).drop("r"), "met")
+    # among the members of k classes are the k neighbours; queries with equal vectors have the same ones
+    each = met.join(like, "rep").select("q", F.col("member").alias("neighbour"), "dot")
+    first_k = each.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("dot").desc(), "neighbour"))).where(F.col("rank") <= k)
+    top = kept(first_k.join(alike.withColumnRenamed("rep", "q"), "q").select(F.col("member").alias("q"), "neighbour", "dot", "rank"), "top")
     held = top.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.collect_set("neighbour").alias("has"))
     short = all_asked.select(F.col("id").alias("q")).join(held, "q", "left").where("n is null or n < %d" % k)
     first = [r["id"] for r in all_known.orderBy("id").limit(2 * k).collect()]

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(docs: DataFrame, key: str, tokens: Column, *more: str) -> DataFrame:
+    """(key, more, term, tf). ``more`` are columns that a key has once."""
+    return docs.select(key, *more, F.explode(tokens).alias("term")).groupBy(key, *more, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def fit(counts: DataFrame, key: str, n_docs: Column, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None, stopwords: DataFrame | None = None) -> DataFrame:
@@ -21,11 +22,23 @@ def fit(counts: DataFrame, key: str, n_docs: Column, min_df: int = 1, max_df: fl
     return terms.select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def vectors(counts: DataFrame, key: str, idf: DataFrame, *more: str) -> DataFrame:
+    """(key, more, v): each row's terms, in order, with their weights; terms that were not fitted are dropped before the norm.
+
+    Squares are added up in the order of the terms, so that equal counts have equal weights to the last bit. ``more`` are
+    columns of ``counts`` that a key has once.
+    """
+    w = counts.join(idf, "term").select(key, *more, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    listed = w.groupBy(key, *more).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    # the norm is an argument of the inner function, else Spark would work it out for each term anew
+    divided = F.transform(F.array(norm), lambda n: F.transform("v", lambda x: F.struct(x["term"].alias("term"), (x["w"] / n).alias("weight"))))
+    return listed.select(key, *more, F.get(divided, F.lit(0)).alias("v"))
+
+
 def transform(counts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
-    """(key, term, weight); terms that were not fitted are dropped before the norm."""
-    w = counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    """(key, term, weight) of ``vectors``."""
+    return vectors(counts, key, idf).select(key, F.inline("v"))
 
 
 def mean_weights(weights: DataFrame, n_docs: Column) -> DataFrame:

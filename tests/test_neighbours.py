@@ -83,3 +83,27 @@ def test_sparse_neighbours_match_all_dots(spark, monkeypatch, probe):
 def test_vote_goes_to_the_smallest_label(spark):
     df = spark.createDataFrame([(1, 5), (1, 2), (2, 7), (2, 7), (2, 1)], "id long, label int")
     assert {r.id: r.predicted for r in N.vote(df, "id").collect()} == {1: 2, 2: 7} and F is not None
+
+
+def test_copies_meet_once_and_chunks_lose_no_neighbour(spark, monkeypatch):
+    for name, value in (("CHUNK_TRAIN", 20), ("CHUNK_TEST", 9), ("CHUNK_POSTINGS", 150), ("SLICE_SUMS", 40), ("DENSE_TERMS", 3)):
+        monkeypatch.setattr(N, name, value)
+    rng = random.Random(5)
+    met = []
+    monkeypatch.setattr(N, "_classes", lambda v, k, real=N._classes: (lambda out: (met.append(out[0].count()), out)[1])(real(v, k)))
+
+    def vector():
+        terms = {f"t{min(int(rng.expovariate(0.15)), 60)}": rng.random() + 0.05 for _ in range(rng.randint(1, 12))}
+        norm = math.sqrt(sum(w * w for w in terms.values()))
+        return {t: w / norm for t, w in terms.items()}
+
+    base = [vector() for _ in range(60)]
+    train = {i: base[i % 60 if i < 60 else 4] for i in range(160)}  # 101 rows are one vector
+    test = {1000 + i: vector() if i < 30 else base[4] for i in range(60)}
+    table = lambda x: spark.createDataFrame([(i, t, w) for i, v in x.items() for t, w in v.items()], "id long, term string, weight double")
+    got = {(r.id, r["rank"]): r.neighbour for r in N.sparse_nearest(table(train), table(test), "id", 3).collect()}
+    want = {}
+    for q, v in test.items():
+        dots = sorted((-round(math.fsum(v[t] * x[t] for t in v if t in x), 12), d) for d, x in train.items())[:3]
+        want |= {(q, r + 1): d for r, (_, d) in enumerate(dots)}
+    assert got == want and met[0] <= 60 and met[1] <= 31
