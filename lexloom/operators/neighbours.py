@@ -297,15 +297,15 @@ def chunks(n: int, postings: int, rows: int, most: int = CHUNK_POSTINGS) -> int:
 
 
 def _classes(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(vectors (id, at, w) of the first row of each class of equal ones, members (rep, member): the k first of each)."""
+    """(vectors (id, s, at, w) of the first row of each class of equal ones in a group s, members (rep, member): the k first of each)."""
     text = lambda c: F.col(c).cast("array<string>")
-    keyed = kept(vectors.withColumn("d", F.unhex(F.sha2(F.concat_ws(",", text("at"), text("w")).cast("binary"), 256))), "vectors")
+    keyed = kept(vectors.withColumn("d", F.unhex(F.sha2(F.concat_ws(",", F.col("s").cast("string"), text("at"), text("w")).cast("binary"), 256))), "vectors")
     first = kept(keyed.groupBy("d").agg(F.min("id").alias("rep")), "first")
     members = keyed.select("id", "d").join(first, "d").select("rep", F.col("id").alias("member"))
     if k:
         members = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("member"))).where(F.col("r") <= k).drop("r")
     members = kept(members, "members")
-    return keyed.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "at", "w"), members
+    return keyed.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "s", "at", "w"), members
 
 
 def sparse_nearest(train: DataFrame, test: DataFrame, key: str, k: int = 3, train_keys: DataFrame | None = None, test_keys: DataFrame | None = None) -> DataFrame:
@@ -321,29 +321,35 @@ def sparse_nearest(train: DataFrame, test: DataFrame, key: str, k: int = 3, trai
     return vectors_nearest(whole(train), whole(test), key, "v", k, keys(train, train_keys), keys(test, test_keys))
 
 
-def vectors_nearest(train: DataFrame, test: DataFrame, key: str, vector: str, k: int, train_keys: DataFrame, test_keys: DataFrame) -> DataFrame:
-    """As ``sparse_nearest``, of one row a key: key, and ``vector`` as structs (term, weight) in the order of terms. Keys are all, once each."""
+def best_met(train: DataFrame, test: DataFrame, key: str, vector: str, k: int, group: str | None = None, groups: int = 1) -> DataFrame:
+    """(q, neighbour, dot, rank): the k best of those that share a term. ``group``, from 0 to ``groups`` - 1, tells rows that meet; keys are of one group."""
     kind = dict(train.dtypes)[key]
-    all_known, all_asked = train_keys.select(F.col(key).alias("id")), test_keys.select(F.col(key).alias("id"))
     # terms are 64-bit hashes from here on; equal ones of one row would count once
-    hashed = lambda df: df.select(F.col(key).alias("id"), F.transform(vector, lambda x: F.xxhash64(x["term"])).alias("at"), F.col(f"{vector}.weight").alias("w"))
+    number = F.lit(0) if group is None else F.col(group)
+    hashed = lambda df: df.select(F.col(key).alias("id"), number.cast("int").alias("s"), F.transform(vector, lambda x: F.xxhash64(x["term"])).alias("at"), F.col(f"{vector}.weight").alias("w"))
     (known, like), (asked, alike) = _classes(hashed(train), k), _classes(hashed(test), 0)
     n, m = (df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("at")), F.lit(0))).first() for df in (known, asked))
-    c, e = chunks(n[0], n[1], CHUNK_TRAIN), chunks(m[0], m[1], CHUNK_TEST)
+    c, e = chunks(n[0] // groups, n[1] // groups, CHUNK_TRAIN), chunks(m[0] // groups, m[1] // groups, CHUNK_TEST)
     # small tables too are work for all cores
-    c = max(c, min(-(-n[0] // 1024), -(-2 * train.sparkSession.sparkContext.defaultParallelism // e)))
+    c = max(c, min(-(-n[0] // groups // 1024), -(-2 * train.sparkSession.sparkContext.defaultParallelism // (e * groups))))
     dealt = lambda df, own, other, g, query: df.select(
-        F.pmod(F.xxhash64("id"), F.lit(own)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("j"), "id", "at", "w"
-    ).select(g.cast("int").alias("g"), F.lit(query).alias("query"), "id", "at", "w")
+        F.pmod(F.xxhash64("id"), F.lit(own)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("j"), "s", "id", "at", "w"
+    ).select((F.col("s") * (c * e) + g).cast("int").alias("g"), F.lit(query).alias("query"), "id", "at", "w")
     both = dealt(known, c, e, F.col("i") * e + F.col("j"), False).unionByName(dealt(asked, e, c, F.col("j") * e + F.col("i"), True))
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    met = both.repartitionById(c * e, F.col("g")).sortWithinPartitions("g", "query", "id").mapInArrow(_met(k, arrow), f"q {kind}, rep {kind}, dot double")
+    met = both.repartitionById(groups * c * e, F.col("g")).sortWithinPartitions("g", "query", "id").mapInArrow(_met(k, arrow), f"q {kind}, rep {kind}, dot double")
     kth = Window.partitionBy("q").orderBy(F.col("dot").desc(), "rep")
     met = kept(met.withColumn("dot", F.bround("dot", 12)).withColumn("r", F.row_number().over(kth)).where(F.col("r") <= k).drop("r"), "met")
     # among the members of k classes are the k neighbours; queries with equal vectors have the same ones
     each = met.join(like, "rep").select("q", F.col("member").alias("neighbour"), "dot")
     first_k = each.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("dot").desc(), "neighbour"))).where(F.col("rank") <= k)
-    top = kept(first_k.join(alike.withColumnRenamed("rep", "q"), "q").select(F.col("member").alias("q"), "neighbour", "dot", "rank"), "top")
+    return kept(first_k.join(alike.withColumnRenamed("rep", "q"), "q").select(F.col("member").alias("q"), "neighbour", "dot", "rank"), "top")
+
+
+def vectors_nearest(train: DataFrame, test: DataFrame, key: str, vector: str, k: int, train_keys: DataFrame, test_keys: DataFrame) -> DataFrame:
+    """As ``sparse_nearest``, of one row a key: key, and ``vector`` as structs (term, weight) in the order of terms. Keys are all, once each."""
+    top = best_met(train, test, key, vector, k)
+    kind, all_known, all_asked = dict(train.dtypes)[key], train_keys.select(F.col(key).alias("id")), test_keys.select(F.col(key).alias("id"))
     held = top.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.collect_set("neighbour").alias("has"))
     short = all_asked.select(F.col("id").alias("q")).join(held, "q", "left").where("n is null or n < %d" % k)
     first = [r["id"] for r in all_known.orderBy("id").limit(2 * k).collect()]

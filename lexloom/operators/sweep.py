@@ -1,8 +1,8 @@
 """A cross-validated sweep over vectoriser settings, in one plan.
 
 Terms are counted once by fold. What a fold's training rows hold of a term is the total less the fold's own, so no setting
-and no fold reads the texts again. Settings and folds then go through one neighbour join: keys and terms carry their
-setting and fold, so that rows of one meet only each other.
+and no fold reads the texts again. Settings and folds then go through one neighbour join, in which rows of one setting and
+fold meet only each other.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.operators import neighbours
+from lexloom.operators import neighbours, tfidf
 from lexloom.session import kept
 
 
@@ -59,18 +59,25 @@ def neighbour_votes(rows: DataFrame, key: str, fold: str, label: str, tokens: Co
     Keys are whole numbers of at least 0; names of settings hold no bar. A row that shares no term with a row of the other
     folds has no vote.
     """
-    rows = kept(rows, "rows")
-    counts = kept(counted(rows, key, fold, tokens), "counts")
-    vocabulary = kept(vocabularies(counts, rows.groupBy(fold).agg(F.count(F.lit(1)).alias("n")), fold, settings), "vocabulary")
-    fitted = vocabulary.select("setting", F.col(fold).alias("out"), "term", "idf")
-    w = counts.join(fitted, "term").select("setting", "out", fold, key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("setting", "out", key)))
-    group = F.concat_ws("|", "setting", F.col("out").cast("string"))
-    weights = kept(w.select((F.col(fold) == F.col("out")).alias("asks"), F.concat_ws("|", group, F.lpad(F.col(key).cast("string"), 20, "0")).alias("id"), F.concat_ws("|", group, "term").alias("term"), (F.col("w") / norm).alias("weight")), "weights")
-    part = lambda asks: weights.where(F.col("asks") == asks).drop("asks")
-    near = neighbours.sparse_nearest(part(False), part(True), "id", k, *[part(a).select("id") for a in (False, True)])
-    # where fewer than k rows share a term, the rest are strangers, of other groups too: they have no say
-    near = near.where(F.col("distance") * F.col("distance") < 2 - neighbours.ROOM)
+    # texts are dealt by key, so that neither their terms nor their weights need be
+    rows = kept(rows.repartition(key), "rows")
+    counts = counted(rows, key, fold, tokens)
+    counts = kept(counts.groupBy(key, fold).agg(F.collect_list(F.struct("term", "pair", "tf")).alias("c")), "counts")
+    each = counts.select(key, fold, F.inline("c"))
+    sizes = kept(rows.groupBy(fold).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    vocabulary = kept(vocabularies(each, sizes, fold, settings), "vocabulary")
+    outs = sorted(r[fold] for r in sizes.select(fold).collect())
+    numbers = rows.sparkSession.createDataFrame([(s.name, o, i * len(outs) + j) for i, s in enumerate(settings) for j, o in enumerate(outs)], f"setting string, out {dict(rows.dtypes)[fold]}, s int")
+    fitted = vocabulary.select("setting", F.col(fold).alias("out"), "term", "idf").join(F.broadcast(numbers), ["setting", "out"]).select("s", "setting", "out", "term", "idf")
+    if all(s.size is not None for s in settings):
+        fitted = F.broadcast(fitted)  # of so many terms a setting and fold
+    vectors = tfidf.vectors(counts.repartition(key).select(key, fold, F.inline("c")), key, fitted, "s", "setting", "out", fold)
+    named = F.concat_ws("|", "setting", F.col("out").cast("string"), F.lpad(F.col(key).cast("string"), 20, "0"))
+    vectors = vectors.select((F.col(fold) == F.col("out")).alias("asks"), named.alias("id"), "s", "v")
+    if any(s.size is None for s in settings):
+        vectors = kept(vectors, "weights")
+    part = lambda asks: vectors.where(F.col("asks") == asks).drop("asks")
+    near = neighbours.best_met(part(False), part(True), "id", "v", k, "s", len(settings) * len(outs)).select(F.col("q").alias("id"), "neighbour")
     part_of = lambda c, i: F.get(F.split(c, "\\|"), F.lit(i))
     labels = rows.select(F.col(key).alias("n"), F.col(label).alias("label"))
     voted = neighbours.vote(near.select("id", part_of("neighbour", 2).cast("long").alias("n")).join(labels, "n"), "id")

@@ -42,3 +42,15 @@ def test_joint_errors(spark):
     models = [(n, spark.createDataFrame(rows, "id long, predicted double")) for n, rows in (("a", [(1, 1.0), (2, 1.0), (3, 0.0)]), ("b", [(1, 1.0), (2, 0.0), (3, 0.0)]), ("c", [(1, 1.0), (2, 1.0), (3, 0.0), (4, 0.0)]))]
     got = queries.joint_errors(models, truth, texts, "id").collect()
     assert sorted((r.id, r.truth, r.a, r.b, r.c, r.preview) for r in got) == [(1, 0, 1, 1, 1, "text 1"), (3, 1, 0, 0, 0, "text 3")]
+
+
+def test_rows_of_one_setting_and_fold_meet_only_each_other(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(sweep.neighbours, "best_met", lambda train, test, *a, real=sweep.neighbours.best_met: (met.append((train, test, a[-1])), real(train, test, *a))[1])
+    df = spark.createDataFrame(ROWS, "id long, fold int, y int, t string")
+    votes = {(v.setting, v.id): v.predicted for v in sweep.neighbour_votes(df, "id", "fold", "y", F.split("t", " "), [Setting("all", 9), Setting("few", 2)], k=2).collect()}
+    train, test, groups = met[0]
+    assert groups == 6 and {r.s for r in train.collect()} <= set(range(6)) and test.count() <= 18
+    for name in ("all", "few"):
+        alone = sweep.neighbour_votes(df, "id", "fold", "y", F.split("t", " "), [Setting(name, 9 if name == "all" else 2)], k=2).collect()
+        assert alone and {v.id: v.predicted for v in alone} == {i: p for (s, i), p in votes.items() if s == name}
