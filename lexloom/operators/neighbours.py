@@ -1,4 +1,4 @@
-"""Exact nearest neighbours: dense vectors by a metric index, sparse ones by an inverted index with upper bounds.
+"""Exact nearest neighbours: dense vectors by a metric index, sparse ones by pairs of chunks.
 
 Dense: a bounded sample of the training vectors are pivots; every training row lies in the ball of its nearest pivot. A
 query is first compared with its own ball, which bounds how far its k-th neighbour can be. By the triangle inequality it
