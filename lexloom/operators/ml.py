@@ -74,15 +74,12 @@ def as_vector(column: str) -> Column:
     return array_to_vector(F.col(column).cast("array<double>"))
 
 
-def sparse_vectors(weights: DataFrame, key: str, vocabulary: list[str]) -> DataFrame:
-    """(key, features), stored, of a long table (key, term, weight); places are those of ``vocabulary``, which is bounded by its fit.
+def sparse_vectors(rows: DataFrame, key: str, at: str, w: str, size: int) -> DataFrame:
+    """(key, features), stored, of lists of places, in order, and weights.
 
     The vectors are put together as the columns that Spark stores a vector as, and read back as vectors.
     """
-    spark = weights.sparkSession
-    places = spark.createDataFrame(list(enumerate(vocabulary)), "place int, term string")
-    rows = weights.join(F.broadcast(places), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("p"))
-    parts = [F.lit(0).cast("tinyint").alias("type"), F.lit(len(vocabulary)).alias("size"), F.transform("p", lambda x: x["place"]).alias("indices"), F.transform("p", lambda x: x["weight"]).alias("values")]
+    parts = [F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col(at).cast("array<int>").alias("indices"), F.col(w).alias("values")]
     listed = rows.select(key, F.struct(*parts).alias("features"))
     return kept(listed, "vectors", StructType([listed.schema[key], StructField("features", VectorUDT())]))
 

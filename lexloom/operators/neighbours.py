@@ -297,14 +297,19 @@ def chunks(n: int, postings: int, rows: int, most: int = CHUNK_POSTINGS) -> int:
 
 
 def _classes(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(vectors (id, s, at, w) of the first row of each class of equal ones in a group s, members (rep, member): the k first of each)."""
+    """(vectors (id, s, at, w) of the first row of each class of equal ones in a group s, members (rep, member): the k first of each).
+
+    Vectors with a column d are stored, and it tells those apart that differ.
+    """
     text = lambda c: F.col(c).cast("array<string>")
-    keyed = kept(vectors.withColumn("d", F.unhex(F.sha2(F.concat_ws(",", F.col("s").cast("string"), text("at"), text("w")).cast("binary"), 256))), "vectors")
-    first = kept(keyed.groupBy("d").agg(F.min("id").alias("rep")), "first")
-    members = keyed.select("id", "d").join(first, "d").select("rep", F.col("id").alias("member"))
+    told = F.unhex(F.sha2(F.concat_ws(",", F.col("s").cast("string"), text("at"), text("w")).cast("binary"), 256))
+    keyed = vectors if "d" in vectors.columns else kept(vectors.withColumn("d", told), "vectors")
+    first = kept(keyed.groupBy("d").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "first")
+    # most are alone in their class
+    members = keyed.select("id", "d").join(first.where("n > 1").select("d", "rep"), "d").select("rep", F.col("id").alias("member"))
     if k:
         members = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("member"))).where(F.col("r") <= k).drop("r")
-    members = kept(members, "members")
+    members = kept(members.unionByName(first.where("n = 1").select("rep", F.col("rep").alias("member"))), "members")
     return keyed.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "s", "at", "w"), members
 
 
@@ -323,11 +328,16 @@ def sparse_nearest(train: DataFrame, test: DataFrame, key: str, k: int = 3, trai
 
 def best_met(train: DataFrame, test: DataFrame, key: str, vector: str, k: int, group: str | None = None, groups: int = 1) -> DataFrame:
     """(q, neighbour, dot, rank): the k best of those that share a term. ``group``, from 0 to ``groups`` - 1, tells rows that meet; keys are of one group."""
-    kind = dict(train.dtypes)[key]
     # terms are 64-bit hashes from here on; equal ones of one row would count once
     number = F.lit(0) if group is None else F.col(group)
     hashed = lambda df: df.select(F.col(key).alias("id"), number.cast("int").alias("s"), F.transform(vector, lambda x: F.xxhash64(x["term"])).alias("at"), F.col(f"{vector}.weight").alias("w"))
-    (known, like), (asked, alike) = _classes(hashed(train), k), _classes(hashed(test), 0)
+    return placed_met(hashed(train), hashed(test), k, groups)
+
+
+def placed_met(train: DataFrame, test: DataFrame, k: int, groups: int = 1) -> DataFrame:
+    """``best_met`` of rows (id, s, at, w): s is the group, ``at`` numbers the terms. With a column d, see ``_classes``."""
+    kind = dict(train.dtypes)["id"]
+    (known, like), (asked, alike) = _classes(train, k), _classes(test, 0)
     n, m = (df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("at")), F.lit(0))).first() for df in (known, asked))
     c, e = chunks(n[0] // groups, n[1] // groups, CHUNK_TRAIN), chunks(m[0] // groups, m[1] // groups, CHUNK_TEST)
     # small tables too are work for all cores
@@ -348,15 +358,19 @@ def best_met(train: DataFrame, test: DataFrame, key: str, vector: str, k: int, g
 
 def vectors_nearest(train: DataFrame, test: DataFrame, key: str, vector: str, k: int, train_keys: DataFrame, test_keys: DataFrame) -> DataFrame:
     """As ``sparse_nearest``, of one row a key: key, and ``vector`` as structs (term, weight) in the order of terms. Keys are all, once each."""
-    top = best_met(train, test, key, vector, k)
-    kind, all_known, all_asked = dict(train.dtypes)[key], train_keys.select(F.col(key).alias("id")), test_keys.select(F.col(key).alias("id"))
+    return filled(best_met(train, test, key, vector, k), key, k, train_keys, test_keys)
+
+
+def filled(top: DataFrame, key: str, k: int, train_keys: DataFrame, test_keys: DataFrame) -> DataFrame:
+    """``vectors_nearest`` of the rows of ``best_met``."""
+    kind, all_known, all_asked = dict(train_keys.dtypes)[key], train_keys.select(F.col(key).alias("id")), test_keys.select(F.col(key).alias("id"))
     held = top.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.collect_set("neighbour").alias("has"))
     short = all_asked.select(F.col("id").alias("q")).join(held, "q", "left").where("n is null or n < %d" % k)
     first = [r["id"] for r in all_known.orderBy("id").limit(2 * k).collect()]
     none = F.coalesce("has", F.array().cast(f"array<{kind}>"))
     spare = F.slice(F.array_except(F.array(*map(F.lit, first)).cast(f"array<{kind}>"), none), F.lit(1), k - F.coalesce("n", F.lit(0)))
-    filled = short.select("q", F.coalesce("n", F.lit(0)).alias("n"), F.posexplode(spare).alias("i", "neighbour")).select("q", "neighbour", F.lit(0.0).alias("dot"), (F.col("n") + F.col("i") + 1).cast("int").alias("rank"))
-    every = top.select("q", "neighbour", "dot", "rank").unionByName(filled)
+    more = short.select("q", F.coalesce("n", F.lit(0)).alias("n"), F.posexplode(spare).alias("i", "neighbour")).select("q", "neighbour", F.lit(0.0).alias("dot"), (F.col("n") + F.col("i") + 1).cast("int").alias("rank"))
+    every = top.select("q", "neighbour", "dot", "rank").unionByName(more)
     return every.select(F.col("q").alias(key), "neighbour", F.sqrt(F.greatest(2 - 2 * F.col("dot"), F.lit(0.0))).alias("distance"), "rank")
 
 

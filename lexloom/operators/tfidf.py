@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column, *more: str) -> DataFrame:
@@ -11,6 +18,69 @@ def term_counts(docs: DataFrame, key: str, tokens: Column, *more: str) -> DataFr
     return docs.select(key, *more, F.explode(tokens).alias("term")).groupBy(key, *more, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def listed_counts(docs: DataFrame, key: str, text: str, tokens: Callable[[Column], Column], *more: str) -> DataFrame:
+    """(key, more, terms, tfs): a key's terms and how often each occurs, as two lists. ``more`` are columns that a key has once.
+
+    ``tokens`` cuts a text into words without blanks, none of which goes over a line. Texts are dealt by key and counted in
+    the task that holds them, so that their words are no rows.
+    """
+    whole = docs.groupBy(key, *more).agg(F.concat_ws("\n", F.collect_list(text)).alias("_t"))
+    words = whole.select(key, *more, F.array_join(tokens(F.col("_t")), " ").alias("_w"))
+    schema = StructType([*words.schema.fields[:-1], StructField("terms", ArrayType(StringType())), StructField("tfs", ArrayType(LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, tfs, ends = [], [], [0]
+            for joined in batch.column(batch.num_columns - 1).to_pylist():
+                found = Counter(joined.split(" ")) if joined else {}
+                terms.extend(found)
+                tfs.extend(found.values())
+                ends.append(len(terms))
+            at = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(terms, pa.string())), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int64()))]
+            yield pa.record_batch([*batch.columns[:-1], *lists], names=schema.names)
+
+    return words.mapInArrow(run, schema)
+
+
+def each_count(listed: DataFrame, *columns: str) -> DataFrame:
+    """(columns, term, tf) of ``listed_counts``."""
+    pairs = F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))
+    return listed.select(*columns, F.inline(pairs).alias("term", "tf"))
+
+
+def placed_vectors(listed: DataFrame, key: str, idf: list[tuple[str, float]], *more: str) -> DataFrame:
+    """(key, more, at, w, d): weights of ``listed_counts`` as ``vectors`` has them, by places in ``idf``, which is bounded by its fit.
+
+    d is a digest of at and w, by which equal vectors are told. Rows without a fitted term are left out.
+    """
+    rows = listed.select(key, *more, "terms", "tfs")
+    schema = StructType([*rows.schema.fields[:-2], StructField("at", ArrayType(LongType())), StructField("w", ArrayType(DoubleType())), StructField("d", BinaryType())])
+    place, weight = {term: i for i, (term, _) in enumerate(idf)}, np.array([x for _, x in idf], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            terms, tfs = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            at = np.array([place.get(x, -1) for x in terms.flatten().to_pylist()], np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
+            fits = np.nonzero(at >= 0)[0]
+            fits = fits[np.lexsort((at[fits], owner[fits]))]
+            at, owner, tf = at[fits], owner[fits], tfs.flatten().to_numpy()[fits]
+            w = (1 + np.log(tf)) * weight[at] if len(at) else np.zeros(0)
+            # squares are added one by one in the order of the terms: equal counts have equal weights to the last bit
+            w = w / np.sqrt(np.bincount(owner, w * w, batch.num_rows))[owner]
+            sizes = np.bincount(owner, minlength=batch.num_rows)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            told = [sha256(at[lo:hi].tobytes() + w[lo:hi].tobytes()).digest() for lo, hi in zip(ends, ends[1:])]
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (at, w)]
+            out = pa.record_batch([*batch.columns[:-2], *lists, pa.array(told, pa.binary())], names=schema.names)
+            yield out.filter(pa.array(sizes > 0))
+
+    return rows.mapInArrow(run, schema)
+
+
 def fit(counts: DataFrame, key: str, n_docs: Column, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None, stopwords: DataFrame | None = None) -> DataFrame:
     """(term, df, idf). min_df is a count, max_df a share of ``n_docs``; the features with most occurrences stay (ties: term)."""
     if stopwords is not None:
