@@ -3,8 +3,9 @@
 Dense: a bounded sample of the training vectors are pivots; every training row lies in the ball of its nearest pivot. A
 query is first compared with its own ball, which bounds how far its k-th neighbour can be. By the triangle inequality it
 then visits only balls that reach into that distance, and within them only rows whose distance to the pivot is right.
-Balls are cut into parts of bounded size, rows and queries meet by part, and a task holds one part. What the driver reads
-are the pivots and a radius for each.
+Balls are cut into parts of bounded size, rows and queries meet by part, and a task holds one part. Where more visits are left
+than chunks of all rows and queries would ship, as in high dimensions, those meet instead, each pair of chunks in a task.
+What the driver reads are the pivots and a radius for each.
 
 Sparse: rows with equal vectors are one. Training rows and queries are dealt to chunks of bounded size, and each pair of
 chunks meets in a task: it holds the vectors of one, streams those of the other past them, and returns the k best it has.
@@ -25,6 +26,8 @@ from lexloom.session import kept
 
 #: Pivots at most, and training rows of one part of a ball on average.
 PIVOTS, PART_ROWS = 256, 2048
+#: Dense rows of a chunk on average, as training rows and as queries, where balls are no help; cells of a matrix of distances.
+CHUNK_DENSE, MATRIX_CELLS = 32_768, 1 << 21
 #: Distances and sums are compared with this much room, so that rounding loses no neighbour.
 ROOM = 1e-9
 #: Sparse rows of one chunk, as training rows and as queries, and postings, on average.
@@ -50,6 +53,32 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest_rows(v: np.ndarray, x: np.ndarray, near: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of v, rows of x, distances): the k nearest of each, ties by the smaller ``near``, some rows of v at a time.
+
+    Products of matrices turn down all but those within their error of the k-th; these have their distances from differences.
+    """
+    if not (np.isfinite(v).all() and np.isfinite(x).all()):
+        d = _distances(v, x)
+        order = np.lexsort((np.broadcast_to(near, d.shape), d), axis=1)[:, :k]
+        yield np.repeat(np.arange(len(v)), order.shape[1]), order.ravel(), np.take_along_axis(d, order, 1).ravel()
+        return
+    xx, step = (x * x).sum(1), max(1, MATRIX_CELLS // len(x))
+    for lo in range(0, len(v), step):
+        a = v[lo : lo + step]
+        aa = (a * a).sum(1)
+        squares = aa[:, None] + xx[None, :] - 2 * (a @ x.T)
+        # sums of n products are wrong by n half units in the last place of the sum of their sizes at most
+        room = 8 * (v.shape[1] + 4) * 2.0**-53 * (aa + xx.max())
+        kth = np.partition(squares, k - 1, axis=1)[:, k - 1] if len(x) > k else squares.max(1)
+        r, c = np.nonzero(squares <= (kth + 2 * room)[:, None])
+        d = np.concatenate([np.sqrt(((a[r[i : i + step]] - x[c[i : i + step]]) ** 2).sum(1)) for i in range(0, len(r), step)])
+        order = np.lexsort((near[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        yield lo + r[first], c[first], d[first]
+
+
 def _placed(rows: DataFrame, pivots: np.ndarray, every: bool) -> DataFrame:
     """Rows (id, v) with their nearest pivot (ties: the first) and their distance to it, and with all distances for queries."""
 
@@ -100,13 +129,11 @@ def _visited(k: int):
                 v = _matrix(part.column(3).slice(n))[some]
                 # rows are sorted by their distance to the pivot: only the stretch that any of these queries needs
                 low, high = first[some].min(), last[some].max()
-                d, near = _distances(v, x[low:high]), ids[low:high]
-                order = np.lexsort((np.broadcast_to(near, d.shape), d), axis=1)[:, :k]
-                best = np.take_along_axis(d, order, 1)
-                fine = best <= limit[some][:, None]
-                r, c = np.nonzero(fine)
-                if len(r):
-                    yield pa.record_batch([q[some][r], near[order[r, c]], best[r, c]], names=["id", "neighbour", "distance"])
+                near = ids[low:high]
+                for r, c, d in _nearest_rows(v, x[low:high], near, k):
+                    fine = d <= limit[some][r]
+                    if fine.any():
+                        yield pa.record_batch([q[some][r[fine]], near[c[fine]], d[fine]], names=["id", "neighbour", "distance"])
 
     return run
 
@@ -121,6 +148,15 @@ def _visits(balls: DataFrame, asked: DataFrame, parts: DataFrame, k: int) -> Dat
     return both.repartition(n, "g").sortWithinPartitions("g", "query").mapInArrow(_visited(k), _FOUND)
 
 
+def _chunks_met(known: DataFrame, asked: DataFrame, c: int, e: int, k: int) -> DataFrame:
+    """The k best of each query in each of c chunks of the training rows. known: id, v; asked: id, v, limit."""
+    dealt = lambda df, own, other, g, query, limit: df.select(
+        F.pmod(F.xxhash64("id"), F.lit(own)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("j"), "id", "v", limit.alias("limit")
+    ).select(g.cast("int").alias("g"), F.lit(query).alias("query"), "id", "v", F.lit(0.0).alias("d"), "limit")
+    rows = dealt(known, c, e, F.col("i") * e + F.col("j"), False, F.lit(0.0)).unionByName(dealt(asked, e, c, F.col("j") * e + F.col("i"), True, F.col("limit")))
+    return rows.repartitionById(c * e, F.col("g")).sortWithinPartitions("g", "query").mapInArrow(_visited(k), _FOUND)
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -156,9 +192,16 @@ def nearest(train: DataFrame, test: DataFrame, key: str, vector: str, label: str
         F.transform("all", lambda d, i: F.struct(i.alias("ball"), d.alias("d"))),
         lambda b: (b["ball"] != F.col("ball")) & (b["d"] - F.get(radii, b["ball"]) <= F.col("limit")) & ((b["d"] - F.col("d")) / 2 <= F.col("limit")),
     )
+    visits, m = far.agg(F.coalesce(F.sum(F.size(balls_met)), F.lit(0)), F.count(F.lit(1))).first()
+    c, e = -(-n // CHUNK_DENSE), max(1, -(-m // CHUNK_DENSE))
+    c = max(c, min(-(-n // 1024), -(-2 * spark.sparkContext.defaultParallelism // e)))
+    labels = train.select(F.col(key).cast("long").alias("neighbour"), F.col(label).alias("label"))
+    if visits > c * m + e * n:
+        # few balls are ruled out: chunks of rows and queries ship less
+        every = _chunks_met(known, far.select("id", "v", "limit"), c, e, k)
+        return _top(every, k).join(labels, "neighbour").select(F.col("id").alias(key), "neighbour", "label", "distance", "rank")
     away = far.select("id", "v", "limit", F.explode(balls_met).alias("b")).select(F.col("b.ball").alias("ball"), "id", "v", F.col("b.d").alias("d"), "limit")
     every = home.drop("rank").unionByName(_visits(balls, away, parts, k))
-    labels = train.select(F.col(key).cast("long").alias("neighbour"), F.col(label).alias("label"))
     return _top(every, k).join(labels, "neighbour").select(F.col("id").alias(key), "neighbour", "label", "distance", "rank")
 
 
