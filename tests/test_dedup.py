@@ -150,3 +150,21 @@ def test_queries_against_the_greedy_pass(spark):
         else:
             led[p] = leader
     assert {r.position: r.leader for r in entry.queries()["dedup_leaders"](spark, d).collect()} == led and led
+
+
+@pytest.mark.parametrize("least", [0.6, 0.9])
+def test_the_sieve_loses_no_pair_and_turns_down_most(least):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    texts = ["", "a", "ab" * 400]
+    for _ in range(40):
+        base = "".join(rng.choice(words) for _ in range(rng.choice([1, 20, 80])))
+        texts += [base] + [edited(base, rng.randint(0, max(1, len(base) // 8)), rng, "abcé") for _ in range(2)]
+    sieve, met, alike = sequence.Sieve(least), set(), set()
+    for i, t in enumerate(texts):
+        counts = sieve.counts(t)
+        met |= {(i, int(j)) for j in sieve.passed(counts)}
+        sieve.add(counts)
+        alike |= {(i, j) for j in range(i) if sequence.ratio(t, texts[j], least) is not None}
+    assert alike <= met and len(alike) > 20
+    assert least < 0.9 or len(met) < len(alike) + 0.2 * len(texts) ** 2 / 2
