@@ -21,8 +21,15 @@ from lexloom.session import kept
 
 #: Rows of a chunk that asks and of one that is held, on average.
 ASK_ROWS, HELD_ROWS = 8_192, 16_384
+#: Rows whose words are counted at a time.
+SLICE = 1_024
 #: Cells of the matrix of held rows, rows that are asked for at a time, and sums from which a first bound is taken.
-HELD_CELLS, TILE, FIRST = 12 << 20, 512, 2_048
+HELD_CELLS, TILE, FIRST = 6 << 20, 512, 2_048
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``SLICE`` rows, as texts may be long; empty ones are left out."""
+    return (batch.slice(lo, SLICE) for batch in batches for lo in range(0, batch.num_rows, SLICE))
 
 
 def owners(lists: pa.Array) -> np.ndarray:
@@ -41,9 +48,7 @@ def word_counts(rows: DataFrame, fold: str) -> DataFrame:
     kind = dict(rows.dtypes)[fold]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             words = batch.column(1).flatten().dictionary_encode()
             names, folds = words.dictionary, batch.column(0).dictionary_encode()
             row, code, n = tallied(owners(batch.column(1)), words.indices.to_numpy(), len(names))
@@ -71,9 +76,7 @@ def pair_counts(rows: DataFrame, fold: str, words: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, size, held, whole = pa.array(words, pa.string()), len(words) ** 2, {}, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             whole = batch.schema.field(0).type
             owner, place, first = _neighbouring(batch.column(1), known)
             row, code, n = tallied(owner[first], place[first] * len(words) + place[first + 1], size)
@@ -109,9 +112,7 @@ def coded(rows: DataFrame, key: str, fold: str, terms: list[tuple[str, bool]]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(words, pa.string())
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             owner, place, first = _neighbouring(batch.column(2), known)
             mine = np.nonzero(place >= 0)[0]
             row, at = [owner[mine]], [singly[place[mine]]]
@@ -139,7 +140,7 @@ def _packed(units: DataFrame, c: int) -> DataFrame:
         got = [x for x in batches if x.num_rows]
         if got:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, got[0].schema) as out:
+            with pa.ipc.new_stream(sink, got[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for x in got:
                     out.write_batch(x)
             yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk"])
