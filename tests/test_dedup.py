@@ -1,6 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,16 @@ def test_the_sieve_loses_no_pair_and_turns_down_most(least):
         alike |= {(i, j) for j in range(i) if sequence.ratio(t, texts[j], least) is not None}
     assert alike <= met and len(alike) > 20
     assert least < 0.9 or len(met) < len(alike) + 0.2 * len(texts) ** 2 / 2
+
+
+def test_only_grams_whose_first_bits_occur_are_searched_for(monkeypatch):
+    looked, real = [], np.searchsorted
+    monkeypatch.setattr(sequence.np, "searchsorted", lambda known, some: (looked.append(len(some)), real(known, some))[1])
+    r = random.Random(3)
+    a, b = ("".join(r.choices("abcdefgh", k=3000)) for _ in range(2))
+    grams = sequence._Grams(sequence._points(a), sequence._points(b + a[500:540]))
+    for length in (3, 8, 40, 41):
+        found = grams.shared(0, len(a), 0, len(b) + 40, length)[0]
+        held = {(b + a[500:540])[i : i + length] for i in range(len(b) + 41 - length)}
+        assert found.tolist() == [a[i : i + length] in held for i in range(len(a) - length + 1)]
+    assert looked[2] < len(a) / 2  # one gram of 40 is shared, and some first bits by chance
